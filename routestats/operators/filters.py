@@ -41,8 +41,8 @@ def filter_any_in(df: DataFrame, cols: Sequence[str], values: Sequence[Any]) ->
 
 def active_or_all(df: DataFrame, active: Column, fill: Mapping[str, Any]) -> DataFrame:
     """FLT08: the active rows, or, when there are none, all rows with ``fill`` values set."""
-    found = df.agg(F.max(F.coalesce(active, F.lit(False)).cast("int"))).scalar()
-    none_active = F.coalesce(found, F.lit(0)) == 0
+    # A limit, not a full pass: each task stops at its first active row.
+    none_active = df.where(active).limit(1).agg(F.count(F.lit(1))).scalar() == 0
     filled = {
         c: F.when(none_active, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c))
         for c, v in fill.items()

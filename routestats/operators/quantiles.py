@@ -24,12 +24,14 @@ def quantile_arrays(
 ) -> DataFrame:
     """``(keys..., column, qv)``: per key and column, the exact quantiles in the order of ``qs``.
 
-    Missing values are skipped; a column without values gets NULL. Spark's ``percentile`` keeps
+    Missing values are skipped, and so are rows with a missing key; a column without values gets
+    NULL. Spark's ``percentile`` keeps
     one map of a group's distinct values in one task, so it serves groups of up to ``limit`` rows;
     larger ones go through :func:`_by_bracket`.
     """
     keys, cols, qs = list(keys), list(cols), [float(q) for q in qs]
-    named = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    named = df.dropna(subset=keys) if keys else df
+    named = named.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     if largest_group(named, keys) <= limit:
         wanted = F.array(*[F.lit(q) for q in qs])
         wide = named.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(c) for c in cols])

@@ -122,11 +122,17 @@ def with_running_total(
     name: str = "running_total",
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Sum of ``value`` up to and including each row, per key, in blocks of ``limit`` rows."""
+    """Sum of ``value`` up to and including each row, per key, in blocks of ``limit`` rows.
+
+    Rows with a missing key have none.
+    """
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
     if largest_group(df, keys) <= limit:
         window = Window.partitionBy(*keys).orderBy(*order)
         window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum(value).over(window))
+        return df.withColumn(name, F.when(known, F.sum(value).over(window)))
 
     numbered = with_row_number(df, [*keys, *order], "_rn")
     numbered = numbered.withColumn("_block", F.floor(F.col("_rn") / F.lit(limit)))
@@ -143,5 +149,5 @@ def with_running_total(
     local = numbered.withColumn("_local", F.sum(value).over(inside))
     return join_sized(local, carried, [*keys, "_block"]).select(
         *df.columns,
-        (F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0))).alias(name),
+        F.when(known, F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0))).alias(name),
     )

@@ -183,7 +183,11 @@ add(
 
 # --- scores: the "predictions" are arithmetic on the rows, so SQL can score them too --------------------
 
-_GUESSES = {"flat": "l_quantity * 1500", "taxed": "l_quantity * 1500 * (1 + l_tax)", "cheap": "l_quantity * 1000 + 500"}
+_GUESSES = {
+    "flat": "l_quantity * 1500",
+    "taxed": "l_quantity * 1500 * (1 + l_tax)",
+    "cheap": "(l_quantity * 1000 + 500)",
+}
 _NAMES = {name: f"pred_{name}" for name in _GUESSES}
 
 
