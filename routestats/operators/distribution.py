@@ -204,8 +204,9 @@ def kde(
 
 
 def auto_bins(sample: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    """Bin counts by the usual "auto" rule: the narrower of the Sturges and Freedman-Diaconis
-    widths. Meant for bounded samples: one small row comes back to the driver."""
+    """Bin counts by numpy's "auto" rule: the narrower of the Sturges and Freedman-Diaconis widths,
+    the latter no less than half the square-root width. Meant for bounded samples: one small row
+    comes back to the driver."""
     row = sample.agg(
         *[
             F.struct(F.count(c), F.min(c), F.max(c), F.percentile(c, 0.25), F.percentile(c, 0.75)).alias(c)
@@ -219,8 +220,8 @@ def auto_bins(sample: DataFrame, cols: Sequence[str]) -> dict[str, int]:
             out[c] = 1
             continue
         sturges = (hi - lo) / (math.log2(n) + 1)
-        diaconis = 2 * (q3 - q1) / n ** (1 / 3)
-        out[c] = max(1, math.ceil((hi - lo) / (min(sturges, diaconis) if diaconis > 0 else sturges)))
+        diaconis = max(2 * (q3 - q1) / n ** (1 / 3), (hi - lo) / math.sqrt(n) / 2)
+        out[c] = max(1, math.ceil((hi - lo) / min(sturges, diaconis)))
     return out
 
 

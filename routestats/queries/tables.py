@@ -25,17 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _airport(number: Column) -> Column:
-    codes = F.array(*[F.lit(a) for a in AIRPORTS])
-    return F.element_at(codes, (number % N_AIRPORTS + 1).cast("int"))
+def _airport(number: str) -> Column:
+    codes = ", ".join(f"'{a}'" for a in AIRPORTS)
+    return F.expr(f"element_at(array({codes}), cast(({number}) % {N_AIRPORTS} + 1 AS int))")
 
 
 def _origin() -> Column:
-    return _airport(F.col("l_suppkey"))
+    return _airport("l_suppkey")
 
 
 def _dest() -> Column:
-    return _airport(F.col("l_partkey") * 5 + 1)
+    return _airport("l_partkey * 5 + 1")
 
 
 def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return table(spark, sf_dir, "events").select(
         F.date_format(ts, "yyyy-MM-dd").alias("Date"),
-        _airport(F.col("user_id")).alias("Origin"),
-        _airport(F.col("event_id") * 7 + 3).alias("Dest"),
+        _airport("user_id").alias("Origin"),
+        _airport("event_id * 7 + 3").alias("Dest"),
         F.concat(F.lit("C"), number.cast("string")).alias("Carrier"),
         F.concat(F.lit("Airline "), (number % 18).cast("string")).alias("Airline Name"),
         F.when(F.col("event_id") % 97 == 0, F.lit(None)).otherwise(clock(ts)).alias("Dep_Time"),
