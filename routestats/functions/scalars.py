@@ -35,6 +35,11 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def number(c: str | Column) -> Column:
+    """The value as a double, with NaN as missing."""
+    return nan_to_null(_col(c).cast("double"))
+
+
 def text_to_double(c: str | Column) -> Column:
     """CLN01 on a string: a number, or NULL for anything that is not one."""
     text = F.trim(_col(c))

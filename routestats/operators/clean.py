@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routestats.functions.scalars import nan_to_null, text_to_double
+from routestats.functions.scalars import number, text_to_double
 from routestats.operators.quantiles import quantiles
 
 
@@ -20,9 +20,7 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         kind = df.schema[c].dataType
         if isinstance(kind, T.StringType):
             return text_to_double(c)
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            return nan_to_null(F.col(c).cast("double"))
-        return F.col(c).cast("double")
+        return number(c)
 
     return df.withColumns({c: as_number(c) for c in cols})
 

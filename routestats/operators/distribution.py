@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routestats.functions.scalars import number
 from routestats.operators.joins import with_global
 from routestats.operators.quantiles import quantile_arrays
 from routestats.operators.scale import join_sized
@@ -25,7 +26,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     method too large for the JIT: ten times slower at eight columns.
     """
     cols = list(cols)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    numbers = df.select(*[number(c).alias(c) for c in cols])
     means = numbers.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
     # Centred values keep the sums of squares free of cancellation.
     centred = numbers.select(*[(F.col(c) - means.getField(c)).alias(c) for c in cols])
@@ -91,7 +92,7 @@ def histogram(
     distinct value v is spread over [v - 0.5, v + 0.5]. Missing values are not counted.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(col).cast("double").alias("_v")).dropna()
+    rows = df.select(*keys, number(col).alias("_v")).dropna()
     low = F.min("_v" if lo is None else F.lit(float(lo)))
     high = F.max("_v" if hi is None else F.lit(float(hi)))
     edges = rows.groupBy(*keys).agg(F.coalesce(low, F.lit(0.0)).alias("_a"), F.coalesce(high, F.lit(1.0)).alias("_b"))
@@ -136,7 +137,7 @@ def box_stats(df: DataFrame, key: str | None, cols: Sequence[str], whis: float =
     A whisker ends at the furthest value within ``whis`` interquartile ranges of the box.
     """
     keys = [key] if key else []
-    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = df.select(*keys, *[number(c).alias(c) for c in cols])
     rows = rows.dropna(subset=keys) if keys else rows
     qv = F.col("qv")
     reach = F.lit(whis) * (qv[2] - qv[0])
@@ -176,7 +177,7 @@ def kde(
     With ``common_norm`` the densities of all keys together integrate to 1. Keys with fewer than
     two distinct values have no density.
     """
-    rows = df.select(key, F.col(col).cast("double").alias("_v")).dropna()
+    rows = df.select(key, number(col).alias("_v")).dropna()
     stats = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.stddev_samp("_v").alias("_std"),

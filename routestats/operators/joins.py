@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routestats.operators.aggregate import rollup_calendar
 from routestats.operators.scale import join_sized
 from routestats.operators.topk import top_k
 
@@ -19,10 +20,15 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(right, list(keys), how)
 
 
-def join_calendar(left: DataFrame, calendar: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """JOIN02: attach values known per calendar period. A rollup to year and quarter has at most
-    four rows per year of history, which is the bound the broadcast rests on."""
-    return left.join(F.broadcast(calendar), list(keys), "left")
+def join_calendar(
+    left: DataFrame, daily: DataFrame, ts: str, aggs: Mapping[str, Column], year: str = "YEAR", quarter: str = "QUARTER"
+) -> DataFrame:
+    """JOIN02: roll a dated table up to quarters and attach the result by year and quarter.
+
+    The rollup has at most four rows per calendar year, however long the daily table is; that is
+    the bound the broadcast rests on.
+    """
+    return left.join(F.broadcast(rollup_calendar(daily, ts, aggs, year, quarter)), [year, quarter], "left")
 
 
 def semi_top_k(df: DataFrame, key: str, k: int, by: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routestats.functions.scalars import number
 from routestats.operators.quantiles import quantile_arrays
 
 
@@ -28,7 +29,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """PRF03: count, mean, std, min, quartiles and max per numeric column, all exact."""
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    numbers = df.select(*[number(c).alias(c) for c in cols])
     rows = [
         F.struct(
             F.lit(c).alias("column"),

@@ -8,9 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routestats.operators.scale import GROUP_ROWS, join_sized, largest_group, with_running_total
+from routestats.functions.scalars import number
+from routestats.operators.scale import GROUP_ROWS, group_sizes, join_sized, with_running_total
 from routestats.session import materialize
 
+# Values that ``percentile`` may hold in one task: some tens of bytes each.
+HELD_VALUES = 10_000_000
+_GROUPS_HELD = 128  # groups an object aggregate holds before it falls back to sorting
+
 _ACCURACY = 10_000  # sketch rank error is 1/_ACCURACY of the group
 _MARGIN = 2.0 / _ACCURACY
 
@@ -20,19 +25,20 @@ def quantile_arrays(
     cols: Sequence[str],
     qs: Sequence[float],
     keys: Sequence[str] = (),
-    limit: int = GROUP_ROWS,
+    limit: int = HELD_VALUES,
 ) -> DataFrame:
     """``(keys..., column, qv)``: per key and column, the exact quantiles in the order of ``qs``.
 
     Missing values are skipped, and so are rows with a missing key; a column without values gets
-    NULL. Spark's ``percentile`` keeps
-    one map of a group's distinct values in one task, so it serves groups of up to ``limit`` rows;
-    larger ones go through :func:`_by_bracket`.
+    NULL. Spark's ``percentile`` keeps a map of a group's distinct values in one task, so it is used
+    while the values a task can come to hold are counted to be at most ``limit``; beyond that,
+    :func:`_by_bracket`.
     """
     keys, cols, qs = list(keys), list(cols), [float(q) for q in qs]
     named = df.dropna(subset=keys) if keys else df
-    named = named.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
-    if largest_group(named, keys) <= limit:
+    named = named.select(*keys, *[number(c).alias(c) for c in cols])
+    largest, total = group_sizes(named, keys)
+    if min(total, _GROUPS_HELD * largest) * len(cols) <= limit:
         wanted = F.array(*[F.lit(q) for q in qs])
         wide = named.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(c) for c in cols])
         return wide.unpivot(keys, cols, "column", "qv")
@@ -49,7 +55,7 @@ def quantiles(
     cols: Sequence[str],
     qs: Sequence[float],
     keys: Sequence[str] = (),
-    limit: int = GROUP_ROWS,
+    limit: int = HELD_VALUES,
 ) -> DataFrame:
     """``(keys..., column, q, value)``, one row per quantile."""
     arrays = quantile_arrays(df, cols, qs, keys, limit)
@@ -101,7 +107,7 @@ def _select_ranks(
     )
     cells = cells.groupBy(*ids, "_slot", "_gap").agg(F.count(F.lit(1)).alias("_cnt"))
     cells = materialize(cells, "cells")
-    ranked = with_running_total(cells, ids, ["_slot", "_gap"], "_cnt", "_upto", limit)
+    ranked = with_running_total(cells, ids, ["_slot", "_gap"], "_cnt", "_upto", min(limit, GROUP_ROWS))
     ranked = join_sized(ranked, sketch.select(*ids, "_n"), ids, "inner", stored=True)
 
     def at(rank: Column) -> Column:

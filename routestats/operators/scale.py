@@ -19,12 +19,17 @@ SALTS = 32
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
-def largest_group(df: DataFrame, keys: Sequence[str] = ()) -> int:
-    """Rows of the most frequent key (all rows without keys): one map-side-combined count."""
+def group_sizes(df: DataFrame, keys: Sequence[str] = ()) -> tuple[int, int]:
+    """Rows of the most frequent key and of all keys, from one map-side-combined count.
+
+    Without keys both are the row count, which a plain Parquet scan answers from its metadata.
+    """
     if not keys:
-        return df.count()
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return top or 0
+        n = df.count()
+        return n, n
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, total or 0
 
 
 def join_sized(
@@ -97,7 +102,7 @@ def over_ordered(
     caller can prove (rows per key); without it the largest key is counted first.
     """
     if group_rows is None:
-        group_rows = largest_group(df, keys)
+        group_rows = group_sizes(df, keys)[0]
     if group_rows <= limit:
         columns = build(Window.partitionBy(*keys).orderBy(*order))
         return df.select("*", *[c.alias(name) for name, c in columns.items()])
@@ -129,7 +134,7 @@ def with_running_total(
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
-    if largest_group(df, keys) <= limit:
+    if group_sizes(df, keys)[0] <= limit:
         window = Window.partitionBy(*keys).orderBy(*order)
         window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.when(known, F.sum(value).over(window)))

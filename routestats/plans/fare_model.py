@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routestats.functions.scalars import flag_ge, route_key, safe_divide
-from routestats.operators.aggregate import aggregate_capacity, aggregate_fares, rollup_calendar
+from routestats.operators.aggregate import aggregate_capacity, aggregate_fares
 from routestats.operators.clean import ensure_column, fill_const, impute_median, require_columns
 from routestats.operators.distribution import corr_matrix
 from routestats.operators.evaluate import evaluate
@@ -47,9 +47,8 @@ def build_analysis_table(fares: DataFrame, capacity: DataFrame, fuel: DataFrame,
         aggregate_capacity(capacity, ROUTE_KEYS, "PASSENGERS", "SEATS", "DEPARTURES_PERFORMED"),
         ROUTE_KEYS,
     )
-    fuel_price = rollup_calendar(fuel, "observation_date", {"avg_fuel_price": F.avg("DJFUELUSGULF")})
     table = (
-        join_calendar(routes, fuel_price, ["YEAR", "QUARTER"])
+        join_calendar(routes, fuel, "observation_date", {"avg_fuel_price": F.avg("DJFUELUSGULF")})
         .withColumn("load_factor", safe_divide("passengers_t100", "seats"))
         .withColumn("route", route_key("ORIGIN", "DEST"))
         .withColumn("is_saturated", flag_ge("load_factor", SATURATED_AT))

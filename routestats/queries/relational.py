@@ -52,8 +52,9 @@ add(
     "join02_left_calendar",
     lambda s, d: joins.join_calendar(
         capacity(s, d).select(*ROUTE_KEYS, "SEATS"),
-        agg.rollup_calendar(shifted_fuel(s, d), "observation_date", {"avg_fuel_price": F.avg("DJFUELUSGULF")}),
-        ["YEAR", "QUARTER"],
+        shifted_fuel(s, d),
+        "observation_date",
+        {"avg_fuel_price": F.avg("DJFUELUSGULF")},
     ),
     sql(
         """SELECT YEAR, QUARTER, ORIGIN, DEST, SEATS, avg_fuel_price FROM capacity LEFT JOIN

@@ -115,9 +115,10 @@ def test_weekday_domain_and_iso_weeks(frame, values):
 
 def test_missing_fuel_quarter_keeps_the_row(frame):
     left = frame("YEAR int, QUARTER int, v int", (2025, 1, 1), (2025, 2, 2))
-    right = frame("YEAR int, QUARTER int, p double", (2025, 1, 2.2))
-    got = sorted(map(tuple, joins.join_calendar(left, right, ["YEAR", "QUARTER"]).collect()))
-    assert got == [(2025, 1, 1, 2.2), (2025, 2, 2, None)]
+    daily = frame("d string, p double", ("2025-01-02", 2.0), ("2025-03-31", 2.5), ("2025-02-03", None))
+    daily = daily.withColumn("d", F.col("d").cast("date"))
+    got = sorted(map(tuple, joins.join_calendar(left, daily, "d", {"p": F.avg("p")}).collect()))
+    assert got == [(2025, 1, 1, 2.25), (2025, 2, 2, None)]
 
 
 def test_required_columns(frame):
