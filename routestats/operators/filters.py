@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from routestats.operators.quantiles import quantiles
 from routestats.operators.scale import join_sized
+from routestats.session import materialize
 
 
 def filter_between(df: DataFrame, col: str, lo: Any, hi: Any) -> DataFrame:
@@ -52,5 +53,6 @@ def active_or_all(df: DataFrame, active: Column, fill: Mapping[str, Any]) -> Dat
 
 def clip_below_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
     """FLT10: rows strictly below the exact quantile."""
-    bound = quantiles(df, [col], [q]).select("value").scalar()
+    # Stored, so that later passes over the result do not compute it again.
+    bound = materialize(quantiles(df, [col], [q]).select("value"), "bound").scalar()
     return df.where(F.col(col) < bound)

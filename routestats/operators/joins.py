@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from routestats.operators.aggregate import rollup_calendar
 from routestats.operators.scale import join_sized
 from routestats.operators.topk import top_k
+from routestats.session import materialize
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -32,10 +33,14 @@ def join_calendar(
 
 
 def semi_top_k(df: DataFrame, key: str, k: int, by: Column | None = None) -> DataFrame:
-    """JOIN03: the rows whose key is among the k largest by ``by`` (row count by default)."""
+    """JOIN03: the rows whose key is among the k largest by ``by`` (row count by default).
+
+    The k keys are stored, so that several passes over the result rank them only once.
+    """
     value = F.count(F.lit(1)) if by is None else by
     ranked = df.where(F.col(key).isNotNull()).groupBy(key).agg(value.alias("_by"))
-    return df.join(F.broadcast(top_k(ranked, k, "_by", [key]).select(key)), key, "left_semi")
+    top = materialize(top_k(ranked, k, "_by", [key]).select(key), "top-keys")
+    return df.join(F.broadcast(top), key, "left_semi")
 
 
 def lookup(df: DataFrame, key: str, dim: DataFrame | Mapping[Any, Any], name: str, default: Any) -> DataFrame:

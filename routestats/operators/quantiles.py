@@ -16,8 +16,11 @@ from routestats.session import materialize
 HELD_VALUES = 10_000_000
 _GROUPS_HELD = 128  # groups an object aggregate holds before it falls back to sorting
 
-_ACCURACY = 10_000  # sketch rank error is 1/_ACCURACY of the group
-_MARGIN = 2.0 / _ACCURACY
+# Brackets offered around each quantile, as shares of the group.
+_MARGINS = (0.0002, 0.001, 0.004, 0.016, 0.064)
+_ACCURACY = 10_000  # the sketch's rank error is 1/_ACCURACY
+_AIM_ROWS = 50_000_000  # rows the sketch sees at least, and one in _AIM_SHARE of more
+_AIM_SHARE = 10_000
 
 
 def quantile_arrays(
@@ -42,12 +45,7 @@ def quantile_arrays(
         wanted = F.array(*[F.lit(q) for q in qs])
         wide = named.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(c) for c in cols])
         return wide.unpivot(keys, cols, "column", "qv")
-    long = named.unpivot(keys, cols, "column", "value")
-    found = _by_bracket(long.where(F.col("value").isNotNull()), [*keys, "column"], qs, limit)
-    # Columns without any value still get their row.
-    every = named.groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols])
-    every = every.unpivot(keys, cols, "column", "_present").select(*keys, "column")
-    return join_sized(every, found, [*keys, "column"])
+    return _by_bracket(named, keys, cols, qs, total, limit)
 
 
 def quantiles(
@@ -65,41 +63,73 @@ def quantiles(
     return arrays.select(*keys, "column", F.inline(pairs))
 
 
-def _by_bracket(long: DataFrame, ids: list[str], qs: list[float], limit: int) -> DataFrame:
-    """Two scans and no shuffle of the data: a sketch narrows each quantile to a thin bracket of
-    values, and only the rows inside the brackets are counted value by value.
+def _by_bracket(
+    named: DataFrame, keys: list[str], cols: list[str], qs: list[float], total: int, limit: int
+) -> DataFrame:
+    """Two scans and no shuffle of the data: a rough look narrows each quantile to a thin bracket
+    of values, then every row is counted, value by value inside the brackets and in bulk outside.
 
-    The sketch's error bound is not trusted: the exact ranks decide, and a group whose bracket
-    missed its rank is redone with the bracket open to the whole group.
+    The rough look is a sketch of a random part of the rows. It only says where to look closely:
+    the exact ranks decide, and a group whose bracket missed its rank is redone with the bracket
+    open to the whole group.
     """
-    probes = [p for q in qs for p in (max(0.0, q - _MARGIN), min(1.0, q + _MARGIN))]
-    sketch = materialize(
-        long.groupBy(*ids).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx("value", probes, _ACCURACY).alias("_probe"),
-        ),
-        "sketch",
-    )
-    first = materialize(_select_ranks(long, sketch, ids, qs, limit), "quantiles")
-    missed = first.where(F.exists("qv", lambda v: v.isNull()))
-    if missed.isEmpty():
-        return first
+    ids = [*keys, "column"]
+    long = named.unpivot(keys, cols, "column", "value").where(F.col("value").isNotNull())
+    brackets = materialize(_brackets(named, keys, cols, qs, total), "brackets")
+    first = materialize(_select_ranks(long, brackets, ids, qs, limit), "quantiles")
     open_probe = F.array(*[F.lit(v) for _ in qs for v in (-math.inf, math.inf)])
-    again = sketch.join(missed.select(*ids), ids, "left_semi").withColumn("_probe", open_probe)
-    second = _select_ranks(long, again, ids, qs, limit)
-    return first.where(~F.exists("qv", lambda v: v.isNull())).unionByName(second)
+    missed = first.where(F.exists("qv", lambda v: v.isNull())).select(*ids)
+    found = first
+    if not missed.isEmpty():
+        again = materialize(missed.withColumn("_probe", open_probe), "missed")
+        second = _select_ranks(long.join(again, ids, "left_semi"), again, ids, qs, limit)
+        found = first.where(~F.exists("qv", lambda v: v.isNull())).unionByName(second)
+    # A column without values in a group keeps its row, without quantiles.
+    groups = named.select(*keys).distinct() if keys else named.sparkSession.range(1)
+    every = groups.select(*keys, F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    return every.join(found, ids, "left")
+
+
+def _brackets(named: DataFrame, keys: list[str], cols: list[str], qs: list[float], total: int) -> DataFrame:
+    """``(keys..., column, _probe)``: lower and upper bracket value per quantile.
+
+    The bracket is as wide as the sketch's error, plus four standard errors of the rank if only a
+    part of the rows is looked at; open where that part has too few rows of a group.
+    """
+    aim = max(_AIM_ROWS, total // _AIM_SHARE)
+    whole = total <= aim
+    seen = named if whole else named.sample(aim / total, seed=1)
+    probes = [min(1.0, max(0.0, q + side * m)) for q in qs for m in _MARGINS for side in (-1, 1)]
+    cells = [
+        F.struct(F.count(c).alias("m"), F.percentile_approx(c, probes, _ACCURACY).alias("at")).alias(c) for c in cols
+    ]
+    looks = seen.groupBy(*keys).agg(*cells).unpivot(keys, cols, "column", "_look")
+    rows = F.col("_look.m").cast("double")
+
+    def side(i: int, q: float, upper: int) -> Column:
+        error = F.lit(2 / _ACCURACY)
+        if not whole:
+            error = error + 4 * F.sqrt(F.lit(q * (1 - q)) / rows) + 2 / rows
+        out = F.lit(math.inf if upper else -math.inf)
+        for level in reversed(range(len(_MARGINS))):
+            value = F.col("_look.at")[2 * (i * len(_MARGINS) + level) + upper]
+            out = F.when(error <= _MARGINS[level], value).otherwise(out)
+        return out
+
+    bounds = [side(i, q, upper) for i, q in enumerate(qs) for upper in (0, 1)]
+    return looks.where(rows > 0).select(*keys, "column", F.array(*bounds).alias("_probe"))
 
 
 def _select_ranks(
-    long: DataFrame, sketch: DataFrame, ids: list[str], qs: list[float], limit: int
+    long: DataFrame, brackets: DataFrame, ids: list[str], qs: list[float], limit: int
 ) -> DataFrame:
     value, probe = F.col("value"), F.col("_probe")
-    inside = F.lit(False)
+    inside = probe.isNull()  # a group the sample left out is counted whole
     for i in range(len(qs)):
         inside = inside | value.between(probe[2 * i], probe[2 * i + 1])
     # A row outside every bracket only has to be counted: it stands at the last probe below it.
     below = [F.when(probe[i] < value, probe[i]) for i in range(2 * len(qs))]
-    near = join_sized(long, sketch, ids, "inner", stored=True)
+    near = join_sized(long, brackets, ids, "left", stored=True)
     cells = near.select(
         *ids,
         F.when(inside, value).otherwise(F.coalesce(F.greatest(*below), F.lit(-math.inf))).alias("_slot"),
@@ -108,7 +138,8 @@ def _select_ranks(
     cells = cells.groupBy(*ids, "_slot", "_gap").agg(F.count(F.lit(1)).alias("_cnt"))
     cells = materialize(cells, "cells")
     ranked = with_running_total(cells, ids, ["_slot", "_gap"], "_cnt", "_upto", min(limit, GROUP_ROWS))
-    ranked = join_sized(ranked, sketch.select(*ids, "_n"), ids, "inner", stored=True)
+    sizes = cells.groupBy(*ids).agg(F.sum("_cnt").alias("_n"))
+    ranked = join_sized(ranked, sizes, ids, "inner")
 
     def at(rank: Column) -> Column:
         holds = (F.col("_upto") - F.col("_cnt") <= rank) & (rank < F.col("_upto"))

@@ -19,6 +19,7 @@ from routestats.queries.relational import hash_order
 from routestats.queries.statistics import (
     BOX_DOUBLES,
     DESCRIBE_DOUBLES,
+    auto_hist_sql,
     box_sql,
     corr_sql,
     describe_sql,
@@ -94,7 +95,13 @@ add(
     sql(f"SELECT {', '.join(ed.PAIRED)} FROM delays WHERE {_COMPLETE} {_SAMPLE} LIMIT 3000"),
     " ".join(ed.PAIRED),
 )
-add("q16_delay_pair_histograms", on(delays, ed.pair_histograms, LINE_KEY))
+_DELAY_SAMPLE = f"(SELECT {', '.join(ed.PAIRED)} FROM delays WHERE {_COMPLETE} {_SAMPLE} LIMIT 3000)"
+add(
+    "q16_delay_pair_histograms",
+    on(delays, ed.pair_histograms, LINE_KEY),
+    sql(auto_hist_sql(_DELAY_SAMPLE, ed.PAIRED)),
+    _EDGES,
+)
 _TOP6 = """(SELECT * FROM delays WHERE carrier_name IN
     (SELECT carrier_name FROM delays GROUP BY 1 ORDER BY sum(arr_flights) DESC, carrier_name LIMIT 6))"""
 add("q17_boxes_by_carrier", on(delays, ed.boxes_by_carrier), sql(box_sql(_TOP6, "carrier_name", ed.BOXED)), BOX_DOUBLES)
@@ -267,7 +274,13 @@ add(
     sql(f"SELECT {', '.join(ec.MEASURES)} FROM active {_SAMPLE} LIMIT 3000"),
     " ".join(ec.MEASURES),
 )
-add("q37_capacity_pair_histograms", on(capacity, ec.pair_histograms, LINE_KEY))
+_CAPACITY_SAMPLE = f"(SELECT {', '.join(ec.MEASURES)} FROM active {_SAMPLE} LIMIT 3000)"
+add(
+    "q37_capacity_pair_histograms",
+    on(capacity, ec.pair_histograms, LINE_KEY),
+    sql(auto_hist_sql(_CAPACITY_SAMPLE, ec.MEASURES)),
+    _EDGES,
+)
 add("q37_capacity_boxes", on(capacity, ec.boxes), sql(box_sql("active", None, ec.MEASURES)), BOX_DOUBLES)
 
 # --- fares --------------------------------------------------------------------------------------------

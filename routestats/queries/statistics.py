@@ -46,6 +46,27 @@ def hist_sql(source: str, col: str, bins: int) -> str:
     GROUP BY bin"""
 
 
+def auto_hist_sql(source: str, cols: Sequence[str]) -> str:
+    """Bins of each column, as many as the automatic rule gives."""
+    out = []
+    for c in cols:
+        out.append(
+            f"""SELECT '{c}' AS "column", bin::INT AS bin, any_value(edge_lo) AS edge_lo, any_value(edge_hi) AS edge_hi,
+              coalesce(sum(c), 0)::BIGINT AS n
+            FROM (SELECT bin, bins, lo + bin * ((hi - lo) / bins) AS edge_lo,
+                    CASE WHEN bin = bins - 1 THEN hi ELSE lo + (bin + 1) * ((hi - lo) / bins) END AS edge_hi
+                  FROM (SELECT lo, hi, bins, unnest(range(bins)) AS bin FROM (
+                    SELECT lo, hi, greatest(1, ceil((hi - lo) / least((hi - lo) / (log2(n) + 1),
+                      greatest(2 * iqr / power(n, 1.0::DOUBLE / 3), (hi - lo) / sqrt(n) / 2))))::BIGINT AS bins
+                    FROM (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, count({c})::DOUBLE AS n,
+                      quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr FROM {source}))))
+            LEFT JOIN (SELECT {c} AS v, count(*) AS c FROM {source} WHERE {c} IS NOT NULL GROUP BY 1)
+              ON v >= edge_lo AND (v < edge_hi OR (bin = bins - 1 AND v <= edge_hi))
+            GROUP BY bin"""
+        )
+    return " UNION ALL ".join(out)
+
+
 def box_sql(source: str, key: str | None, cols: Sequence[str]) -> str:
     out = []
     group = f"{key}, " if key else ""
@@ -167,7 +188,9 @@ add(
 add(
     "st07_pair_histograms",
     lambda s, d: dist.pair_marginals(dist.pair_data(table(s, d, "lineitem"), _PAIRED, 3000, LINE_KEY), _PAIRED),
-    None,
+    f"""WITH sampled AS MATERIALIZED (SELECT {', '.join(_PAIRED)} FROM lineitem {_PAIR_ORDER} LIMIT 3000)
+        {auto_hist_sql('sampled', _PAIRED)}""",
+    "edge_lo edge_hi",
 )
 add(
     "st07_pair_densities",

@@ -98,10 +98,27 @@ def test_large_quantiles_equal_percentile(skewed, keys, limit):
         assert got[cell] == pytest.approx(value, abs=1e-9), cell
 
 
+def rows_with_probe(df, pairs):
+    probe = F.array(*[F.lit(v) for pair in pairs for v in pair])
+    return df.where("k is not null and k != 'k3'").select("k", F.lit("v").alias("column"), probe.alias("_probe")).distinct()
+
+
+@pytest.mark.parametrize("aim", [30, 600])
+def test_brackets_from_a_sample(skewed, monkeypatch, aim):
+    """Small samples leave groups out or say little about them; the result is the same."""
+    monkeypatch.setattr(qt, "_AIM_ROWS", aim)
+    for keys in ([], ["k"]):
+        got = qt.quantiles(skewed, ["v", "i"], [0.25, 0.5], keys, limit=5)
+        want = qt.quantiles(skewed, ["v", "i"], [0.25, 0.5], keys)
+        by = [*keys, "column", "q"]
+        a = [(*[r[c] for c in by], round(r.value, 9)) for r in got.orderBy(*by).collect()]
+        assert a == [(*[r[c] for c in by], round(r.value, 9)) for r in want.orderBy(*by).collect()]
+
+
 def test_wrong_brackets_are_redone(skewed, monkeypatch):
-    """A sketch that points to the wrong values costs a second pass, not the result."""
-    monkeypatch.setattr(qt, "_MARGIN", 0.0)
-    monkeypatch.setattr(qt, "_ACCURACY", 3)
+    """A rough look that points to the wrong values costs a second pass, not the result."""
+    wrong = rows_with_probe(skewed, [[-2.0, -1.0], [1e9, 2e9]])
+    monkeypatch.setattr(qt, "_brackets", lambda *args: wrong)
     rows = skewed.where("v is not null")
     got = qt.quantiles(rows, ["v"], [0.25, 0.5], ["k"], limit=5)
     want = qt.quantiles(rows, ["v"], [0.25, 0.5], ["k"])
