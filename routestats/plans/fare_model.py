@@ -84,6 +84,12 @@ def build_model_frame(analysis: DataFrame, fit_on: DataFrame | None = None) -> D
     return require_columns(df, [*FEATURES, TARGET]).dropna(subset=[*FEATURES, TARGET])
 
 
+def split_frame(analysis: DataFrame, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """ML02, ML03: the stored model frame, its rows marked ``is_test`` or not."""
+    frame = materialize(build_model_frame(analysis).select(*ROUTE_KEYS, *FEATURES, TARGET), "model-frame")
+    return materialize(with_split(frame, ROUTE_KEYS, test, seed), "split")
+
+
 def run_modeling(
     analysis: DataFrame,
     test: float = 0.2,
@@ -92,12 +98,15 @@ def run_modeling(
     save_to: str | None = None,
 ) -> ModelResults:
     """Q08: split, fit every model, predict the test rows, correlate all model rows."""
-    frame = materialize(build_model_frame(analysis).select(*ROUTE_KEYS, *FEATURES, TARGET), "model-frame")
-    marked = materialize(with_split(frame, ROUTE_KEYS, test, seed), "split")
+    return fit_split(split_frame(analysis, test, seed), models, save_to)
+
+
+def fit_split(marked: DataFrame, models: Mapping[str, Fit] = MODELS, save_to: str | None = None) -> ModelResults:
+    """ML09-ML12 on a frame that is already split."""
     train, held = marked.where(~F.col("is_test")), marked.where("is_test")
     fitted = fit_models(train, FEATURES, TARGET, models)
     predictions = materialize(prediction_table(fitted, held, ROUTE_KEYS, FEATURES, TARGET), "predictions")
-    correlation = corr_matrix(frame, [*FEATURES, TARGET])
+    correlation = corr_matrix(marked, [*FEATURES, TARGET])
     if save_to:
         write_matrix(correlation, f"{save_to}/correlation_matrix", [*FEATURES, TARGET])
         write_table(predictions, f"{save_to}/test_predictions")

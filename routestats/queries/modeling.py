@@ -21,15 +21,24 @@ from routestats.queries.tables import LINE_KEY, sql, table
 from routestats.session import materialize, scratch_path
 from routestats.sources.tables import write_matrix, write_table
 
+_SPLITS: dict[tuple[str, str], DataFrame] = {}
 _RESULTS: dict[tuple[str, str], tuple[ml.ModelResults, str]] = {}
 
 
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    """The derived model frame with its test rows marked."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SPLITS:
+        _SPLITS[key] = fare_model.split_frame(analysis(spark, d))
+    return _SPLITS[key]
+
+
 def modelled(spark: SparkSession, d: str) -> tuple[ml.ModelResults, str]:
     """The modelling run on the derived analysis table, and the folder its outputs are stored in."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _RESULTS:
         outputs = scratch_path(spark, "outputs")
-        results = fare_model.run_modeling(analysis(spark, d), save_to=f"{outputs}/modeling")
+        results = fare_model.fit_split(marked(spark, d), save_to=f"{outputs}/modeling")
         fare_model.evaluate_results(results, f"{outputs}/evaluation")
         _RESULTS[key] = results, outputs
     return _RESULTS[key]
@@ -65,9 +74,7 @@ def _fit_one(name: str):
     """Fit one model on the training rows and predict the test rows."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        results, _ = modelled(spark, d)
-        fitted = ml.fit_models(results.train, FEATURES, TARGET, {name: ml.MODELS[name]})
-        return ml.prediction_table(fitted, results.test, ROUTE_KEYS, FEATURES, TARGET)
+        return fare_model.fit_split(marked(spark, d), {name: ml.MODELS[name]}).predictions
 
     return run
 
@@ -78,13 +85,18 @@ add("ml07_pca_regression", _fit_one("pca_regression"))
 
 def _pca_shares(spark: SparkSession, d: str) -> DataFrame:
     """ML05, ML06: share of variance per component of the standardised training rows."""
-    results, _ = modelled(spark, d)
-    shares = [float(v) for v in results.models["pca_regression"].stages[2].explainedVariance]
-    kept = len(results.models["pca_regression"].stages[3].getIndices())
+    pca, slicer = _pca_model(spark, d).stages[2:4]
+    shares = [float(v) for v in pca.explainedVariance]
+    kept = len(slicer.getIndices())
     rows = [(i, v, i < kept) for i, v in enumerate(shares)]
     return spark.createDataFrame(rows, "component int, share double, kept boolean")
 
 
+def _pca_model(spark: SparkSession, d: str):
+    train = marked(spark, d).where("not is_test")
+    return ml.fit_models(train, FEATURES, TARGET, {"pca_regression": ml.fit_pca_regression})["pca_regression"]
+
+
 add("ml06_pca_shares", _pca_shares)
 
 
@@ -92,9 +104,8 @@ def _standardised(spark: SparkSession, d: str) -> DataFrame:
     """ML05: mean and standard deviation of each feature after standardising the training rows."""
     from pyspark.ml.functions import vector_to_array
 
-    results, _ = modelled(spark, d)
-    assembler, scaler = results.models["pca_regression"].stages[:2]
-    scaled = scaler.transform(assembler.transform(results.train))
+    assembler, scaler = _pca_model(spark, d).stages[:2]
+    scaled = scaler.transform(assembler.transform(marked(spark, d).where("not is_test")))
     values = vector_to_array(F.col(scaler.getOutputCol()))
     named = scaled.select(*[values[i].alias(c) for i, c in enumerate(FEATURES)])
     stats = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")) for c in FEATURES]
