@@ -460,7 +460,7 @@ _PROFILED = {
 for name, (source, cte) in _PROFILED.items():
     add(
         f"q52_distinct_{name}",
-        lambda s, d, source=source, name=name: profiles.profile(source(s, d), name)["distinct"],
+        lambda s, d, source=source, name=name: profiles.profile(source(s, d), name, "distinct")["distinct"],
         sql(
             " UNION ALL ".join(
                 f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n FROM {cte}""" for c in profiles.DISTINCT[name]
@@ -478,13 +478,13 @@ _NUMERIC = {
 for name, (source, cte) in _PROFILED.items():
     add(
         f"q52_describe_{name}",
-        lambda s, d, source=source, name=name: profiles.profile(source(s, d), name)["describe"],
+        lambda s, d, source=source, name=name: profiles.profile(source(s, d), name, "describe")["describe"],
         sql(describe_sql(cte, _NUMERIC[name])),
         DESCRIBE_DOUBLES,
     )
 add(
     "q52_describe_fuel",
-    lambda s, d: profiles.profile(prices(s, d), "fuel")["describe"],
+    lambda s, d: profiles.profile(prices(s, d), "fuel", "describe")["describe"],
     sql(describe_sql("fuel", ["price"])),
     DESCRIBE_DOUBLES,
 )
@@ -492,7 +492,7 @@ add(
 
 def _missing(spark: SparkSession, d: str) -> DataFrame:
     parts = [
-        profiles.profile(source(spark, d), name)["missing"].withColumn("dataset", F.lit(name))
+        profiles.profile(source(spark, d), name, "missing")["missing"].withColumn("dataset", F.lit(name))
         for name, (source, _) in [*_PROFILED.items(), ("fuel", (prices, "fuel"))]
     ]
     return reduce(DataFrame.unionByName, parts).where("missing > 0")
@@ -512,13 +512,13 @@ add(
 )
 add(
     "q52_date_range",
-    lambda s, d: profiles.profile(flights(s, d), "competition")["range"],
+    lambda s, d: profiles.profile(flights(s, d), "competition", "range")["range"],
     sql('SELECT min("Date") AS lo, max("Date") AS hi FROM flights'),
     dates="lo hi",
 )
 add(
     "q52_fare_range",
-    lambda s, d: profiles.profile(fares(s, d), "db1b")["range"],
+    lambda s, d: profiles.profile(fares(s, d), "db1b", "range")["range"],
     sql("SELECT min(MARKET_FARE) AS lo, max(MARKET_FARE) AS hi FROM fares"),
     "lo hi",
 )

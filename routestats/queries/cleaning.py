@@ -150,8 +150,10 @@ add(
 )
 
 
-def analysis(spark: SparkSession, d: str, save_to: str | None = None) -> DataFrame:
-    return fare_model.build_analysis_table(fares(spark, d), capacity(spark, d), shifted_fuel(spark, d), save_to)
+def analysis(spark: SparkSession, d: str, save_to: str | None = None, ordered: bool = True) -> DataFrame:
+    return fare_model.build_analysis_table(
+        fares(spark, d), capacity(spark, d), shifted_fuel(spark, d), save_to, ordered
+    )
 
 
 ANALYSIS_DOUBLES = (

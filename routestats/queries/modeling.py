@@ -29,7 +29,7 @@ def marked(spark: SparkSession, d: str) -> DataFrame:
     """The derived model frame with its test rows marked."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _SPLITS:
-        _SPLITS[key] = fare_model.split_frame(analysis(spark, d))
+        _SPLITS[key] = fare_model.split_frame(analysis(spark, d, ordered=False))
     return _SPLITS[key]
 
 
@@ -45,7 +45,7 @@ def modelled(spark: SparkSession, d: str) -> tuple[ml.ModelResults, str]:
 
 
 def model_frame(spark: SparkSession, d: str) -> DataFrame:
-    return fare_model.build_model_frame(analysis(spark, d)).select(*ROUTE_KEYS, *FEATURES, TARGET)
+    return fare_model.build_model_frame(analysis(spark, d, ordered=False)).select(*ROUTE_KEYS, *FEATURES, TARGET)
 
 
 def _features(columns: list[str]) -> str:

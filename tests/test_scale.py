@@ -42,8 +42,7 @@ def test_running_total(skewed):
 
 
 @pytest.mark.parametrize("parts", [1, 7])
-@pytest.mark.parametrize("limit", [3, 100])
-@pytest.mark.parametrize("reach", [1, 6, 20])
+@pytest.mark.parametrize("limit, reach", [(3, 1), (3, 6), (100, 20)])
 def test_blocks_equal_plain_windows(skewed, parts, limit, reach):
     rows = skewed.repartition(parts)
 
