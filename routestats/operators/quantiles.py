@@ -12,7 +12,7 @@ from routestats.functions.scalars import number
 from routestats.operators.scale import GROUP_ROWS, group_sizes, join_sized, with_running_total
 from routestats.session import materialize
 
-# Values that ``percentile`` may hold in one task: some tens of bytes each.
+# Values that one task may hold in arrays: some tens of bytes each.
 HELD_VALUES = 10_000_000
 _GROUPS_HELD = 128  # groups an object aggregate holds before it falls back to sorting
 
@@ -33,21 +33,36 @@ def quantile_arrays(
     """``(keys..., column, qv)``: per key and column, the exact quantiles in the order of ``qs``.
 
     Missing values are skipped, and so are rows with a missing key; a column without values gets
-    NULL. Spark's ``percentile`` keeps a map of a group's distinct values in one task, so it is used
-    while the values a task can come to hold are counted to be at most ``limit``; beyond that,
-    :func:`_by_bracket`.
+    NULL. While the values a task can come to hold are counted to be at most ``limit``, a group's
+    values are sorted in one array (several times faster than the map ``percentile`` keeps); beyond
+    that, :func:`_by_bracket`.
     """
     keys, cols, qs = list(keys), list(cols), [float(q) for q in qs]
     named = df.dropna(subset=keys) if keys else df
     named = named.select(*keys, *[number(c).alias(c) for c in cols])
     largest, total = group_sizes(named, keys)
     if min(total, _GROUPS_HELD * largest) * len(cols) <= limit:
-        wanted = F.array(*[F.lit(q) for q in qs])
-        wide = named.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(c) for c in cols])
+        arrays = named.groupBy(*keys).agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in cols])
+        wide = arrays.select(*keys, *[_interpolate(F.col(c), qs).alias(c) for c in cols])
         return wide.unpivot(keys, cols, "column", "qv")
     return _by_bracket(named, keys, cols, qs, total, limit)
 
 
+def _between(low: Column, high: Column, part: Column) -> Column:
+    return F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
+
+
+def _interpolate(ordered: Column, qs: list[float]) -> Column:
+    """The quantiles of an ascending array; NULL for an empty one."""
+    found = []
+    for q in qs:
+        place = F.lit(q) * (F.size(ordered) - 1)
+        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+        part = place - F.floor(place)
+        found.append(_between(F.get(ordered, low), F.get(ordered, high), part))
+    return F.when(F.size(ordered) > 0, F.array(*found))
+
+
 def quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -154,8 +169,5 @@ def _select_ranks(
             F.max(place - F.floor(place)).alias(f"_t{i}"),
         ]
     found = ranked.groupBy(*ids).agg(*parts)
-    lerp = [
-        F.col(f"_lo{i}") * (1 - F.col(f"_t{i}")) + F.col(f"_hi{i}") * F.col(f"_t{i}")
-        for i in range(len(qs))
-    ]
+    lerp = [_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_t{i}")) for i in range(len(qs))]
     return found.select(*ids, F.array(*lerp).alias("qv"))
