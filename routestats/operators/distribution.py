@@ -22,8 +22,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     NULL where a column is constant over the pair's rows, where ``corr`` would fail on a division
     by zero. Each partition is reduced to one d x d table of moments by matrix products on Arrow
-    batches, and only those tables are shuffled. The same as 3 * d(d+1)/2 JVM aggregates is one
-    method too large for the JIT: ten times slower at eight columns.
+    batches, and only those tables are shuffled. As 3 * d(d+1)/2 JVM aggregates the same was nine
+    times slower at eight columns.
     """
     cols = list(cols)
     numbers = df.select(*[number(c).alias(c) for c in cols])

@@ -9,7 +9,7 @@ from routestats.functions import scalars as sc
 from routestats.operators import aggregate as agg
 from routestats.operators import joins, topk, windows
 from routestats.operators.quantiles import quantiles
-from routestats.operators.scale import with_row_number, with_running_total
+from routestats.operators.scale import over_ordered, with_row_number, with_running_total
 from routestats.plans.schemas import DAY_ORDER, ROUTE_KEYS
 from routestats.queries.registry import add
 from routestats.queries.tables import LINE_KEY, capacity, delays, fares, flights, fuel, shifted_fuel, sql, table
@@ -349,8 +349,6 @@ add(
 
 def _all_orders_rolling(spark: SparkSession, d: str) -> DataFrame:
     """One series over every order: no key to partition on, so it always runs in blocks."""
-    from routestats.operators.scale import over_ordered
-
     rows = table(spark, d, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")
 
     def build(w):
