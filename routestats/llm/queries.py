@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from routestats.llm.derivatives import build_derivatives, page_responses
+from routestats.llm.fingerprints import compare_with_next
+from routestats.llm.mixing import MAX_MEAN, SEED, TEMPERATURE, TERMS, mix_sources
 from routestats.llm.near_duplicates import near_duplicates
+from routestats.llm.neighbours import nearest_neighbours
+from routestats.llm.pieces import encode_documents, read_pieces
+from routestats.llm.pseudonyms import pseudonymise
+from routestats.llm.quality import score_quality
+from routestats.llm.repeated_passages import remove_repeats
+from routestats.llm.toxicity import score_toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -15,10 +25,63 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op3_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_derivatives(page_responses(_table(spark, sf_dir, "pages")))
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), read_pieces())
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP2_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT s, min(doc_id) AS head FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (s) WHERE head < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+  FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = rf"""
 WITH RECURSIVE
 words AS (
@@ -45,10 +108,30 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS compo
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN roots r ON r.node = d.doc_id
 """
 
+OP9_SQL = f"""
+WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
+means AS (
+  SELECT source, sum(size) OVER () * pow(size, {TEMPERATURE}) / sum(pow(size, {TEMPERATURE})) OVER () / size AS mean
+  FROM sizes),
+drawn AS (
+  SELECT d.*, greatest(floor(mean - {MAX_MEAN} + 1), 0) AS extra, mean,
+    ('0x' || substr(md5('{SEED}|' || doc_id || '|s' || d.source), 1, 13))::BIGINT / pow(2, 52) AS u
+  FROM documents d JOIN means m ON m.source = d.source),
+counted AS (
+  SELECT *, extra + len(list_filter(range(0, {TERMS}), k -> list_sum(list_transform(range(0, k + 1),
+      j -> exp(j * ln(mean - extra) - lgamma(j + 1) - (mean - extra)))) <= u)) AS n
+  FROM drawn)
+SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, unnest(range(0, n::BIGINT)) FROM counted)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_near_duplicates": op8_near_duplicates,
-}
+    f.__name__: f
+    for f in (op1_fingerprints, op2_repeated_passages, op3_derivatives, op4_pseudonyms, op5_neighbours, op6_pieces,
+              op7_quality, op8_near_duplicates, op9_mixing, op10_toxicity)
+}
 
 SQL: dict[str, str] = {
+    "op2_repeated_passages": OP2_SQL,
     "op8_near_duplicates": OP8_SQL,
+    "op9_mixing": OP9_SQL,
 }
