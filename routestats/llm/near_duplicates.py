@@ -21,28 +21,37 @@ SHINGLE_WORDS, SIMILARITY = 5, 75
 BANDS, BAND_ROWS = 32, 4
 #: Minima in a signature, one byte of each; at 0.75, 192 of 256 agree (standard deviation 6.9).
 MINIMA = 256
-#: Pairs with fewer equal bytes are 4.5 standard deviations below the threshold and are not compared in full.
-AGREEING = 161
+#: Minima in the longer signature of the last round, where all pairs of different components are weighed.
+FINE_MINIMA = 1024
 #: Rows of a bucket compared in one group; larger buckets are cut into blocks, and all pairs of blocks are compared.
 BLOCK_ROWS = 1024
 #: Partners tried per document in the second round, before all that are left.
 BEST = 4
 
-_A = seeds(11, MINIMA)[:, None] | np.uint64(1)
-_B = seeds(12, MINIMA)[:, None]
+_A = seeds(11, FINE_MINIMA)[:, None] | np.uint64(1)
+_B = seeds(12, FINE_MINIMA)[:, None]
 _BAND_POWERS = seeds(13, BAND_ROWS) | np.uint64(1)
 _BAND_SEEDS = seeds(14, BANDS)
 _STEP = 256
 
 
-def signature(items: np.ndarray) -> np.ndarray:
-    """The minima of ``MINIMA`` universal hashes a*x+b modulo 2**64, upper 32 bits, over the items."""
-    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    room = np.empty((MINIMA, min(_STEP, len(items))), np.uint64)
+def agreeing(minima: int) -> int:
+    """Equal bytes from which a pair is compared in full: 4.5 standard deviations below what the threshold gives."""
+    share = SIMILARITY / 100
+    return int(minima * share - 4.5 * np.sqrt(minima * share * (1 - share)))
+
+
+def signature(items: np.ndarray, minima: int = MINIMA) -> np.ndarray:
+    """The minima of universal hashes a*x+b modulo 2**64, upper 32 bits, over the items.
+
+    A longer signature begins with the shorter one.
+    """
+    least = np.full(minima, np.iinfo(np.uint64).max, np.uint64)
+    room = np.empty((minima, min(_STEP, len(items))), np.uint64)
     for at in range(0, len(items), _STEP):
         part = items[at : at + _STEP]
-        values = np.multiply(_A, part[None, :], out=room[:, : len(part)])
-        values += _B
+        values = np.multiply(_A[:minima], part[None, :], out=room[:, : len(part)])
+        values += _B[:minima]
         np.minimum(least, values.min(axis=1), out=least)
     return least >> np.uint64(32)
 
@@ -75,6 +84,13 @@ def _sketch(rows: Iterable[tuple]) -> Iterator[tuple]:
         yield doc_id, len(items), *digest, signed(band_keys(minima)).tolist(), minima.astype(np.uint8).tobytes()
 
 
+def _fine(rows: Iterable[tuple]) -> Iterator[tuple]:
+    unpack = zstandard.ZstdDecompressor()
+    for doc_id, packed in rows:
+        items = text_shingles(unpack.decompress(packed).decode("utf-8", "surrogatepass"))
+        yield doc_id, len(items), signature(items, FINE_MINIMA).astype(np.uint8).tobytes()
+
+
 def _packed(rows: Iterable[tuple]) -> Iterator[tuple]:
     """Texts compressed before they are shuffled."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -87,7 +103,7 @@ def _agreement(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             one, two = (np.stack([np.frombuffer(x, np.uint8) for x in batch.column(i).to_pylist()]) for i in (2, 3))
-            keep = (one == two).sum(axis=1) >= AGREEING
+            keep = (one == two).sum(axis=1) >= agreeing(MINIMA)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
 
@@ -124,9 +140,11 @@ def _across(best: int | None):
             other &= (100 * np.minimum(size, size[r]) >= SIMILARITY * np.maximum(size, size[r])) & (rep != rep[r])
             near = np.flatnonzero(other)
             if len(near):
-                same = (sig[near] == sig[r]).sum(axis=1)
-                good = same >= AGREEING
+                same = (sig[near, :MINIMA] == sig[r, :MINIMA]).sum(axis=1)
+                good = same >= agreeing(MINIMA)
                 near, same = near[good], same[good]
+                if sig.shape[1] > MINIMA:
+                    near = near[(sig[near] == sig[r]).sum(axis=1) >= agreeing(sig.shape[1])]
                 if best is not None and len(near) > best:
                     near = near[np.lexsort((rep[near], -same))[:best]]
                 for s in near:
@@ -176,13 +194,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(map_rows(both, _compared, schema, "a long, b long, linked boolean"), "compared")
 
 
-def _crossing(members: DataFrame, roots: DataFrame, reps: DataFrame, best: int | None) -> DataFrame:
-    """Candidate pairs of different components in one bucket, compared block by block."""
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, comp, blocks): the rows of the buckets that hold several components."""
     labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
     mixed = mixed.where("low < high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
-    cut = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    return materialize(labelled.join(mixed, "key"), "mixed")
+
+
+def _crossing(mixed: DataFrame, reps: DataFrame, best: int | None) -> DataFrame:
+    """Candidate pairs of different components in one bucket, compared block by block."""
+    cut = mixed.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(
         "key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "rep", "comp"
@@ -203,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        met most others, which joins most large groups in one round; no bucket's pairs are listed.
     3. Pairs whose signatures agree often enough are compared on their full sets.
     4. Where a bucket still holds several components, rows of different components are compared by signature in
-       bounded blocks: first each one's best partners, then, after joining, all that are left.
+       bounded blocks: first each one's best partners, then, after joining, all that are left, by longer signatures.
     5. Components by large-star and small-star.
 
     Null, empty and blank texts have no shingles: they are kept and linked with nothing. A null doc_id is never
@@ -237,7 +260,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = _confirmed(_sketched_pairs(spokes, sketched), texts)
     roots = connected_components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     for best in (BEST, None):
-        pairs = _crossing(members, roots, sketched, best).join(tried, ["a", "b"], "left_anti")
+        mixed = _mixed(members, roots)
+        if best is None:
+            wanted = texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            schema = pa.schema([("rep", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
+            sketched = map_rows(wanted, _fine, schema, "rep long, n_shingles long, sig binary")
+        pairs = _crossing(mixed, sketched, best).join(tried, ["a", "b"], "left_anti")
         new = _confirmed(pairs, texts)
         links = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
