@@ -185,7 +185,8 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10) -> Data
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(asked: DataFrame, radius: int) -> DataFrame:
-        sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.lit(1).alias("kind"), "vec_id", "vector")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+        sent = asked.select(every, F.lit(1).alias("kind"), "vec_id", "vector")
         dealt = indexed.unionByName(sent).repartition("block").sortWithinPartitions("block", "kind")
         return materialize(map_rows(dealt, _searched(codes, radius, k), schema, ddl), "found")
 

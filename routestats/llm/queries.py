@@ -118,8 +118,8 @@ drawn AS (
     ('0x' || substr(md5('{SEED}|' || doc_id || '|s' || d.source), 1, 13))::BIGINT / pow(2, 52) AS u
   FROM documents d JOIN means m ON m.source = d.source),
 counted AS (
-  SELECT *, extra + len(list_filter(range(0, {TERMS}), k -> list_sum(list_transform(range(0, k + 1),
-      j -> exp(j * ln(mean - extra) - lgamma(j + 1) - (mean - extra)))) <= u)) AS n
+  SELECT *, extra + len(list_filter(range(0, {TERMS}), lambda k: list_sum(list_transform(range(0, k + 1),
+      lambda j: exp(j * ln(mean - extra) - lgamma(j + 1) - (mean - extra)))) <= u)) AS n
   FROM drawn)
 SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, unnest(range(0, n::BIGINT)) FROM counted)
 """

@@ -17,15 +17,15 @@ from routestats.llm.words import mix, seeds
 
 #: Labelled rows of each label used as examples, taken in the order of a hash of the id.
 EXAMPLES = 4000
-#: Most terms; a term must be in MIN_DOCS examples, twice as frequent under one label, and its chi-square must reach
+#: Most terms; a term must be in MIN_DOCS examples, MIN_LIFT times as frequent under one label, its chi-square at least
 #: MIN_CHI2.
-TERMS, MIN_DOCS, MIN_CHI2 = 2048, 4, 20.0
+TERMS, MIN_DOCS, MIN_CHI2, MIN_LIFT = 2048, 8, 60.0, 4.0
 #: Letters of a word that make a term of their own, beside the whole word.
 STEM = 4
 #: Neighbours that vote, examples in a block, blocks read before the bounds are used.
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 25, 64, 4
-#: Added to distances in votes; votes that the base rate has.
-NEAREST, PRIOR_VOTES = 0.1, 0.5
+#: Added to distances in votes; votes for the examples' share of label 1, in those of a neighbour at distance 0.
+NEAREST, PRIOR_VOTES = 0.1, 1.2
 CUT_SCORE = 0.5
 EVIDENCE = 3
 
@@ -101,6 +101,12 @@ def _known(text: str | None, vocabulary: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[hit], counts[hit]
 
 
+def _weights(idf: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The TF-IDF vector of a text, of length 1."""
+    weights = (1 + np.log(counts)) * idf[at]
+    return weights / max(np.sqrt((weights**2).sum()), 1e-300)
+
+
 @dataclass(frozen=True)
 class ToxicityIndex:
     """Examples (ascending places in blocks of BLOCK) with an inverted list and block maxima for each term."""
@@ -108,22 +114,25 @@ class ToxicityIndex:
     vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray
     ids: np.ndarray  # of the examples
-    votes: np.ndarray  # of each example: its label's share in the population over that in the sample
     labels: np.ndarray
     place: np.ndarray  # postings by term, then example
     weight: np.ndarray
     bounds: np.ndarray  # (term, block): where the term's postings of the block begin; one column more
     maxima: np.ndarray  # (term, block): the largest weight
-    rate: float  # of label 1
-    empty_rate: float  # of label 1 among examples without terms
+    rate: float  # of label 1 in the population
+    share: float  # of label 1 among the examples
+    empty_share: float  # of label 1 among examples without terms
 
     @cached_property
     def remembered(self) -> dict[bytes, tuple]:
         return {}
 
-    def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weights = (1 + np.log(counts)) * self.idf[at]
-        return weights / max(np.sqrt((weights**2).sum()), 1e-300)
+    def calibrated(self, share: float) -> float:
+        """A share found among the examples as it is in the population, where the labels have other frequencies."""
+        if not 0 < self.share < 1:
+            return self.rate
+        one = share * self.rate / self.share
+        return one / (one + (1 - share) * (1 - self.rate) / (1 - self.share))
 
     def _read(self, at: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Examples in the blocks that share a term, and their cosines."""
@@ -158,17 +167,17 @@ class ToxicityIndex:
         """The share of label 1 in the votes, the nearest examples and their cosines."""
         at, counts = _known(text, self.vocabulary)
         if not len(at) or not len(self.ids):
-            return self.empty_rate, [], []
+            return self.calibrated(self.empty_share), [], []
         key = at.tobytes() + counts.tobytes()
         if key not in self.remembered:
             if len(self.remembered) > 20_000:
                 self.remembered.clear()
-            found, cosine = self.nearest(at, self.vector(at, counts))
-            vote = self.votes[found] / (1 - np.minimum(cosine, 1) + NEAREST)
-            scale = PRIOR_VOTES
-            share = ((vote * self.labels[found]).sum() + scale * self.rate) / (vote.sum() + scale)
+            found, cosine = self.nearest(at, _weights(self.idf, at, counts))
+            vote = 1 / (1 - np.minimum(cosine, 1) + NEAREST)
+            prior = PRIOR_VOTES / NEAREST
+            share = ((vote * self.labels[found]).sum() + prior * self.share) / (vote.sum() + prior)
             near = slice(0, EVIDENCE)
-            self.remembered[key] = float(share), self.ids[found[near]].tolist(), cosine[near].tolist()
+            self.remembered[key] = float(self.calibrated(share)), self.ids[found[near]].tolist(), cosine[near].tolist()
         return self.remembered[key]
 
 
@@ -181,7 +190,7 @@ def _chosen(counts: DataFrame, bad: int, good: int) -> np.ndarray:
     chi2 = n * F.pow(a * (good - b) - b * (bad - a), F.lit(2.0)) / F.greatest(spread, F.lit(1e-9))
     lift = F.greatest(rate_a / rate_b, rate_b / rate_a)
     rows = counts.where(F.col("n") >= MIN_DOCS).select("term", chi2.alias("chi2"), lift.alias("lift"))
-    rows = rows.where((F.col("chi2") >= MIN_CHI2) & (F.col("lift") >= 2)).orderBy(F.desc("chi2"), "term").limit(TERMS)
+    rows = rows.where((F.col("chi2") >= MIN_CHI2) & (F.col("lift") >= MIN_LIFT)).orderBy(F.desc("chi2"), "term").limit(TERMS)
     return np.sort(np.array([r[0] for r in rows.collect()], np.int64))
 
 
@@ -231,17 +240,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str =
 
 def build_index(vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple], rate: float) -> ToxicityIndex:
     """The index over examples (id, label, term indexes, counts); those without terms only give the empty rate."""
-    share = {v: max(1, sum(e[1] == v for e in examples)) / max(1, len(examples)) for v in (0, 1)}
-    weigh = {0: (1 - rate) / share[0], 1: rate / share[1]}
-    bare = [weigh[e[1]] * np.array([1, e[1]]) for e in examples if not e[2]]
-    empty = float(sum(b[1] for b in bare) / sum(b[0] for b in bare)) if sum(b[0] for b in bare) else rate
+    share = sum(e[1] for e in examples) / max(1, len(examples))
+    bare = [e[1] for e in examples if not e[2]]
+    empty = sum(bare) / len(bare) if bare else share
     rows = sorted((e for e in examples if e[2]), key=lambda e: (e[2], e[0]))  # alike ones share blocks
     blocks = -(-len(rows) // BLOCK)
-    index = ToxicityIndex(
-        vocabulary, idf, np.array([e[0] for e in rows], np.int64), np.array([weigh[e[1]] for e in rows], float),
-        np.array([e[1] for e in rows], float), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0), rate, empty,
-    )
-    vectors = [index.vector(np.array(e[2]), np.array(e[3])) for e in rows]
+    vectors = [_weights(idf, np.array(e[2]), np.array(e[3])) for e in rows]
     term = np.concatenate([np.array(e[2], np.int64) for e in rows]) if rows else np.empty(0, np.int64)
     place = np.repeat(np.arange(len(rows)), [len(v) for v in vectors])
     weight = np.concatenate(vectors) if rows else np.empty(0)
@@ -255,14 +259,15 @@ def build_index(vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple],
         bounds[:, :-1] = edges[:-1].reshape(len(vocabulary), blocks)
         bounds[:, -1] = edges[blocks::blocks]
         np.maximum.at(maxima, (term, place // BLOCK), weight)
-    return ToxicityIndex(vocabulary, idf, index.ids, index.votes, index.labels, place, weight, bounds, maxima, rate, empty)
+    ids, labels = (np.array([e[i] for e in rows], kind) for i, kind in ((0, np.int64), (1, np.float64)))
+    return ToxicityIndex(vocabulary, idf, ids, labels, place, weight, bounds, maxima, rate, share, empty)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, cosines) for each row of ``docs`` (doc_id, text; others ignored).
 
     The score is the share of label 1 among the nearest labelled examples, which vote by the inverse of their
-    distance and as their label's weight in all training rows; ``evidence`` has the ids of the nearest ones. Rows
+    distance, set right for the labels' frequency among all training rows; ``evidence`` has the nearest ids. Rows
     whose crc32(doc_id) mod 5 is 0 are held out of all fitting; ids, languages, sources and labels are not terms.
 
     Texts without a known term, null and empty ones too, get the share of label 1 among such examples. Equal texts
