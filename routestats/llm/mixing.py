@@ -67,20 +67,17 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, budget: float
     partition and orders the partition, so the rows of a source, and the copies of a row, lie anywhere in the result.
 
     Null texts count no characters; a null id or source takes part like any other value. Source weights of zero
-    leave the source out. An empty table gives an empty result. Columns named like the internal ones are kept.
+    leave the source out. An empty table gives an empty result.
     """
-    means = repetitions(docs, weights, budget).select(
-        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_mix_key"), F.col("mean").alias("_mix_mean")
-    )
-    key = F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("n"))
-    rows = join_sized(docs.withColumn("_mix_key", key), means, ["_mix_key"])
-    mean, doc = F.col("_mix_mean"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    extra = F.greatest(F.floor(mean - MAX_MEAN + 1), F.lit(0))
-    count = extra + poisson(uniform(F.lit(seed), doc, F.col("_mix_key")), mean - extra)
-    rows = rows.withColumn("_mix_count", count.cast("int")).where("_mix_count > 0")
-    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), doc, F.col("_mix_copy").cast("string")).cast("binary"))
-    return (
-        rows.withColumn("_mix_order", order).repartition("_mix_order").sortWithinPartitions("_mix_order")
-        .drop("_mix_key", "_mix_mean", "_mix_count", "_mix_copy", "_mix_order")
-    )
+    def key(source: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")).alias("key")
+
+    means = repetitions(docs, weights, budget).select(key(F.col("source")), "mean")
+    # The whole row is one column, so that its names can't clash with those used here.
+    doc = F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).alias("doc")
+    rows = join_sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(docs["source"]), doc), means, ["key"])
+    extra = F.greatest(F.floor(F.col("mean") - MAX_MEAN + 1), F.lit(0))
+    count = extra + poisson(uniform(F.lit(seed), F.col("doc"), F.col("key")), F.col("mean") - extra)
+    copies = rows.select("row", "doc", F.explode(F.sequence(F.lit(0), count.cast("int"))).alias("copy")).where("copy > 0")
+    order = F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), "doc", F.col("copy").cast("string")).cast("binary"))
+    return copies.select("row", order.alias("at")).repartition("at").sortWithinPartitions("at").select("row.*")

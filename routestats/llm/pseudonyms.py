@@ -188,12 +188,3 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     return docs.withColumn("text", pseudonymised(F.col("text"), key))
 
-
-def pseudonym_counts(text: Column) -> Column:
-    """How many candidates of each kind a text holds that are valid, as a map."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0))
-    kinds = [
-        F.struct(F.lit(kind), F.size(F.filter(found, lambda v, k=kind: _whole(v, k) & (_MAKERS[k](v, KEY) != v))))
-        for kind in PATTERNS
-    ]
-    return F.map_from_entries(F.array(*kinds))
