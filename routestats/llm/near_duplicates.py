@@ -88,7 +88,8 @@ def _fine(rows: Iterable[tuple]) -> Iterator[tuple]:
     unpack = zstandard.ZstdDecompressor()
     for doc_id, packed in rows:
         items = text_shingles(unpack.decompress(packed).decode("utf-8", "surrogatepass"))
-        yield doc_id, len(items), signature(items, FINE_MINIMA).astype(np.uint8).tobytes()
+        minima = signature(items, FINE_MINIMA)
+        yield doc_id, len(items), signed(band_keys(minima)).tolist(), minima.astype(np.uint8).tobytes()
 
 
 def _packed(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -124,10 +125,11 @@ def _across(best: int | None):
     """Pairs of different components within one group of rows (bucket, block, block) whose signatures agree.
 
     ``best`` keeps only each outer row's partners that agree most. The rows of the largest component are only
-    compared with the others, so a bucket that is nearly one component costs little.
+    compared with the others, so a bucket that is nearly one component costs little. A pair that meets in several
+    bands is given in the first of them.
     """
 
-    def pairs(group: list[np.ndarray], sig: np.ndarray) -> Iterator[tuple]:
+    def pairs(key: int, group: list[np.ndarray], bands: np.ndarray, sig: np.ndarray) -> Iterator[tuple]:
         left, right, own, rep, comp, size = group
         values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
         outer = inverse != counts.argmax()
@@ -139,6 +141,9 @@ def _across(best: int | None):
                 other &= own != own[r]
             other &= (100 * np.minimum(size, size[r]) >= SIMILARITY * np.maximum(size, size[r])) & (rep != rep[r])
             near = np.flatnonzero(other)
+            if len(near):
+                shared = bands[near] == bands[r]
+                near = near[bands[r, shared.argmax(axis=1)] == key]
             if len(near):
                 same = (sig[near, :MINIMA] == sig[r, :MINIMA]).sum(axis=1)
                 good = same >= agreeing(MINIMA)
@@ -164,11 +169,12 @@ def _across(best: int | None):
         key, *columns = (table.column(i).to_numpy() for i in range(7))
         change = np.flatnonzero((np.diff(key) != 0) | (np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
         ends = [*change.tolist(), *([len(key)] if final else [])]
-        sig, start = table.column(7).combine_chunks(), 0
+        bands, sig, start = table.column(7).combine_chunks(), table.column(8).combine_chunks(), 0
         for end in ends:
             if end - start > 1:
                 rows = [c[start:end] for c in columns]
-                yield from pairs(rows, np.stack([np.frombuffer(x, np.uint8) for x in sig[start:end].to_pylist()]))
+                bits = np.stack([np.frombuffer(x, np.uint8) for x in sig[start:end].to_pylist()])
+                yield from pairs(key[start], rows, bands[start:end].flatten().to_numpy().reshape(-1, BANDS), bits)
             start = end
         return table.slice(start).combine_chunks()
 
@@ -210,7 +216,7 @@ def _crossing(mixed: DataFrame, reps: DataFrame, best: int | None) -> DataFrame:
     dealt = dealt.select(
         "key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "rep", "comp"
     )
-    dealt = dealt.join(reps, "rep").select("key", "left", "right", "own", "rep", "comp", "n_shingles", "sig")
+    dealt = dealt.join(reps, "rep").select("key", "left", "right", "own", "rep", "comp", "n_shingles", "bands", "sig")
     ordered = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "rep")
     return ordered.mapInArrow(_across(best), "a long, b long").distinct()
 
@@ -247,7 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = reps.select(F.explode("bands").alias("key"), "rep")
     shared = banded.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     met = materialize(banded.join(shared, "key"), "buckets")
-    members, sketched = met.select("key", "rep").distinct(), reps.select("rep", "n_shingles", "sig")
+    members = met.select("key", "rep").distinct()
     packed = map_rows(docs, _packed, pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())]), "doc_id long, packed binary",
                       lambda row: len(row[1]))
     texts = materialize(packed.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "texts")
@@ -257,15 +263,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hub = hub.select("key", (-F.col("hub")[F.lit("col2")]).alias("hub"))
     spokes = met.join(hub, "key").where("rep <> hub")
     spokes = spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    tried = _confirmed(_sketched_pairs(spokes, sketched), texts)
+    tried = _confirmed(_sketched_pairs(spokes, reps), texts)
     roots = connected_components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     for best in (BEST, None):
         mixed = _mixed(members, roots)
         if best is None:
             wanted = texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            schema = pa.schema([("rep", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
-            sketched = map_rows(wanted, _fine, schema, "rep long, n_shingles long, sig binary")
-        pairs = _crossing(mixed, sketched, best).join(tried, ["a", "b"], "left_anti")
+            schema = pa.schema([("rep", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+            reps = map_rows(wanted, _fine, schema, "rep long, n_shingles long, bands array<long>, sig binary", lambda _: 1400)
+        pairs = _crossing(mixed, reps, best).join(tried, ["a", "b"], "left_anti")
         new = _confirmed(pairs, texts)
         links = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
