@@ -17,7 +17,7 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z_+])\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "address": r"(?<![0-9A-Za-z_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_]|\.[0-9])",
-    "date": _EDGE + r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}" + _END,
+    "date": _EDGE + r"(?:(?:19|20)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})" + _END,
 }
 ANY = "|".join(PATTERNS.values())
 _LONGS = "array<long>"
@@ -128,8 +128,15 @@ def _address(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    """Days of 1900 to 2099; the 366th days of leap years are permuted among themselves."""
-    day = F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date")
+    """Days of 1900 to 2099; the 366th days of leap years are permuted among themselves.
+
+    A day has the same pseudonym however it is written, each time in the form it had. Forms whose
+    order of day and month can't be told are not read.
+    """
+    forms = {"-": "yyyy-MM-dd", "/": "yyyy/MM/dd", ".": "dd.MM.yyyy"}
+    day = F.coalesce(*[
+        F.when(value.contains(sign), F.try_to_timestamp(value, F.lit(form))) for sign, form in forms.items()
+    ]).cast("date")
     year, of_year = F.year(day).cast("long"), F.dayofyear(day).cast("long")
     sizes = F.array(F.lit(200).cast("long"), F.lit(365).cast("long"))
     new = permuted(F.array(year - 1900, F.least(of_year, F.lit(365).cast("long")) - 1), sizes, f"{key}|date")
@@ -137,8 +144,9 @@ def _date(value: Column, key: str) -> Column:
     leap = permuted(F.array(F.floor((year - 1904) / 4 / 7), F.pmod(F.floor((year - 1904) / 4), F.lit(7))),
                     F.array(F.lit(7).cast("long"), F.lit(7).cast("long")), f"{key}|leap")
     last = F.make_date(1904 + 4 * (7 * leap[0] + leap[1]), F.lit(12), F.lit(31))
-    moved = F.date_format(F.when(of_year == 366, last).otherwise(common), "yyyy-MM-dd")
-    return F.coalesce(F.when(day.isNotNull(), moved), value)
+    moved = F.when(of_year == 366, last).otherwise(common)
+    written = F.coalesce(*[F.when(value.contains(sign), F.date_format(moved, form)) for sign, form in forms.items()])
+    return F.coalesce(F.when(day.isNotNull(), written), value)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -178,9 +186,9 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with the personal values of ``text`` pseudonymised; all other columns as they are.
 
-    Card numbers (Luhn), phone numbers (+1), social security numbers, internet addresses, ISO dates and the local
-    parts of e-mail addresses are permuted by a keyed Feistel network within their format: equal values have equal
-    pseudonyms in all documents, different values of a kind different ones. Whoever has the key can undo it.
+    Card numbers (Luhn), phone numbers (+1), social security numbers, internet addresses, dates and the local parts of
+    e-mail addresses are permuted by a keyed Feistel network within their format: equal values have equal pseudonyms
+    in all documents, different values of a kind different ones. Whoever has the key can undo it.
 
     A null text stays null, an empty one empty; candidates that fail their check (Luhn sum, calendar, ranges) stay.
     The lengths of texts stay, but for internet addresses, whose parts may gain or lose a digit. Rows are taken one

@@ -23,7 +23,7 @@ def mapped(spark, values):
 def test_every_kind_keeps_its_format(spark):
     card = with_check("411111111111111")
     cards = [card, f"{card[:4]}-{card[4:8]}-{card[8:12]}-{card[12:]}", with_check("37828224631000")]
-    values = [*cards, "+1 (415) 555-2671", "+1-415-555-2671", "+14155552671", "123-45-6789", "12.34.56.78", "2021-02-28", "2020-12-31",
+    values = [*cards, "+1 (415) 555-2671", "+1-415-555-2671", "+14155552671", "123-45-6789", "12.34.56.78", "2021-02-28", "2020-12-31", "2021/02/28", "28.02.2021",
               "jo.doe+x9@mail.example.com", "a@b.org"]
     new = mapped(spark, values)
     for old, made in new.items():
@@ -36,8 +36,9 @@ def test_every_kind_keeps_its_format(spark):
     assert len({digits(new[p]) for p in values if p.startswith("+")}) == 1
     assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", new["+1 (415) 555-2671"])
     assert new["a@b.org"].endswith("@b.org")
-    assert all(0 <= int(p) <= 255 for p in new["12.34.56.78"].split("."))
-    datetime.date.fromisoformat(new["2021-02-28"])
+    assert new["12.34.56.78"].count(".") == 3 and all(0 <= int(p) <= 255 for p in new["12.34.56.78"].split("."))
+    moved = datetime.date.fromisoformat(new["2021-02-28"])
+    assert new["2021/02/28"] == moved.strftime("%Y/%m/%d") and new["28.02.2021"] == moved.strftime("%d.%m.%Y")
     assert new["2020-12-31"].endswith("12-31")
 
 
@@ -45,7 +46,7 @@ def test_invalid_values_and_other_text_stay(spark):
     card = with_check("411111111111111")
     wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
     stay = [wrong, "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000", "300.1.2.3", "0.1.2.3", "1.2.3.4.5", "2021-02-30",
-            "2021-13-01", "1.2.3", "12345", "x" + card, card + "7" * 8, "+1 (115) 555-0000", "no@host", "@a.b", "", "plain"]
+            "2021-13-01", "2021-01/02", "02/28/2021", "30.02.2021", "1.2.3", "12345", "x" + card, card + "7" * 8, "+1 (115) 555-0000", "no@host", "@a.b", "", "plain"]
     new = mapped(spark, stay)
     assert {v: m for v, m in new.items() if v != m} == {}
     text = f"call +1 (415) 555-2671, or {card}; from 10.20.30.40. Mail: x1@y.zz!\n{card}"
