@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,35 +14,54 @@ KEY = "pseudonyms-1"
 _EDGE, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 #: Candidates, in the order in which they are tried at a place; each is validated after it is found.
 PATTERNS = {
-    "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z][0-9A-Za-z._%+-]{0,63}@[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62}){1,8}",
+    "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z][0-9A-Za-z._%+-]{0,63}+@[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62}){1,8}",
     "card": _EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})" + _END,
     "phone": r"(?<![0-9A-Za-z_+])\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "address": r"(?<![0-9A-Za-z_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_]|\.[0-9])",
     "date": _EDGE + r"(?:(?:19|20)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})" + _END,
 }
-ANY = "|".join(PATTERNS.values())
+#: All in one, written for speed: a run of an address is never gone back into, and at any place that is no digit or
+#: plus sign the numbers are out of the question at once.
+ANY = PATTERNS["email"] + "|(?=[0-9+])(?:" + "|".join(p for kind, p in PATTERNS.items() if kind != "email") + ")"
+#: What every candidate holds.
+HINT = "[0-9@]"
 _LONGS = "array<long>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _longs(*numbers: int) -> Column:
+    return F.array(*[F.lit(n).cast("long") for n in numbers])
+
+
 def _whole(value: Column, kind: str) -> Column:
     return value.rlike(f"^(?:{PATTERNS[kind]})$")
 
 
+def _chars(value: Column) -> Column:
+    return F.filter(F.split(value, ""), lambda c: c != "")
+
+
 def _digits(value: Column) -> Column:
     """The characters of a string of digits as numbers."""
-    return F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: c.cast("long"))
+    return F.transform(_chars(value), lambda c: c.cast("long"))
 
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of an array of digits, the last one counted once."""
-    n = F.size(digits)
 
-    def term(d: Column, i: Column) -> Column:
-        twice = 2 * d
-        return F.when((n - i) % 2 == 1, d).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
+    def total(known: Column) -> Column:
+        def term(d: Column, i: Column) -> Column:
+            twice = 2 * d
+            return F.when((F.size(known) - i) % 2 == 1, d).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
 
-    return F.aggregate(F.transform(digits, term), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.aggregate(F.transform(known, term), F.lit(0).cast("long"), lambda a, b: a + b)
+
+    return _let(digits, total)
 
 
 def permuted(symbols: Column, sizes: Column, key: str) -> Column:
@@ -49,31 +70,39 @@ def permuted(symbols: Column, sizes: Column, key: str) -> Column:
     An alternating Feistel network: in each round one half's numbers are moved, modulo their sizes, by a keyed hash of
     the other half. Each round can be undone, so different arrays stay different, and the formats stay.
     """
-    half = F.floor(F.size(symbols) / 2)
 
-    def turn(state: Column, turn_: Column) -> Column:
-        left = turn_ % 2 == 0
-        other = F.when(left, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half))
-        said = F.array_join(F.transform(other, lambda v: v.cast("string")), ",")
+    def network(x: Column) -> Column:
+        half = F.floor(F.size(x["sizes"]) / 2)
+
+        def turn(state: Column, number: Column) -> Column:
+            left = number % 2 == 0
+            other = F.when(left, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half))
+
+            def moved(said: Column) -> Column:
+                def move(size: Column, i: Column) -> Column:
+                    text = F.concat_ws("|", F.lit(key), number.cast("string"), i.cast("string"), said)
+                    drawn = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+                    own = F.element_at(state, (i + 1).cast("int"))
+                    return F.when((i < half) == left, F.pmod(own + F.pmod(drawn, size), size)).otherwise(own)
 
-        def move(size: Column, i: Column) -> Column:
-            text = F.concat_ws("|", F.lit(key), turn_.cast("string"), i.cast("string"), said)
-            drawn = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
-            own = F.element_at(state, (i + 1).cast("int"))
-            return F.when((i < half) == left, F.pmod(own + F.pmod(drawn, size), size)).otherwise(own)
+                return F.transform(x["sizes"], move)
 
-        return F.transform(sizes, move).cast(_LONGS)
+            return _let(F.array_join(F.transform(other, lambda v: v.cast("string")), ","), moved).cast(_LONGS)
 
-    rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(rounds, symbols.cast(_LONGS), turn)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x["symbols"], turn)
+
+    return _let(F.struct(symbols.cast(_LONGS).alias("symbols"), sizes.cast(_LONGS).alias("sizes")), network)
 
 
 def _refilled(value: Column, symbols: Column, wanted: str) -> Column:
     """``value`` with its characters of the set ``wanted`` replaced in order by the given strings."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    rank = lambda i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c.rlike(wanted)))
-    put = F.transform(chars, lambda c, i: F.when(c.rlike(wanted), F.element_at(symbols, rank(i))).otherwise(c))
-    return F.array_join(put, "")
+
+    def filled(x: Column) -> Column:
+        rank = lambda i: F.size(F.filter(F.slice(x["chars"], F.lit(1), i + 1), lambda c: c.rlike(wanted)))
+        put = F.transform(x["chars"], lambda c, i: F.when(c.rlike(wanted), F.element_at(x["symbols"], rank(i))).otherwise(c))
+        return F.array_join(put, "")
+
+    return _let(F.struct(_chars(value).alias("chars"), symbols.alias("symbols")), filled)
 
 
 def _text(numbers: Column) -> Column:
@@ -82,22 +111,24 @@ def _text(numbers: Column) -> Column:
 
 def _card(value: Column, key: str) -> Column:
     """The first digit stays, the check digit is computed anew; only numbers that pass the Luhn check change."""
-    digits = _digits(F.regexp_replace(value, "[ -]", ""))
-    middle = F.slice(digits, F.lit(2), F.size(digits) - 2)
-    moved = permuted(middle, F.transform(middle, lambda _: F.lit(10).cast("long")), f"{key}|card")
-    head = F.concat(F.slice(digits, 1, 1), moved)
-    check = F.pmod(-_luhn(F.concat(head, F.array(F.lit(0).cast("long")))), F.lit(10).cast("long"))
-    new = _refilled(value, _text(F.concat(head, F.array(check))), "[0-9]")
-    return F.when(_luhn(digits) % 10 == 0, new).otherwise(value)
+
+    def changed(digits: Column) -> Column:
+        def checked(head: Column) -> Column:
+            check = F.pmod(-_luhn(F.concat(head, _longs(0))), F.lit(10).cast("long"))
+            return _refilled(value, _text(F.concat(head, F.array(check))), "[0-9]")
+
+        middle = F.slice(digits, F.lit(2), F.size(digits) - 2)
+        moved = permuted(middle, F.transform(middle, lambda _: F.lit(10).cast("long")), f"{key}|card")
+        return F.when(_luhn(digits) % 10 == 0, _let(F.concat(F.slice(digits, 1, 1), moved), checked)).otherwise(value)
+
+    return _let(_digits(F.regexp_replace(value, "[ -]", "")), changed)
 
 
 def _phone(value: Column, key: str) -> Column:
     """The country code stays; area and exchange keep a first digit from 2 to 9."""
     digits = _digits(F.regexp_replace(F.substring(value, 3, 100), "[^0-9]", ""))
-    low = F.transform(digits, lambda _, i: F.when(i.isin(0, 3), 2).otherwise(0).cast("long"))
-    moved = permuted(
-        F.zip_with(digits, low, lambda d, b: d - b), F.transform(low, lambda b: (10 - b).cast("long")), f"{key}|phone"
-    )
+    low, sizes = _longs(2, 0, 0, 2, 0, 0, 0, 0, 0, 0), _longs(8, 10, 10, 8, 10, 10, 10, 10, 10, 10)
+    moved = permuted(F.zip_with(digits, low, lambda d, b: d - b), sizes, f"{key}|phone")
     new = F.zip_with(moved, low, lambda d, b: d + b)
     return F.concat(F.lit("+1"), _refilled(F.substring(value, 3, 100), _text(new), "[0-9]"))
 
@@ -107,24 +138,27 @@ def _ssn(value: Column, key: str) -> Column:
     area, group, serial = (F.substring(value, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     index = F.when(area > 666, area - 2).otherwise(area - 1)
-    sizes = F.array(*[F.lit(n).cast("long") for n in (898, 99, 9999)])
-    new = permuted(F.array(index, group - 1, serial - 1), sizes, f"{key}|ssn")
-    back = F.when(new[0] >= 665, new[0] + 2).otherwise(new[0] + 1)
-    text = F.concat_ws(
-        "-", F.lpad(back.cast("string"), 3, "0"), F.lpad((new[1] + 1).cast("string"), 2, "0"),
-        F.lpad((new[2] + 1).cast("string"), 4, "0"),
-    )
-    return F.when(valid, text).otherwise(value)
+
+    def written(new: Column) -> Column:
+        back = F.when(new[0] >= 665, new[0] + 2).otherwise(new[0] + 1)
+        parts = ((back, 3), (new[1] + 1, 2), (new[2] + 1, 4))
+        return F.concat_ws("-", *[F.lpad(n.cast("string"), width, "0") for n, width in parts])
+
+    new = permuted(F.array(index, group - 1, serial - 1), _longs(898, 99, 9999), f"{key}|ssn")
+    return F.when(valid, _let(new, written)).otherwise(value)
 
 
 def _address(value: Column, key: str) -> Column:
     """Internet addresses with a first part of 1 to 223 and others up to 255; others stay."""
-    parts = F.transform(F.split(value, r"\."), lambda p: p.cast("long"))
-    valid = F.element_at(parts, 1).between(1, 223) & F.forall(parts, lambda p: p <= 255)
-    sizes = F.array(*[F.lit(n).cast("long") for n in (223, 256, 256, 256)])
-    new = permuted(F.transform(parts, lambda p, i: F.when(i == 0, F.pmod(p - 1, F.lit(223).cast("long"))).otherwise(p)), sizes, f"{key}|address")
-    text = F.array_join(F.transform(new, lambda p, i: F.when(i == 0, p + 1).otherwise(p).cast("string")), ".")
-    return F.when(valid, text).otherwise(value)
+
+    def changed(parts: Column) -> Column:
+        valid = F.element_at(parts, 1).between(1, 223) & F.forall(parts, lambda p: p <= 255)
+        symbols = F.transform(parts, lambda p, i: F.when(i == 0, p - 1).otherwise(p))
+        new = permuted(symbols, _longs(223, 256, 256, 256), f"{key}|address")
+        text = F.transform(new, lambda p, i: F.when(i == 0, p + 1).otherwise(p).cast("string"))
+        return F.when(valid, F.array_join(text, ".")).otherwise(value)
+
+    return _let(F.transform(F.split(value, r"\."), lambda p: p.cast("long")), changed)
 
 
 def _date(value: Column, key: str) -> Column:
@@ -134,33 +168,38 @@ def _date(value: Column, key: str) -> Column:
     order of day and month can't be told are not read.
     """
     forms = {"-": "yyyy-MM-dd", "/": "yyyy/MM/dd", ".": "dd.MM.yyyy"}
-    day = F.coalesce(*[
+    read = F.coalesce(*[
         F.when(value.contains(sign), F.try_to_timestamp(value, F.lit(form))) for sign, form in forms.items()
     ]).cast("date")
-    year, of_year = F.year(day).cast("long"), F.dayofyear(day).cast("long")
-    sizes = F.array(F.lit(200).cast("long"), F.lit(365).cast("long"))
-    new = permuted(F.array(year - 1900, F.least(of_year, F.lit(365).cast("long")) - 1), sizes, f"{key}|date")
-    common = F.date_add(F.make_date(new[0] + 1900, F.lit(1), F.lit(1)), new[1].cast("int"))
-    leap = permuted(F.array(F.floor((year - 1904) / 4 / 7), F.pmod(F.floor((year - 1904) / 4), F.lit(7))),
-                    F.array(F.lit(7).cast("long"), F.lit(7).cast("long")), f"{key}|leap")
-    last = F.make_date(1904 + 4 * (7 * leap[0] + leap[1]), F.lit(12), F.lit(31))
-    moved = F.when(of_year == 366, last).otherwise(common)
-    written = F.coalesce(*[F.when(value.contains(sign), F.date_format(moved, form)) for sign, form in forms.items()])
-    return F.coalesce(F.when(day.isNotNull(), written), value)
+
+    def moved(day: Column) -> Column:
+        year, of_year = F.year(day).cast("long"), F.dayofyear(day).cast("long")
+        common = permuted(F.array(year - 1900, of_year - 1), _longs(200, 365), f"{key}|date")
+        leap = permuted(F.array(F.floor((year - 1904) / 28), F.pmod(F.floor((year - 1904) / 4), F.lit(7))), _longs(7, 7), f"{key}|leap")
+        return F.when(of_year < 366, _let(common, lambda n: F.date_add(F.make_date(n[0] + 1900, F.lit(1), F.lit(1)), n[1].cast("int")))).otherwise(
+            _let(leap, lambda n: F.make_date(1904 + 4 * (7 * n[0] + n[1]), F.lit(12), F.lit(31)))
+        )
+
+    def written(day: Column) -> Column:
+        return F.coalesce(*[F.when(value.contains(sign), F.date_format(day, form)) for sign, form in forms.items()])
+
+    return _let(read, lambda day: F.when(day.isNull(), value).otherwise(_let(moved(day), written)))
 
 
 def _email(value: Column, key: str) -> Column:
     """Letters and digits before the @ change within their kind; the domain stays. Equal up to case stay linked."""
-    name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    chars = F.filter(F.split(F.lower(name), ""), lambda c: c.rlike("[0-9a-z]"))
-    base = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 48).otherwise(97).cast("long"))
-    sizes = F.transform(base, lambda b: F.when(b == 48, 10).otherwise(26).cast("long"))
-    codes = F.zip_with(chars, base, lambda c, b: F.ascii(c) - b)
-    # A second symbol for names of one character: a network needs two halves.
-    codes, sizes = (F.concat(x, F.array(F.lit(n).cast("long"))) for x, n in ((codes, 0), (sizes, 1)))
-    moved = permuted(codes, sizes, f"{key}|email|")
-    new = F.transform(F.slice(moved, F.lit(1), F.size(base)), lambda n, i: F.char(n + F.element_at(base, (i + 1).cast("int"))))
-    return F.concat(_refilled(F.lower(name), new, "[0-9a-z]"), F.lit("@"), domain)
+    name, domain = F.substring_index(F.lower(value), "@", 1), F.substring_index(value, "@", -1)
+
+    def changed(chars: Column) -> Column:
+        base = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 48).otherwise(97).cast("long"))
+        sizes = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 10).otherwise(26).cast("long"))
+        codes = F.zip_with(chars, base, lambda c, b: F.ascii(c) - b)
+        # A second symbol for names of one character: a network needs two halves.
+        moved = permuted(F.concat(codes, _longs(0)), F.concat(sizes, _longs(1)), f"{key}|email|")
+        new = F.zip_with(F.slice(moved, F.lit(1), F.size(chars)), base, lambda n, b: F.char(n + b))
+        return F.concat(_refilled(name, new, "[0-9a-z]"), F.lit("@"), domain)
+
+    return _let(F.filter(_chars(name), lambda c: c.rlike("[0-9a-z]")), changed)
 
 
 _MAKERS = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "address": _address, "date": _date}
@@ -180,7 +219,7 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     joined = F.array_join(
         F.zip_with(between, new, lambda part, value: F.concat(part, F.coalesce(value, F.lit("")))), ""
     )
-    return F.when(F.size(found) > 0, joined).otherwise(text)
+    return F.when(text.rlike(HINT), F.when(F.size(found) > 0, joined).otherwise(text)).otherwise(text)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
