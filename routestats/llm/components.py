@@ -9,8 +9,12 @@ from routestats.session import materialize
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """The smallest of each ``u`` and its neighbours; combined before the shuffle, so a hub is one row per task."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """The smallest of each ``u`` and its neighbours; combined before the shuffle, so a hub is one row per task.
+
+    Written, so that the join of a hub's edges to it has a plain shuffle on both sides, which can be split.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return materialize(least, "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

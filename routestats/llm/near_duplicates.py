@@ -205,7 +205,7 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low < high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+    mixed = materialize(mixed.where("low < high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), "keys")
     return materialize(labelled.join(mixed, "key"), "mixed")
 
 
@@ -242,16 +242,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialize(map_rows(docs, _sketch, _SKETCH, _SKETCH_DDL, lambda _: 700), "sketches")
     named = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(
-        named.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep").distinct(), "classes"
-    )
-    heads = member.where("doc_id = rep").select("doc_id")
-    reps = materialize(
-        named.join(heads, "doc_id").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"), "class-sketches"
-    )
+    # Sides that aggregate by the join's key are written first: a join of plain shuffles can be split at a hot key.
+    classes = materialize(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    member = materialize(named.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]), "members")
+    heads = member.where("doc_id = rep").select("doc_id", "h1", "h2").distinct()
+    chosen = named.join(heads, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
+    reps = materialize(chosen.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"), "class-sketches")
     banded = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = banded.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), "shared")
     met = materialize(banded.join(shared, "key"), "buckets")
     members = met.select("key", "rep").distinct()
     packed = map_rows(docs, _packed, pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())]), "doc_id long, packed binary",
@@ -260,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     degree = met.groupBy("rep").agg(F.sum("met").alias("degree"))
     hub = met.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"))).alias("hub"))
-    hub = hub.select("key", (-F.col("hub")[F.lit("col2")]).alias("hub"))
+    hub = materialize(hub.select("key", (-F.col("hub")[F.lit("col2")]).alias("hub")), "hubs")
     spokes = met.join(hub, "key").where("rep <> hub")
     spokes = spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     tried = _confirmed(_sketched_pairs(spokes, reps), texts)

@@ -24,7 +24,7 @@ SPACE = "▁"
 #: Fixed by the format: an unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Encodings of words kept by a task (about 250 bytes each).
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 

@@ -206,12 +206,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     profiles = materialize(map_rows(docs, _profile, schema, ddl, lambda row: 200 + 8 * len(row[5])), "profiles")
     able = profiles.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
     classes = materialize(able.groupBy("h1", "h2").agg(F.min("doc_id").alias("head")), "classes")
-    heads = able.join(classes, ["h1", "h2"]).where("doc_id = head").select("doc_id", "h1", "h2", "phrases")
-    held = materialize(heads.dropDuplicates(["doc_id", "h1", "h2"]), "heads")
-    spread = held.select("doc_id", "h1", "h2", F.explode("phrases").alias("phrase"))
+    heads = able.join(classes, ["h1", "h2"]).where("doc_id = head")
+    heads = materialize(heads.select("doc_id", "h1", "h2", "phrases"), "heads")
+    spread = heads.select("doc_id", "h1", "h2", F.explode("phrases").alias("phrase"))
     recurring = spread.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    having = spread.join(recurring.select("phrase"), "phrase").groupBy("doc_id", "h1", "h2")
-    having = having.agg(F.collect_list("phrase").alias("recurring"))
+    # Written: a join of plain shuffles can be split at a hot phrase.
+    recurring = materialize(recurring.select("phrase"), "recurring")
+    having = spread.join(recurring, "phrase").groupBy("doc_id", "h1", "h2")
+    having = having.agg(F.collect_set("phrase").alias("recurring"))
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_words", pa.int64()),
                         ("packed", pa.binary())])
     packed = map_rows(docs, _packed, schema, "doc_id long, h1 long, h2 long, n_words long, packed binary",
