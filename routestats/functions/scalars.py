@@ -46,6 +46,19 @@ def text_to_double(c: str | Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
+def text_to_integer(c: str | Column, kind: str = "bigint") -> Column:
+    """A whole number, exact over the whole range of ``kind``; NULL for anything else.
+
+    Plain digits never pass through a double. Other spellings of a whole number ("5.0", "1e3") count
+    while a double holds them exactly; a fraction is not a whole number and gives NULL.
+    """
+    text = F.trim(_col(c))
+    value = text_to_double(text)
+    whole = (value == F.floor(value)) & (F.abs(value) < F.lit(float(1 << 53)))
+    plain = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(kind))
+    return F.coalesce(plain, F.when(~text.rlike(r"^[+-]?\d+$") & whole, value.cast("bigint").try_cast(kind)))
+
+
 def sum0(c: str | Column) -> Column:
     """Sum in which an all-missing group is 0 (N1)."""
     return F.coalesce(F.sum(_col(c).cast("double")), F.lit(0.0))
@@ -118,7 +131,11 @@ def zfill(c: str | Column, width: int) -> Column:
 
 
 def key_hash(keys: Iterable[str], seed: int) -> Column:
-    """A seeded, partition-independent hash of the key columns, uniform on [0, 2**60)."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    """A seeded, partition-independent hash of the key columns, uniform on [0, 2**60).
+
+    Each part is preceded by its length, so different keys, missing ones included, have different texts.
+    """
+    texts = [F.col(k).cast("string") for k in keys]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
     digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routestats.functions.scalars import pct, safe_divide, sum0
+from routestats.functions.scalars import nan_to_null, pct, safe_divide, sum0
 
 
 def group_agg(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -82,18 +82,18 @@ def mean_of_group_counts(df: DataFrame, keys: Sequence[str], name: str = "mean_n
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """AGG13: distinct non-missing values per column, one row per column.
+    """AGG13: distinct non-missing values per column, NaN left out, one row per column.
 
     Exact counts de-duplicate ``(column, value)`` before the shuffle, then count per column in two
     steps, so no task holds a column's whole value set. ``approx`` opts in to a sketch.
     """
-    if approx:
-        return df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).unpivot([], list(cols), "column", "n")
-    # Zero is one value whatever its sign, which its text form would tell apart.
     kinds = dict(df.dtypes)
-    texts = df.select(
-        *[(F.col(c) + 0.0 if kinds[c] in ("double", "float") else F.col(c)).cast("string").alias(c) for c in cols]
-    )
+    # Zero is one value whatever its sign, which its text form would tell apart.
+    known = {c: nan_to_null(F.col(c)) + 0.0 if kinds[c] in ("double", "float") else F.col(c) for c in cols}
+    if approx:
+        sketches = df.agg(*[F.approx_count_distinct(known[c]).alias(c) for c in cols])
+        return sketches.unpivot([], list(cols), "column", "n")
+    texts = df.select(*[known[c].cast("string").alias(c) for c in cols])
     pairs = texts.unpivot([], list(cols), "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)))
     return pairs.groupBy("column").agg(F.count("value").alias("n"))
 

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from routestats.functions.scalars import number
 from routestats.operators.joins import with_global
-from routestats.operators.quantiles import quantile_arrays
+from routestats.operators.quantiles import interpolated, quantile_arrays, sorted_arrays
 from routestats.operators.scale import join_sized
 from routestats.operators.topk import sample_n
 from routestats.session import materialize
 
 
+_LOOK_ROWS = 10_000  # rows that tell corr_matrix where the values lie
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """ST01: Pearson correlation of every pair over its complete rows, as ``(x, y, corr)``.
 
@@ -27,9 +30,12 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     cols = list(cols)
     numbers = df.select(*[number(c).alias(c) for c in cols])
-    means = numbers.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    # Centred values keep the sums of squares free of cancellation.
-    centred = numbers.select(*[(F.col(c) - means.getField(c)).alias(c) for c in cols])
+    # Any point among the values keeps the sums of squares free of cancellation, so a look at a few
+    # rows serves as well as a pass for the means.
+    middle = numbers.limit(_LOOK_ROWS).agg(*[F.avg(c) for c in cols]).first()
+    centred = numbers.select(
+        *[(F.col(c) - F.lit(m if m is not None and math.isfinite(m) else 0.0)).alias(c) for c, m in zip(cols, middle)]
+    )
     names = ["n", "sx", "sxx", "sy", "syy", "sxy", "xlo", "xhi", "ylo", "yhi"]
 
     def moments(batches):  # nested, so that it reaches the workers by value
@@ -89,13 +95,17 @@ def histogram(
     """ST03: equal-width bins over [lo, hi], by default the value range (of each key).
 
     Bins are closed on the left, the last on both sides; empty bins are listed with 0. A single
-    distinct value v is spread over [v - 0.5, v + 0.5]. Missing values are not counted.
+    distinct value v is spread over [v - 0.5, v + 0.5]. Missing values are not counted. A range with
+    an infinite end has no bins of equal width and fails the job.
     """
     keys = list(keys)
     rows = df.select(*keys, number(col).alias("_v")).dropna()
     low = F.min("_v" if lo is None else F.lit(float(lo)))
     high = F.max("_v" if hi is None else F.lit(float(hi)))
     edges = rows.groupBy(*keys).agg(F.coalesce(low, F.lit(0.0)).alias("_a"), F.coalesce(high, F.lit(1.0)).alias("_b"))
+    endless = (F.abs("_a") == math.inf) | (F.abs("_b") == math.inf)
+    message = f"histogram of {col}: the range of values is not finite"
+    edges = edges.withColumn("_a", F.when(endless, F.raise_error(F.lit(message)).cast("double")).otherwise(F.col("_a")))
     edges = edges.select(
         *keys,
         F.when(F.col("_a") == F.col("_b"), F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_lo"),
@@ -134,37 +144,55 @@ def histogram(
 def box_stats(df: DataFrame, key: str | None, cols: Sequence[str], whis: float = 1.5) -> DataFrame:
     """ST04, ST05: quartiles and whiskers per key and column; outliers are left out.
 
-    A whisker ends at the furthest value within ``whis`` interquartile ranges of the box.
+    A whisker ends at the furthest value within ``whis`` interquartile ranges of the box. Where a
+    task can hold a group's values, all is read from one sorted array; else the quartiles are joined
+    to the rows, one wide row per key, and one more pass finds the whiskers of all columns.
     """
-    keys = [key] if key else []
+    keys, quartiles = [key] if key else [], [0.25, 0.5, 0.75]
+
+    def fences(qv: Column) -> tuple[Column, Column]:
+        reach = F.lit(whis) * (qv[2] - qv[0])
+        return qv[0] - reach, qv[2] + reach
+
+    def boxed(n: Column, qv: Column, low: Column, high: Column) -> list[Column]:
+        return [
+            "column", n.alias("n"), qv[0].alias("q1"), qv[1].alias("median"), qv[2].alias("q3"),
+            F.least(low, qv[0]).alias("whisker_lo"), F.greatest(high, qv[2]).alias("whisker_hi"),
+        ]
+
+    arrays = sorted_arrays(df, cols, keys)
+    if arrays is not None:
+        ordered = F.col("ordered")
+        arrays = arrays.where(F.size(ordered) > 0).withColumn("qv", interpolated(ordered, quartiles))
+        low, high = fences(F.col("qv"))
+        arrays = arrays.select(
+            *keys, "column", "qv", F.size(ordered).cast("long").alias("n"),
+            F.array_min(F.filter(ordered, lambda v: v >= low)).alias("low"),
+            F.array_max(F.filter(ordered, lambda v: v <= high)).alias("high"),
+        )
+        return arrays.select(*keys, *boxed(F.col("n"), F.col("qv"), F.col("low"), F.col("high")))
+
     rows = df.select(*keys, *[number(c).alias(c) for c in cols])
     rows = rows.dropna(subset=keys) if keys else rows
-    qv = F.col("qv")
-    reach = F.lit(whis) * (qv[2] - qv[0])
-    boxes = (
-        quantile_arrays(rows, cols, [0.25, 0.5, 0.75], keys)
-        .where(qv.isNotNull())
-        .select(
-            *keys,
-            "column",
-            qv[0].alias("q1"),
-            qv[1].alias("median"),
-            qv[2].alias("q3"),
-            (qv[0] - reach).alias("_lo"),
-            (qv[2] + reach).alias("_hi"),
-        )
-    )
-    long = rows.unpivot(keys, list(cols), "column", "value").where(F.col("value").isNotNull())
-    joined = join_sized(long, boxes, [*keys, "column"], "inner")
-    value = F.col("value")
-    return joined.groupBy(*keys, "column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("q1").alias("q1"),
-        F.max("median").alias("median"),
-        F.max("q3").alias("q3"),
-        F.least(F.min(F.when(value >= F.col("_lo"), value)), F.max("q1")).alias("whisker_lo"),
-        F.greatest(F.max(F.when(value <= F.col("_hi"), value)), F.max("q3")).alias("whisker_hi"),
-    )
+    found = quantile_arrays(rows, cols, quartiles, keys).where(F.col("qv").isNotNull())
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("qv"))).alias(f"_q_{c}") for c in cols])
+    if keys:
+        joined = join_sized(rows, wide, keys, "inner")
+    else:
+        row = wide.select(F.struct(*wide.columns)).scalar()
+        joined = rows.select("*", *[row.getField(c).alias(c) for c in wide.columns])
+    cells = []
+    for c in cols:
+        value, (low, high) = F.col(c), fences(F.col(f"_q_{c}"))
+        cells.append(F.struct(
+            F.lit(c).alias("column"), F.max(f"_q_{c}").alias("qv"), F.count(c).alias("n"),
+            F.min(F.when(value >= low, value)).alias("low"), F.max(F.when(value <= high, value)).alias("high"),
+        ))
+    out = joined.groupBy(*keys).agg(F.array(*cells).alias("_cells")).select(*keys, F.inline("_cells"))
+    return out.where("n > 0").select(*keys, *boxed(F.col("n"), F.col("qv"), F.col("low"), F.col("high")))
+
+
+_CURVES_HELD = 1000  # keys whose sums a task of kde holds before it hands them on
 
 
 def kde(
@@ -172,13 +200,12 @@ def kde(
 ) -> DataFrame:
     """ST06: Gaussian kernel density per key on an even grid, bandwidth ``std * n**(-1/5)``.
 
-    The grid runs from min to max, widened by ``cut`` bandwidths. Equal values are counted first,
-    so a kernel is evaluated once per distinct value, and the sums are combined on the map side.
-    With ``common_norm`` the densities of all keys together integrate to 1. Keys with fewer than
-    two distinct values have no density.
+    The grid runs from min to max, widened by ``cut`` bandwidths. Each task sums the kernels of its
+    own rows; only keys x grid sums are shuffled, not the rows. With ``common_norm`` the densities
+    of all keys together integrate to 1. Keys with fewer than two distinct values have no density.
     """
-    rows = df.select(key, number(col).alias("_v")).dropna()
-    stats = rows.groupBy(key).agg(
+    rows = df.select(F.col(key).alias("_k"), number(col).alias("_v")).dropna()
+    stats = rows.groupBy("_k").agg(
         F.count(F.lit(1)).alias("_n"),
         F.stddev_samp("_v").alias("_std"),
         F.min("_v").alias("_min"),
@@ -187,21 +214,51 @@ def kde(
     total = rows.agg(F.count(F.lit(1))).scalar() if common_norm else F.col("_n")
     width = F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     shapes = stats.where(F.col("_std") > 0).select(
-        key,
+        "_k",
         width.alias("_h"),
         (F.col("_min") - cut * width).alias("_from"),
         (F.col("_max") + cut * width).alias("_to"),
         total.cast("double").alias("_total"),
     )
-    weighted = rows.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    points = join_sized(weighted, shapes, [key], "inner").withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    )
-    at = F.col("_from") + F.col("point") * (F.col("_to") - F.col("_from")) / F.lit(grid - 1)
-    offset = (at - F.col("_v")) / F.col("_h")
-    kernel = F.col("_w") * F.exp(F.lit(-0.5) * offset * offset)
-    scale = F.col("_total") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
-    return points.groupBy(key, "point").agg(F.max(at).alias("x"), F.sum(kernel / scale).alias("density"))
+    joined = join_sized(rows, shapes, ["_k"], "inner").select("_k", "_v", "_h", "_from", "_to", "_total")
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        steps, held, kind = np.arange(grid, dtype="int32"), {}, None
+
+        def out():
+            keys = pa.array(np.repeat(list(range(len(held))), grid))
+            names = pa.array(list(held), kind).take(keys)
+            x, density = (np.concatenate([part[i] for part in held.values()]) for i in (0, 1))
+            columns = [names, pa.array(np.tile(steps, len(held))), pa.array(x), pa.array(density)]
+            return pa.RecordBatch.from_arrays(columns, names=["_k", "point", "x", "density"])
+
+        for batch in batches:
+            coded, kind = batch.column(0).dictionary_encode(), batch.schema.field(0).type
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            value, h, low, high, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            for code, name in enumerate(coded.dictionary.to_pylist()):
+                at = np.flatnonzero(codes == code)
+                i = at[0]
+                x = low[i] + steps * (high[i] - low[i]) / (grid - 1)
+                scale = weight[i] * h[i] * math.sqrt(2 * math.pi)
+                density = held[name][1] if name in held else np.zeros(grid)
+                for start in range(0, len(at), 4096):
+                    offset = (x[:, None] - value[at[start : start + 4096]][None, :]) / h[i]
+                    density = density + np.exp(-0.5 * offset * offset).sum(axis=1) / scale
+                held[name] = x, density
+            if len(held) >= _CURVES_HELD:
+                yield out()
+                held = {}
+        if held:
+            yield out()
+
+    kind = df.schema[key].dataType.simpleString()
+    parts = joined.mapInArrow(sums, f"_k {kind}, point int, x double, density double")
+    curves = parts.groupBy(F.col("_k").alias(key), "point")
+    return curves.agg(F.max("x").alias("x"), F.sum("density").alias("density"))
 
 
 def auto_bins(sample: DataFrame, cols: Sequence[str]) -> dict[str, int]:
@@ -252,16 +309,17 @@ def pair_marginals(sample: DataFrame, cols: Sequence[str], hue: str | None = Non
     return reduce(DataFrame.unionByName, parts)
 
 
-def scatter_data(df: DataFrame, x: str, y: str, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """ST08: sampled points, with the common range of both axes for the diagonal."""
-    points = materialize(sample_n(df, n, keys, seed).select(x, y), "sample")
-    return with_global(
-        points,
-        {
-            "diag_lo": F.least(F.min(x), F.min(y)).cast("double"),
-            "diag_hi": F.greatest(F.max(x), F.max(y)).cast("double"),
-        },
-    )
+def with_diagonal(points: DataFrame, x: str, y: str, start: float | None = None) -> DataFrame:
+    """The ends of the diagonal on every row: the common range of both axes, or from ``start`` on."""
+    low = F.least(F.min(x), F.min(y)).cast("double") if start is None else F.lit(float(start))
+    return with_global(points, {"diag_lo": low, "diag_hi": F.greatest(F.max(x), F.max(y)).cast("double")})
+
+
+def scatter_data(
+    df: DataFrame, x: str, y: str, n: int, keys: Sequence[str], seed: int = 42, start: float | None = None
+) -> DataFrame:
+    """ST08: sampled points, with the ends of the diagonal."""
+    return with_diagonal(materialize(sample_n(df, n, keys, seed).select(x, y), "sample"), x, y, start)
 
 
 def series_data(df: DataFrame, ts: str, v: str, mean: str = "mean_line") -> DataFrame:

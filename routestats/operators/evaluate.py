@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routestats.operators.distribution import histogram, scatter_data
+from routestats.operators.distribution import histogram, with_diagonal
 
 _EPS = 2.220446049250313e-16  # fixed value: the smallest |actual| that MAPE divides by
 
@@ -60,6 +60,6 @@ def residual_histogram(predictions: DataFrame, actual: str, models: Mapping[str,
     return histogram(long, "residual", bins, keys=["model"])
 
 
-def actual_vs_predicted(predictions: DataFrame, actual: str, predicted: str, n: int, keys: Sequence[str]) -> DataFrame:
-    """EVL06: sampled points and the common range of both axes."""
-    return scatter_data(predictions, actual, predicted, n, keys)
+def actual_vs_predicted(predictions: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """EVL06: every row's pair of values, and the common range of both axes."""
+    return with_diagonal(predictions.select(actual, predicted), actual, predicted)

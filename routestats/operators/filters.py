@@ -41,14 +41,15 @@ def filter_any_in(df: DataFrame, cols: Sequence[str], values: Sequence[Any]) ->
 
 
 def active_or_all(df: DataFrame, active: Column, fill: Mapping[str, Any]) -> DataFrame:
-    """FLT08: the active rows, or, when there are none, all rows with ``fill`` values set."""
-    # A limit, not a full pass: each task stops at its first active row.
-    none_active = df.where(active).limit(1).agg(F.count(F.lit(1))).scalar() == 0
-    filled = {
-        c: F.when(none_active, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c))
-        for c, v in fill.items()
-    }
-    return df.where(active | none_active).withColumns(filled)
+    """FLT08: the active rows, or, when there are none, all rows with ``fill`` values set.
+
+    Which of the two is asked once, up to the first active row, so that the result is a plain plan:
+    the filter reaches the scan.
+    """
+    some = df.where(active)
+    if not some.isEmpty():
+        return some
+    return df.withColumns({c: F.lit(v).cast(df.schema[c].dataType) for c, v in fill.items()})
 
 
 def clip_below_quantile(df: DataFrame, col: str, q: float) -> DataFrame:

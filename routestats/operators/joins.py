@@ -35,26 +35,29 @@ def join_calendar(
 def semi_top_k(df: DataFrame, key: str, k: int, by: Column | None = None) -> DataFrame:
     """JOIN03: the rows whose key is among the k largest by ``by`` (row count by default).
 
-    The k keys are stored, so that several passes over the result rank them only once.
+    The k keys are stored, so that several passes over the result rank them only once; they are
+    broadcast if they are few.
     """
     value = F.count(F.lit(1)) if by is None else by
     ranked = df.where(F.col(key).isNotNull()).groupBy(key).agg(value.alias("_by"))
     top = materialize(top_k(ranked, k, "_by", [key]).select(key), "top-keys")
-    return df.join(F.broadcast(top), key, "left_semi")
+    return join_sized(df, top, [key], "left_semi", stored=True).select(*df.columns)
 
 
 def lookup(df: DataFrame, key: str, dim: DataFrame | Mapping[Any, Any], name: str, default: Any) -> DataFrame:
     """JOIN04, CLN08: label rows from a dimension, ``default`` where it has no entry.
 
-    A mapping is a literal in the program and thereby small. A table is ``(key, label)`` with one
-    row per key, and is broadcast only if counted small.
+    A mapping is a literal in the program and thereby small. A table is ``(key, label)``, and is
+    broadcast only if counted small. A key that it has twice gets the largest of its labels, so rows
+    are never multiplied; missing keys and labels are no entries.
     """
     if isinstance(dim, Mapping):
         rows = [(k, v) for k, v in dim.items()]
         labels = df.sparkSession.createDataFrame(rows, [key, name])
         joined = df.join(F.broadcast(labels), key, "left")
     else:
-        joined = join_sized(df, dim.toDF(key, name), [key])
+        one = dim.toDF(key, "_label").dropna().groupBy(key).agg(F.max("_label").alias(name))
+        joined = join_sized(df, one, [key])
     return joined.select(*df.columns, F.coalesce(F.col(name), F.lit(default)).alias(name))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routestats.functions.scalars import HASH_DIGITS, key_hash
+from routestats.session import materialize
 
 _HASH_BITS = 4 * HASH_DIGITS
 _STEP_BITS = 12  # at most 4096 counts reach the driver per narrowing pass
@@ -24,16 +25,18 @@ Fit = Callable[[DataFrame, Sequence[str], str, str], PipelineModel]
 def hash_threshold(df: DataFrame, keys: Sequence[str], rank: int, seed: int) -> int:
     """The ``rank``-th smallest key hash (1-based), or any bound that admits exactly ``rank`` rows.
 
-    Each pass counts rows per next 12 hash bits within the bin found before; the counts combine
-    on the map side, and nothing is sorted or collected but those counts.
+    The first pass counts rows per leading 12 hash bits; the counts combine on the map side. The
+    hashes of the bin that holds the rank, one in 4096, are stored, and further passes read only those.
     """
     hashed = df.select(key_hash(keys, seed).alias("_h"))
     prefix, bits, needed = 0, 0, rank
     while bits < _HASH_BITS:
+        if bits:
+            hashed = hashed.where(F.shiftright("_h", _HASH_BITS - bits) == F.lit(prefix))
+            hashed = materialize(hashed, "hash-bin") if bits == _STEP_BITS else hashed
         bits += _STEP_BITS
         cell = F.shiftright("_h", _HASH_BITS - bits)
-        inside = hashed.where(F.shiftright("_h", _HASH_BITS - bits + _STEP_BITS) == F.lit(prefix))
-        for row in sorted(inside.groupBy(cell.alias("cell")).count().collect()):
+        for row in sorted(hashed.groupBy(cell.alias("cell")).count().collect()):
             if row["count"] >= needed:
                 break
             needed -= row["count"]

@@ -22,8 +22,10 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
-    """PRF02: missing values per column, in one pass."""
-    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
+    """PRF02: missing values per column, NaN among them, in one pass."""
+    floats = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    gone = {c: F.col(f"`{c}`").isNull() | (F.isnan(f"`{c}`") if c in floats else F.lit(False)) for c in df.columns}
+    counts = df.agg(*[F.count_if(gone[c]).alias(c) for c in df.columns])
     return counts.unpivot([], df.columns, "column", "missing")
 
 

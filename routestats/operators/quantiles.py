@@ -13,7 +13,7 @@ from routestats.operators.scale import GROUP_ROWS, group_sizes, join_sized, with
 from routestats.session import materialize
 
 # Values that one task may hold in arrays: some tens of bytes each.
-HELD_VALUES = 10_000_000
+HELD_VALUES = 4_000_000
 _GROUPS_HELD = 128  # groups an object aggregate holds before it falls back to sorting
 
 # Brackets offered around each quantile, as shares of the group.
@@ -38,25 +38,46 @@ def quantile_arrays(
     that, :func:`_by_bracket`.
     """
     keys, cols, qs = list(keys), list(cols), [float(q) for q in qs]
-    named = df.dropna(subset=keys) if keys else df
-    named = named.select(*keys, *[number(c).alias(c) for c in cols])
+    arrays = sorted_arrays(df, cols, keys, limit)
+    if arrays is not None:
+        return arrays.select(*keys, "column", interpolated(F.col("ordered"), qs).alias("qv"))
+    named = _named(df, cols, keys)
+    return _by_bracket(named, keys, cols, qs, group_sizes(named, keys)[1], limit)
+
+
+def _named(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    rows = df.dropna(subset=list(keys)) if keys else df
+    return rows.select(*keys, *[number(c).alias(c) for c in cols])
+
+
+def stacked(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str) -> DataFrame:
+    """``(keys..., column, name)``: columns of one type as rows; ``unpivot`` of arrays does not compile."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias(name)) for c in cols]
+    return df.select(*keys, F.inline(F.array(*cells)))
+
+
+def sorted_arrays(
+    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), limit: int = HELD_VALUES
+) -> DataFrame | None:
+    """``(keys..., column, ordered)``: per key and column all values in one ascending array, or None
+    where a task could come to hold more than ``limit`` values."""
+    named = _named(df, cols, keys)
     largest, total = group_sizes(named, keys)
-    if min(total, _GROUPS_HELD * largest) * len(cols) <= limit:
-        arrays = named.groupBy(*keys).agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in cols])
-        wide = arrays.select(*keys, *[_interpolate(F.col(c), qs).alias(c) for c in cols])
-        return wide.unpivot(keys, cols, "column", "qv")
-    return _by_bracket(named, keys, cols, qs, total, limit)
+    if min(total, _GROUPS_HELD * largest) * len(cols) > limit:
+        return None
+    arrays = named.groupBy(*keys).agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in cols])
+    return stacked(arrays, keys, cols, "ordered")
 
 
 def _between(low: Column, high: Column, part: Column) -> Column:
     return F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
 
 
-def _interpolate(ordered: Column, qs: list[float]) -> Column:
+def interpolated(ordered: Column, qs: Sequence[float]) -> Column:
     """The quantiles of an ascending array; NULL for an empty one."""
     found = []
     for q in qs:
-        place = F.lit(q) * (F.size(ordered) - 1)
+        place = F.lit(float(q)) * (F.size(ordered) - 1)
         low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
         part = place - F.floor(place)
         found.append(_between(F.get(ordered, low), F.get(ordered, high), part))
@@ -118,7 +139,7 @@ def _brackets(named: DataFrame, keys: list[str], cols: list[str], qs: list[float
     cells = [
         F.struct(F.count(c).alias("m"), F.percentile_approx(c, probes, _ACCURACY).alias("at")).alias(c) for c in cols
     ]
-    looks = seen.groupBy(*keys).agg(*cells).unpivot(keys, cols, "column", "_look")
+    looks = stacked(seen.groupBy(*keys).agg(*cells), keys, cols, "_look")
     rows = F.col("_look.m").cast("double")
 
     def side(i: int, q: float, upper: int) -> Column:

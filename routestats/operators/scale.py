@@ -98,8 +98,8 @@ def over_ordered(
 
     Keys of up to ``limit`` rows use an ordinary keyed window. Beyond that, rows are cut into
     blocks by global position, each block also gets the last ``reach`` rows of the block before,
-    the window runs per block, and the borrowed rows are dropped. ``group_rows`` is a bound the
-    caller can prove (rows per key); without it the largest key is counted first.
+    the window runs per block, and the borrowed rows are dropped. ``group_rows`` is the size of the
+    largest key if the caller has counted it; without it, it is counted first.
     """
     if group_rows is None:
         group_rows = group_sizes(df, keys)[0]

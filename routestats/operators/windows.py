@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from routestats.operators.scale import join_sized, over_ordered
+from routestats.operators.scale import GROUP_ROWS, join_sized, over_ordered
 
 
 def partition_mean(
@@ -16,10 +16,11 @@ def partition_mean(
 ) -> DataFrame:
     """WIN01: mean of the key's rows on every row; missing where a key is missing.
 
-    With a proven small ``group_rows`` this is a keyed window, which can share its shuffle with
-    WIN02 and WIN03; otherwise a partial aggregate joined back, so that a hot key stays split.
+    With ``group_rows``, the counted size of the largest key, at most GROUP_ROWS this is a keyed
+    window, which can share its shuffle with WIN02 and WIN03; otherwise a partial aggregate joined
+    back, so that a hot key stays split.
     """
-    if group_rows is not None:
+    if group_rows is not None and group_rows <= GROUP_ROWS:
         known = F.lit(True)
         for k in keys:
             known = known & F.col(k).isNotNull()

@@ -81,8 +81,8 @@ def top_origins(df: DataFrame, k: int = 15) -> DataFrame:
 
 
 def seats_scatter(df: DataFrame, keys: Sequence[str], n: int = SCATTER_SAMPLE) -> DataFrame:
-    """Q35: sampled seats and passengers, with the range of the full-load diagonal."""
-    return scatter_data(active_segments(df), "SEATS", "PASSENGERS", n, keys)
+    """Q35: sampled seats and passengers, with the ends of the full-load diagonal, which starts at 0."""
+    return scatter_data(active_segments(df), "SEATS", "PASSENGERS", n, keys, start=0.0)
 
 
 def correlations(df: DataFrame) -> DataFrame:

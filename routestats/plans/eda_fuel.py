@@ -1,7 +1,6 @@
 """Q47-Q51: the daily fuel price.
 
-A price series has one row per day, so its length is bounded by the calendar, whatever the amount
-of data it was reduced from.
+A price series should have one row per day, but nothing here relies on it: a longer one is worked on in blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from routestats.operators.profile import describe_exact
 from routestats.operators.windows import diff, rolling_mean
 
 BINS, WINDOW = 20, 7
-_DAYS = 366 * 200  # rows of a daily series over two centuries
 
 
 def price_frame(df: DataFrame) -> DataFrame:
@@ -35,9 +33,9 @@ def price_histogram(df: DataFrame) -> DataFrame:
     return histogram(df, "price", BINS)
 
 
-def with_change(df: DataFrame, group_rows: int | None = _DAYS) -> DataFrame:
+def with_change(df: DataFrame) -> DataFrame:
     """Q49: change from the day before; missing next to a missing price."""
-    return diff(df, ["observation_date"], "price", "price_change", group_rows=group_rows)
+    return diff(df, ["observation_date"], "price", "price_change")
 
 
 def change_bars(df: DataFrame) -> DataFrame:
@@ -57,9 +55,9 @@ def change_describe(df: DataFrame) -> DataFrame:
     return describe_exact(with_change(df), ["price_change"])
 
 
-def rolling(df: DataFrame, group_rows: int | None = _DAYS) -> DataFrame:
+def rolling(df: DataFrame) -> DataFrame:
     """Q50: mean of the last seven rows, where all seven have a price."""
-    out = rolling_mean(df, [], ["observation_date"], "price", "rolling_7d", WINDOW, group_rows=group_rows)
+    out = rolling_mean(df, [], ["observation_date"], "price", "rolling_7d", WINDOW)
     return out.select("observation_date", "price", "rolling_7d").orderBy("observation_date")
 
 

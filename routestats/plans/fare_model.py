@@ -12,9 +12,10 @@ from routestats.functions.scalars import flag_ge, route_key, safe_divide
 from routestats.operators.aggregate import aggregate_capacity, aggregate_fares
 from routestats.operators.clean import ensure_column, fill_const, impute_median, require_columns
 from routestats.operators.distribution import corr_matrix
-from routestats.operators.evaluate import evaluate
+from routestats.operators.evaluate import actual_vs_predicted, evaluate, residual_histogram
 from routestats.operators.joins import join_calendar, join_on
 from routestats.operators.models import MODELS, Fit, ModelResults, fit_models, predict, prediction_table, with_split
+from routestats.operators.scale import group_sizes
 from routestats.operators.topk import head
 from routestats.operators.windows import lag_by, partition_mean, rolling_mean
 from routestats.plans import cleaning
@@ -32,9 +33,6 @@ IMPUTED = [
 FEATURES = [*IMPUTED, "is_saturated"]
 TARGET = "avg_fare"
 
-# A route has one row per quarter after aggregation: four per year of history.
-_QUARTERS_PER_ROUTE = 4 * 200
-
 
 def build_analysis_table(
     fares: DataFrame, capacity: DataFrame, fuel: DataFrame, save_to: str | None = None, ordered: bool = True
@@ -61,9 +59,10 @@ def build_analysis_table(
 
 
 def with_route_features(analysis: DataFrame) -> DataFrame:
-    """WIN01-03 on the route history: one shuffle by route serves all three."""
+    """WIN01-03 on the route history: its longest route is counted once, and while it is short one
+    shuffle by route serves all three."""
     df = ensure_column(analysis, "route", route_key("ORIGIN", "DEST"))
-    bound = _QUARTERS_PER_ROUTE
+    bound = group_sizes(df, ["route"])[0]
     order = ["YEAR", "QUARTER"]
     df = partition_mean(df, ["route"], "load_factor", "route_avg_load_factor", group_rows=bound)
     df = lag_by(df, ["route"], order, "load_factor", "lag_load_factor", fill="load_factor", group_rows=bound)
@@ -124,9 +123,19 @@ def correlation_table(results: ModelResults) -> DataFrame:
 
 
 def evaluate_results(results: ModelResults, save_to: str | None = None) -> DataFrame:
-    """Q09: one row of scores per model, best first."""
-    scores = evaluate(results.predictions, f"actual_{results.target}", results.prediction_columns)
-    return write_table(scores, f"{save_to}/model_metrics") if save_to else scores
+    """Q09: one row of scores per model, best first.
+
+    ``save_to`` also gets the tables behind the charts: the residual bins of all models, and every
+    actual value with its prediction for each model.
+    """
+    actual, columns = f"actual_{results.target}", results.prediction_columns
+    scores = evaluate(results.predictions, actual, columns)
+    if not save_to:
+        return scores
+    write_table(residual_histogram(results.predictions, actual, columns), f"{save_to}/residuals")
+    for name, column in columns.items():
+        write_table(actual_vs_predicted(results.predictions, actual, column), f"{save_to}/actual_vs_predicted/{name}")
+    return write_table(scores, f"{save_to}/model_metrics")
 
 
 def predict_fares(
@@ -149,10 +158,16 @@ def report_tables(spark: SparkSession, outputs: str, rows: int = 50) -> dict[str
     return {"metrics": scores.orderBy("RMSE", "model"), "predictions": head(predictions, rows, ROUTE_KEYS)}
 
 
-def run_all(spark: SparkSession, raw_folder: str, work: str, period: cleaning.Period = cleaning.Period()) -> DataFrame:
+def run_all(
+    spark: SparkSession,
+    raw_folder: str,
+    work: str,
+    period: cleaning.Period = cleaning.Period(),
+    models: Mapping[str, Fit] = MODELS,
+) -> DataFrame:
     """Q54: clean, join, model, score; every stage is stored. Returns the scores, best model first."""
     tables = cleaning.preprocess(spark, raw_folder, f"{work}/cleaned", period)
     build_analysis_table(tables["db1b"], tables["t100"], tables["fuel"], f"{work}/cleaned/analysis_table")
     analysis = spark.read.parquet(f"{work}/cleaned/analysis_table")
-    results = run_modeling(analysis, save_to=f"{work}/outputs/modeling")
+    results = run_modeling(analysis, models=models, save_to=f"{work}/outputs/modeling")
     return evaluate_results(results, f"{work}/outputs/evaluation")

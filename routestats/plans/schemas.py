@@ -35,6 +35,7 @@ CAPACITY = _struct(
     ("DEPARTURES_PERFORMED", _S), ("SEATS", _S), ("PASSENGERS", _S),
 )
 
+# The states that the files are split by.
 STATES = ["CA", "GA", "TX"]
 
 # Airports whose rows are kept when cleaning, by state.
@@ -57,6 +58,7 @@ STATE_AIRPORTS = {
 }
 AIRPORT_STATE = {airport: state for state, airports in STATE_AIRPORTS.items() for airport in airports}
 
+# Weekdays in the order shown.
 DAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 ROUTE_KEYS = ["YEAR", "QUARTER", "ORIGIN", "DEST"]

@@ -255,7 +255,7 @@ add(
     "q35_seats_scatter",
     on(capacity, ec.seats_scatter, LINE_KEY),
     sql(
-        f"""SELECT SEATS, PASSENGERS, least(min(SEATS) OVER (), min(PASSENGERS) OVER ()) AS diag_lo,
+        f"""SELECT SEATS, PASSENGERS, 0.0::DOUBLE AS diag_lo,
           greatest(max(SEATS) OVER (), max(PASSENGERS) OVER ()) AS diag_hi FROM
           (SELECT SEATS, PASSENGERS FROM active {_SAMPLE} LIMIT 5000)"""
     ),

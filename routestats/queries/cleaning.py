@@ -53,12 +53,68 @@ add(
     lambda s, d: src.read_table(
         s, _orders_csv(s, d), _schema("o_orderkey bigint, o_orderstatus string, o_totalprice double")
     ),
-    """SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus,
+    """SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
          CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS o_totalprice FROM orders""",
     "o_totalprice",
 )
 
 
+def _two_orders(spark: SparkSession, d: str) -> str:
+    """Files of one folder whose columns come in different orders, and one column only in some."""
+    path = scratch_path(spark, "orders-two-orders")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    src.write_table(rows.where("o_orderkey % 2 = 0"), f"{path}/a", "csv")
+    src.write_table(rows.where("o_orderkey % 2 = 1").select("o_totalprice", "o_orderkey"), f"{path}/b", "csv")
+    return path
+
+
+add(
+    "src01_mixed_headers",
+    lambda s, d: src.read_table(s, _two_orders(s, d), _schema("o_orderkey bigint, o_totalprice double")),
+    """SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus
+       FROM orders""",
+    "o_totalprice",
+)
+
+
+def _big_integers(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "big-integers")
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    spelled = F.when(key % 4 == 0, F.concat(text, F.lit(".0"))).when(key % 4 == 1, F.concat(text, F.lit(".7"))).otherwise(text)
+    rows = table(spark, d, "orders").select(
+        key.alias("key"), (F.lit(9007199254740993) + key).cast("string").alias("big"), spelled.alias("spelled")
+    )
+    src.write_table(rows, path, "csv")
+    return src.read_table(spark, path, _schema("key bigint, big bigint, spelled int"))
+
+
+add(
+    "src01_big_integers",
+    _big_integers,
+    """SELECT o_orderkey AS key, 9007199254740993 + o_orderkey AS big,
+         CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey::INT END AS spelled FROM orders""",
+)
+
+
+def _short_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that end early, as some writers leave out trailing missing values."""
+    path = scratch_path(spark, "short-rows")
+    key = F.col("o_orderkey").cast("string")
+    whole = F.concat_ws(",", key, "o_orderstatus", F.lit("x"))
+    line = F.when(F.col("o_orderkey") % 3 == 0, key).otherwise(whole).alias("key,status,note")
+    # One wide field, under a separator that no value holds, is written without quotes.
+    table(spark, d, "orders").select(line).write.option("header", "true").option("sep", "\u0001").csv(path)
+    return src.read_table(spark, path, _schema("key bigint, status string, note string"))
+
+
+add(
+    "src01_short_rows",
+    _short_rows,
+    """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status,
+         CASE WHEN o_orderkey % 3 <> 0 THEN 'x' END AS note FROM orders""",
+)
+
+
 def _chunked_clean(spark: SparkSession, d: str) -> DataFrame:
     source = scratch_path(spark, "flights-csv")
     src.write_table(flights_raw(spark, d).repartition(6), source, "csv")
@@ -75,7 +131,9 @@ CLEAN_FLIGHTS_SQL = sql(
 add("src02_chunked_scan", _chunked_clean, CLEAN_FLIGHTS_SQL, "Delay", dates="Date")
 add(
     "src03_read_dates",
-    lambda s, d: src.read_table(s, _orders_csv(s, d), _schema("o_orderkey bigint, o_orderdate date"), date_format="yyyy-MM-dd"),
+    lambda s, d: src.read_table(
+        s, _orders_csv(s, d), _schema("o_orderkey bigint, o_orderdate date"), date_format="yyyy-MM-dd"
+    ).select("o_orderkey", "o_orderdate"),
     "SELECT o_orderkey, o_orderdate FROM orders",
     dates="o_orderdate",
 )
@@ -116,6 +174,39 @@ def _optional(spark: SparkSession, d: str) -> DataFrame:
 add("src05_read_optional", _optional, "SELECT c_custkey, c_mktsegment FROM customer")
 
 
+def _nan_parquet(spark: SparkSession, d: str) -> DataFrame:
+    """A Parquet table with NaN from another writer, and the operators that must not see it."""
+    path = scratch_path(spark, "nan")
+    price = F.when(F.col("o_orderkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    table(spark, d, "orders").select("o_orderstatus", price.alias("price")).write.parquet(path)
+    rows = src.read_optional(spark, path)
+    return group_agg(rows, ["o_orderstatus"], {
+        "mean": F.avg("price"), "total": F.sum("price"), "most": F.max("price"), "known": F.count("price"),
+    })
+
+
+add(
+    "src05_nan_parquet",
+    _nan_parquet,
+    """SELECT o_orderstatus, avg(p) AS mean, sum(p) AS total, max(p) AS most, count(p) AS known
+       FROM (SELECT o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS p FROM orders) GROUP BY 1""",
+    "mean total most",
+)
+
+
+def _unmarked(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of data without the mark of a finished write is used as it is, not built again."""
+    out = scratch_path(spark, "unmarked")
+    marks = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    rows = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey")
+    rows.write.option(marks, "false").parquet(f"{out}/customer")
+    built = src.ensure_tables(spark, out, lambda name: table(spark, d, name).select("c_custkey"), ["customer"])
+    return built["customer"]
+
+
+add("src06_unmarked_folder", _unmarked, "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
+
+
 def _ensure(spark: SparkSession, d: str) -> DataFrame:
     """One table is there, the other is not; both come back."""
     out = scratch_path(spark, "layer")

@@ -1,10 +1,15 @@
 """Queries for feature engineering, models and scores.
 
-Fits are shared between queries of one session: each table folder is modelled once.
+Every query makes its own fits. Those of least squares are checked in SQL by successive
+orthogonalisation, principal components by a case with two features, boosted trees by a case in
+which they must give group means.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,27 +26,20 @@ from routestats.queries.tables import LINE_KEY, sql, table
 from routestats.session import materialize, scratch_path
 from routestats.sources.tables import write_matrix, write_table
 
-_SPLITS: dict[tuple[str, str], DataFrame] = {}
-_RESULTS: dict[tuple[str, str], tuple[ml.ModelResults, str]] = {}
+LINEAR: dict[str, ml.Fit] = {"linear_regression": ml.fit_ols}
 
 
 def marked(spark: SparkSession, d: str) -> DataFrame:
     """The derived model frame with its test rows marked."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _SPLITS:
-        _SPLITS[key] = fare_model.split_frame(analysis(spark, d, ordered=False))
-    return _SPLITS[key]
+    return fare_model.split_frame(analysis(spark, d, ordered=False))
 
 
-def modelled(spark: SparkSession, d: str) -> tuple[ml.ModelResults, str]:
-    """The modelling run on the derived analysis table, and the folder its outputs are stored in."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _RESULTS:
-        outputs = scratch_path(spark, "outputs")
-        results = fare_model.fit_split(marked(spark, d), save_to=f"{outputs}/modeling")
-        fare_model.evaluate_results(results, f"{outputs}/evaluation")
-        _RESULTS[key] = results, outputs
-    return _RESULTS[key]
+def modelled(spark: SparkSession, d: str, models: Mapping[str, ml.Fit] = LINEAR) -> tuple[ml.ModelResults, str]:
+    """A modelling run on the derived analysis table, and the folder its outputs are stored in."""
+    outputs = scratch_path(spark, "outputs")
+    results = fare_model.fit_split(marked(spark, d), models, save_to=f"{outputs}/modeling")
+    fare_model.evaluate_results(results, f"{outputs}/evaluation")
+    return results, outputs
 
 
 def model_frame(spark: SparkSession, d: str) -> DataFrame:
@@ -70,42 +68,119 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
 add("ml03_split", _split, sql(_SPLIT_SQL))
 
 
-def _fit_one(name: str):
-    """Fit one model on the training rows and predict the test rows."""
+def fit_sql(frame: str, features: list[str] = FEATURES) -> str:
+    """Least squares on the training rows by successive orthogonalisation, in plain aggregates.
+
+    Each step takes one feature's remaining part out of all later features and of the target; a
+    feature with nothing left (constant or a copy) is passed over. Gives all rows of ``frame`` with
+    ``is_test`` and ``pred``.
+    """
+    train = "FILTER (WHERE NOT is_test) OVER ()"
+    names = [*features, TARGET]
+    centred = ", ".join(f"{c} - avg({c}) {train} AS r{i}" for i, c in enumerate(names))
+    text = f"""SELECT *, {centred} FROM (SELECT *, row_number() OVER (ORDER BY {_ROUTE_HASH})
+      <= ceil(0.2 * count(*) OVER ()) AS is_test FROM {frame})"""
+    sizes = ", ".join(f"sum(r{i} * r{i}) {train} AS o{i}" for i in range(len(features)))
+    text = f"SELECT *, {sizes} FROM ({text})"
+    for k in range(len(features)):
+        rest = range(k + 1, len(names))
+        own = f"sum(r{k} * r{k}) {train}"
+        parts = ", ".join(
+            f"r{j} - CASE WHEN {own} > 1e-12 * o{k} THEN sum(r{j} * r{k}) {train} / ({own}) ELSE 0 END * r{k} AS r{j}"
+            for j in rest
+        )
+        text = f"SELECT * EXCLUDE ({', '.join(f'r{j}' for j in (k, *rest))}), {parts} FROM ({text})"
+    return f"(SELECT {', '.join([*ROUTE_KEYS, *names])}, is_test, {TARGET} - r{len(features)} AS pred FROM ({text}))"
+
+
+_OLS_SQL = fit_sql("model_frame")
+_OLS_TEST_SQL = f"""SELECT * EXCLUDE (is_test, pred, avg_fare), avg_fare AS actual_avg_fare,
+      round(pred + 0.0173205, 1) AS pred_linear_regression
+    FROM {_OLS_SQL} WHERE is_test"""
+_OLS_DOUBLES = _features([*FEATURES[:-1], "actual_avg_fare"])
+
+
+def rough(df: DataFrame, *names: str) -> DataFrame:
+    """Predictions to one digit: both ways of solving agree to about 1e-7, too little for four at every row."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(0.0173205), 1) for c in names})
+
+
+add(
+    "ml04_ols",
+    lambda s, d: rough(fare_model.fit_split(marked(s, d), LINEAR).predictions, "pred_linear_regression"),
+    sql(_OLS_TEST_SQL),
+    _OLS_DOUBLES,
+)
+add(
+    "ml07_pca_regression",
+    lambda s, d: fare_model.fit_split(marked(s, d), {"pca_regression": ml.fit_pca_regression}).predictions,
+)
 
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return fare_model.fit_split(marked(spark, d), {name: ml.MODELS[name]}).predictions
+_TWO = ["load_factor", "market_distance"]
 
-    return run
 
+def _two_components(spark: SparkSession, d: str) -> DataFrame:
+    """Two features reduced to their leading component."""
+    rows = marked(spark, d)
+    fit = {"pca_regression": partial(ml.fit_pca_regression, variance=0.3)}
+    fitted = ml.fit_models(rows.where("not is_test"), _TWO, TARGET, fit)
+    return ml.prediction_table(fitted, rows.where("is_test"), ROUTE_KEYS, _TWO, TARGET)
 
-add("ml04_ols", _fit_one("linear_regression"))
-add("ml07_pca_regression", _fit_one("pca_regression"))
 
+_TWO_SQL = f"""(SELECT *, (load_factor - avg(load_factor) {{t}}) / stddev_samp(load_factor) {{t}}
+      + sign(corr(load_factor, market_distance) {{t}})
+      * (market_distance - avg(market_distance) {{t}}) / stddev_samp(market_distance) {{t}} AS z
+    FROM (SELECT *, row_number() OVER (ORDER BY {_ROUTE_HASH}) <= ceil(0.2 * count(*) OVER ()) AS is_test
+          FROM model_frame))""".format(t="FILTER (WHERE NOT is_test) OVER ()")
+add(
+    "ml07_pca_two_features",
+    _two_components,
+    sql(
+        f"""SELECT * EXCLUDE (is_test) FROM (SELECT YEAR, QUARTER, ORIGIN, DEST, load_factor, market_distance,
+              avg_fare AS actual_avg_fare, is_test, avg(avg_fare) FILTER (WHERE NOT is_test) OVER ()
+              + z * covar_pop(avg_fare, z) FILTER (WHERE NOT is_test) OVER ()
+                / var_pop(z) FILTER (WHERE NOT is_test) OVER () AS pred_pca_regression FROM {_TWO_SQL})
+            WHERE is_test"""
+    ),
+    _features([*_TWO, "actual_avg_fare", "pred_pca_regression"]),
+)
 
-def _pca_shares(spark: SparkSession, d: str) -> DataFrame:
+
+def _pca_shares(spark: SparkSession, d: str, features: list[str] = FEATURES) -> DataFrame:
     """ML05, ML06: share of variance per component of the standardised training rows."""
-    pca, slicer = _pca_model(spark, d).stages[2:4]
+    pca, slicer = _pca_model(marked(spark, d), features).stages[2:4]
     shares = [float(v) for v in pca.explainedVariance]
     kept = len(slicer.getIndices())
     rows = [(i, v, i < kept) for i, v in enumerate(shares)]
     return spark.createDataFrame(rows, "component int, share double, kept boolean")
 
 
-def _pca_model(spark: SparkSession, d: str):
-    train = marked(spark, d).where("not is_test")
-    return ml.fit_models(train, FEATURES, TARGET, {"pca_regression": ml.fit_pca_regression})["pca_regression"]
+def _pca_model(rows: DataFrame, features: list[str] = FEATURES):
+    fit = {"pca_regression": ml.fit_pca_regression}
+    return ml.fit_models(rows.where("not is_test"), features, TARGET, fit)["pca_regression"]
 
 
 add("ml06_pca_shares", _pca_shares)
+add(
+    "ml06_pca_shares_two_features",
+    lambda s, d: _pca_shares(s, d, _TWO),
+    sql(
+        f"""SELECT unnest([0, 1]) AS component, unnest([(1 + r) / 2, (1 - r) / 2]) AS share,
+              unnest([true, (1 + r) / 2 <= 0.95]) AS kept
+            FROM (SELECT abs(corr(load_factor, market_distance)) AS r FROM (SELECT * FROM model_frame
+              QUALIFY row_number() OVER (ORDER BY {_ROUTE_HASH}) > ceil(0.2 * count(*) OVER ())))"""
+    ),
+    "share",
+)
 
 
 def _standardised(spark: SparkSession, d: str) -> DataFrame:
     """ML05: mean and standard deviation of each feature after standardising the training rows."""
     from pyspark.ml.functions import vector_to_array
 
-    assembler, scaler = _pca_model(spark, d).stages[:2]
-    scaled = scaler.transform(assembler.transform(marked(spark, d).where("not is_test")))
+    rows = marked(spark, d)
+    assembler, scaler = _pca_model(rows).stages[:2]
+    scaled = scaler.transform(assembler.transform(rows.where("not is_test")))
     values = vector_to_array(F.col(scaler.getOutputCol()))
     named = scaled.select(*[values[i].alias(c) for i, c in enumerate(FEATURES)])
     stats = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")) for c in FEATURES]
@@ -124,23 +199,43 @@ add(
     ),
     "mean std",
 )
-add("ml08_gradient_boosting", lambda s, d: _chosen(s, d, "gradient_boosting"))
-add("ml09_fit_all", lambda s, d: modelled(s, d)[0].predictions)
 
 
-def _chosen(spark: SparkSession, d: str, name: str) -> DataFrame:
-    results, _ = modelled(spark, d)
-    rows = results.test.select(*ROUTE_KEYS, *FEATURES)
-    return fare_model.predict_fares(rows, results.models[name], name)
+def _boosted(spark: SparkSession, d: str) -> DataFrame:
+    rows = marked(spark, d)
+    fitted = ml.fit_models(rows.where("not is_test"), FEATURES, TARGET, {"gradient_boosting": ml.fit_gbt})
+    held = rows.where("is_test").select(*ROUTE_KEYS, *FEATURES)
+    return fare_model.predict_fares(held, fitted["gradient_boosting"], "gradient_boosting")
+
+
+add("ml08_gradient_boosting", _boosted)
+_FLAGS = {"returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'"}
 
 
-_TEST_SQL = f"""(SELECT * FROM model_frame QUALIFY row_number() OVER (ORDER BY {_ROUTE_HASH})
-    <= ceil(0.2 * count(*) OVER ()))"""
+def _group_means(spark: SparkSession, d: str) -> DataFrame:
+    """Trees over two flags, deep enough to separate their groups: the first one gives the group means."""
+    flags = [F.expr(e).cast("double").alias(name) for name, e in _FLAGS.items()]
+    rows = table(spark, d, "lineitem").select(*LINE_KEY, *flags, "l_extendedprice")
+    fit = {"gradient_boosting": partial(ml.fit_gbt, trees=3, depth=2)}
+    fitted = ml.fit_models(rows, list(_FLAGS), "l_extendedprice", fit)
+    return ml.prediction_table(fitted, rows, LINE_KEY, list(_FLAGS), "l_extendedprice")
+
+
+add(
+    "ml08_boosting_of_group_means",
+    _group_means,
+    f"""SELECT {', '.join(LINE_KEY)}, {', '.join(f'({e})::INT::DOUBLE AS {n}' for n, e in _FLAGS.items())},
+          l_extendedprice AS actual_l_extendedprice,
+          avg(l_extendedprice) OVER (PARTITION BY {', '.join(_FLAGS.values())}) AS pred_gradient_boosting
+        FROM lineitem""",
+    "actual_l_extendedprice pred_gradient_boosting",
+)
+add("ml09_fit_all", lambda s, d: fare_model.fit_split(marked(s, d)).predictions)
 add(
     "ml10_prediction_table",
-    lambda s, d: modelled(s, d)[0].predictions.select(*ROUTE_KEYS, *FEATURES, "actual_avg_fare"),
-    sql(f"SELECT * EXCLUDE (avg_fare), avg_fare AS actual_avg_fare FROM {_TEST_SQL}"),
-    _features([*FEATURES[:-1], "actual_avg_fare"]),
+    lambda s, d: rough(modelled(s, d)[0].predictions, "pred_linear_regression"),
+    sql(_OLS_TEST_SQL),
+    _OLS_DOUBLES,
 )
 
 
@@ -148,11 +243,46 @@ def _stored_model(spark: SparkSession, d: str) -> DataFrame:
     """ML11: load one stored model and predict all rows, training rows included."""
     results, outputs = modelled(spark, d)
     rows = results.train.unionByName(results.test).select(*ROUTE_KEYS, *FEATURES)
-    return fare_model.predict_fares(rows, model_path=f"{outputs}/modeling/models")
+    return rough(fare_model.predict_fares(rows, model_path=f"{outputs}/modeling/models"), "predicted_avg_fare")
 
 
-add("ml11_predict_stored", _stored_model)
-add("ml12_results", lambda s, d: modelled(s, d)[0].test.select(*ROUTE_KEYS, TARGET), sql(f"SELECT YEAR, QUARTER, ORIGIN, DEST, avg_fare FROM {_TEST_SQL}"), "avg_fare")
+add(
+    "ml11_predict_stored",
+    _stored_model,
+    sql(f"SELECT * EXCLUDE (is_test, pred, avg_fare), round(pred + 0.0173205, 1) AS predicted_avg_fare FROM {_OLS_SQL}"),
+    _features(FEATURES[:-1]),
+)
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """ML12: what a run leaves behind, part by part."""
+    results, _ = modelled(spark, d)
+    (column,) = results.prediction_columns.values()
+    parts = {
+        "train": (results.train, TARGET, None), "test": (results.test, TARGET, None),
+        "predictions": (results.predictions, f"actual_{TARGET}", column),
+    }
+    rows = [
+        df.agg(
+            F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.avg(actual).alias("actual"),
+            (F.avg(pred) if pred else F.lit(None).cast("double")).alias("predicted"),
+        )
+        for name, (df, actual, pred) in parts.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+add(
+    "ml12_results",
+    _results,
+    sql(
+        f"""SELECT * FROM (WITH p AS MATERIALIZED (SELECT * FROM {_OLS_SQL})
+            SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, count(*) AS n, avg(avg_fare) AS actual,
+              NULL::DOUBLE AS predicted FROM p GROUP BY is_test
+            UNION ALL SELECT 'predictions', count(*), avg(avg_fare), avg(pred) FROM p WHERE is_test)"""
+    ),
+    "actual predicted",
+)
 
 _MODEL_COLUMNS = [*FEATURES, TARGET]
 add(
@@ -181,15 +311,15 @@ add("snk03_write_matrix", _matrix, sql(_MATRIX_SQL), _features(_MODEL_COLUMNS))
 
 def _stored_predictions(spark: SparkSession, d: str) -> DataFrame:
     _, outputs = modelled(spark, d)
-    stored = spark.read.parquet(f"{outputs}/modeling/test_predictions")
-    return stored.select(*ROUTE_KEYS, "actual_avg_fare")
+    return rough(spark.read.parquet(f"{outputs}/modeling/test_predictions"), "pred_linear_regression")
 
 
+add("snk04_write_predictions", _stored_predictions, sql(_OLS_TEST_SQL), _OLS_DOUBLES)
 add(
-    "snk04_write_predictions",
-    _stored_predictions,
-    sql(f"SELECT YEAR, QUARTER, ORIGIN, DEST, avg_fare AS actual_avg_fare FROM {_TEST_SQL}"),
-    "actual_avg_fare",
+    "q08_run_modeling",
+    lambda s, d: rough(fare_model.run_modeling(analysis(s, d, ordered=False), models=LINEAR).predictions, "pred_linear_regression"),
+    sql(_OLS_TEST_SQL),
+    _OLS_DOUBLES,
 )
 
 # --- scores: the "predictions" are arithmetic on the rows, so SQL can score them too --------------------
@@ -252,11 +382,10 @@ add(
 )
 add(
     "evl06_actual_vs_predicted",
-    lambda s, d: ev.actual_vs_predicted(guesses(s, d), "l_extendedprice", "pred_taxed", 5000, LINE_KEY),
+    lambda s, d: ev.actual_vs_predicted(guesses(s, d), "l_extendedprice", "pred_taxed"),
     f"""SELECT *, least(min(l_extendedprice) OVER (), min(pred_taxed) OVER ()) AS diag_lo,
           greatest(max(l_extendedprice) OVER (), max(pred_taxed) OVER ()) AS diag_hi FROM
-        (SELECT l_extendedprice, {_GUESSES['taxed']} AS pred_taxed FROM lineitem
-         ORDER BY {hash_order(LINE_KEY)}, {', '.join(LINE_KEY)} LIMIT 5000)""",
+        (SELECT l_extendedprice, {_GUESSES['taxed']} AS pred_taxed FROM lineitem)""",
     "l_extendedprice pred_taxed diag_lo diag_hi",
 )
 add(
@@ -271,18 +400,63 @@ add(
     f"SELECT * FROM ({_SCORES_SQL}) ORDER BY RMSE, model LIMIT 1",
     _SCORE_DOUBLES,
 )
-add("q09_evaluate_models", lambda s, d: fare_model.evaluate_results(modelled(s, d)[0]))
-add("q53_report_metrics", lambda s, d: fare_model.report_tables(s, modelled(s, d)[1])["metrics"])
+
+
+def metrics_sql(frame: str) -> str:
+    """The scores of least squares on the test rows."""
+    return f"""SELECT 'linear_regression' AS model, sqrt(avg((avg_fare - pred) ** 2)) AS RMSE,
+          avg(abs(avg_fare - pred) / greatest(abs(avg_fare), 2.220446049250313e-16)) AS MAPE,
+          1 - sum((avg_fare - pred) ** 2) / (var_pop(avg_fare) * count(*)) AS R2
+        FROM {fit_sql(frame)} WHERE is_test"""
+
+
+_RESIDUALS_SQL = f"(SELECT avg_fare - pred AS residual FROM {_OLS_SQL} WHERE is_test)"
+
 add(
-    "q53_report_predictions",
-    lambda s, d: fare_model.report_tables(s, modelled(s, d)[1])["predictions"].select(*ROUTE_KEYS, "actual_avg_fare"),
+    "q09_evaluate_models",
+    lambda s, d: fare_model.evaluate_results(modelled(s, d)[0]),
+    sql(metrics_sql("model_frame")),
+    _SCORE_DOUBLES,
+)
+add("q09_evaluate_all_models", lambda s, d: fare_model.evaluate_results(fare_model.fit_split(marked(s, d))))
+add(
+    "q09_residual_histogram",
+    lambda s, d: s.read.parquet(f"{modelled(s, d)[1]}/evaluation/residuals"),
+    sql(f"SELECT 'linear_regression' AS model, * FROM ({hist_sql(_RESIDUALS_SQL, 'residual', 40)})"),
+    "edge_lo edge_hi",
+)
+add(
+    "q09_actual_vs_predicted",
+    lambda s, d: rough(
+        s.read.parquet(f"{modelled(s, d)[1]}/evaluation/actual_vs_predicted/linear_regression"),
+        "pred_linear_regression", "diag_lo", "diag_hi",
+    ),
     sql(
-        f"""SELECT YEAR, QUARTER, ORIGIN, DEST, avg_fare AS actual_avg_fare FROM {_TEST_SQL}
-        ORDER BY YEAR, QUARTER, ORIGIN, DEST LIMIT 50"""
+        f"""SELECT avg_fare AS actual_avg_fare, round(pred + 0.0173205, 1) AS pred_linear_regression,
+              round(least(min(avg_fare) OVER (), min(pred) OVER ()) + 0.0173205, 1) AS diag_lo,
+              round(greatest(max(avg_fare) OVER (), max(pred) OVER ()) + 0.0173205, 1) AS diag_hi
+            FROM {_OLS_SQL} WHERE is_test"""
     ),
     "actual_avg_fare",
 )
 add(
-    "q54_full_run",
-    lambda s, d: fare_model.run_all(s, write_raw_files(s, d), scratch_path(s, "full-run"), cleaning.Period(2025, 1)),
+    "q53_report_metrics",
+    lambda s, d: fare_model.report_tables(s, modelled(s, d)[1])["metrics"],
+    sql(metrics_sql("model_frame")),
+    _SCORE_DOUBLES,
 )
+add(
+    "q53_report_predictions",
+    lambda s, d: rough(fare_model.report_tables(s, modelled(s, d)[1])["predictions"], "pred_linear_regression"),
+    sql(f"{_OLS_TEST_SQL} ORDER BY YEAR, QUARTER, ORIGIN, DEST LIMIT 50"),
+    _OLS_DOUBLES,
+)
+
+
+def _full_run(spark: SparkSession, d: str, models: Mapping[str, ml.Fit]) -> DataFrame:
+    raw, work = write_raw_files(spark, d), scratch_path(spark, "full-run")
+    return fare_model.run_all(spark, raw, work, cleaning.Period(2025, 1), models)
+
+
+add("q54_full_run", lambda s, d: _full_run(s, d, LINEAR), sql(metrics_sql("model_quarter")), _SCORE_DOUBLES)
+add("q54_full_run_all_models", lambda s, d: _full_run(s, d, ml.MODELS))

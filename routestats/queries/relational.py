@@ -18,10 +18,11 @@ from routestats.queries.tables import LINE_KEY, capacity, delays, fares, flights
 SPLIT_ROWS = 200
 
 HASH_SQL = "substr(md5(concat_ws('|', {keys}, '{seed}')), 1, 15)"
+HASH_PART_SQL = "coalesce(length({key}::VARCHAR) || ':' || {key}::VARCHAR, '-')"
 
 
 def hash_order(keys: list[str], seed: int = 42) -> str:
-    return HASH_SQL.format(keys=", ".join(keys), seed=seed)
+    return HASH_SQL.format(keys=", ".join(HASH_PART_SQL.format(key=key) for key in keys), seed=seed)
 
 
 # --- joins --------------------------------------------------------------------------------------------
@@ -83,6 +84,15 @@ add(
     """SELECT c_custkey, c_nationkey, coalesce(n_name, 'Other') AS nation FROM customer
        LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey""",
 )
+add(
+    "join04_lookup_repeated_keys",
+    lambda s, d: joins.lookup(
+        table(s, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey",
+        table(s, d, "customer").select("c_nationkey", "c_mktsegment"), "segment", "none",
+    ),
+    """SELECT s_suppkey, s_nationkey, coalesce(segment, 'none') AS segment FROM supplier LEFT JOIN
+       (SELECT c_nationkey, max(c_mktsegment) AS segment FROM customer GROUP BY 1) ON s_nationkey = c_nationkey""",
+)
 add(
     "join04_lookup_literal",
     lambda s, d: joins.lookup(

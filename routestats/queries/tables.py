@@ -233,6 +233,12 @@ CTES = {
     + ", is_saturated, avg_fare FROM route_frame WHERE avg_fare IS NOT NULL",
 }
 
+# The same frames over one quarter only, as the full run from raw files makes them.
+CTES["route_quarter"] = CTES["route_frame"].replace(
+    "FROM analysis", "FROM (SELECT * FROM analysis WHERE YEAR = 2025 AND QUARTER = 1)"
+)
+CTES["model_quarter"] = CTES["model_frame"].replace("route_frame", "route_quarter")
+
 
 def sql(body: str) -> str:
     """``body`` with the derived tables it names put in front."""

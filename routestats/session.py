@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,8 +33,9 @@ def get_spark(app: str = "routestats", master: str | None = None, **conf: str) -
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting (tests, a laptop) gets a folder of its own;
-    on a cluster a machine-local folder would be invisible to the other executors.
+    Only a local-mode session without that setting (tests, a laptop) gets a folder of its own, which
+    goes when the program ends; on a cluster a machine-local folder would be invisible to the other
+    executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,6 +45,7 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = tempfile.mkdtemp(prefix="routestats-")
+        atexit.register(shutil.rmtree, _OWN_SCRATCH[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_OWN_SCRATCH[app])
     return _OWN_SCRATCH[app]
 
@@ -52,6 +56,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/routestats/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/routestats/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives executor loss.
 

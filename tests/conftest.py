@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = get_spark(
         "routestats-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+           "spark.sql.codegen.fallback": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -51,7 +51,7 @@ def test_quarter_mean(prices):
 
 @pytest.mark.parametrize("group_rows", [None, 10**9], ids=["one window", "blocks"])
 def test_changes(prices, group_rows):
-    changed = eda_fuel.with_change(prices, None if group_rows is None else 63)
+    changed = eda_fuel.with_change(prices)
     if group_rows:
         changed = over_ordered(
             prices, [], ["observation_date"], 1,
