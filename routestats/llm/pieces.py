@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ SPACE = "▁"
 #: Fixed by the format: an unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Encodings of words kept by a task (about 250 bytes each).
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -70,46 +71,40 @@ class Pieces:
         """Id and score of an unknown character."""
         return self.kinds.index("u"), min(s for s, k in zip(self.scores, self.kinds, strict=True) if k == "n") - UNKNOWN_PENALTY
 
+    @cached_property
+    def characters(self) -> frozenset[str]:
+        """The pieces of one character."""
+        return frozenset(t for t, k in zip(self.texts, self.kinds, strict=True) if k == "n" and len(t) == 1)
+
     def best(self, word: str) -> list[int]:
         """The ids of the best segmentation of a string: the highest sum of scores, of equals the longest last piece.
 
         The automaton reports, for every position, the pieces that end there, longest first, by its output links;
-        each relaxes the best score of the position. A character that is no piece itself may stand alone as unknown.
+        each relaxes the best score of the position. A character that is no piece itself may stand alone as unknown;
+        its place is relaxed before the first piece that ends later is.
         """
-        singles, (unknown, penalty) = self.automaton, self.unknown
-        score, came, piece = [0.0], [0], [0]
-        at = 0
-
-        def unseen(until: int) -> None:
-            for end in range(len(score), until + 1):
-                score.append(score[end - 1] + penalty)
-                came.append(end - 1)
-                piece.append(unknown)
-
+        n, (unknown, penalty) = len(word), self.unknown
+        score, length_to, piece = [0.0] + [-math.inf] * n, [1] * (n + 1), [unknown] * (n + 1)
+        alone = [] if self.characters.issuperset(word) else [i for i, c in enumerate(word) if c not in self.characters]
+        waiting = iter([*alone, n])
+        place = next(waiting)
         for last, (length, gain, number) in self.automaton.iter(word):
+            while place < last:
+                if score[place] + penalty > score[place + 1]:
+                    score[place + 1], length_to[place + 1], piece[place + 1] = score[place] + penalty, 1, unknown
+                place = next(waiting)
             end = last + 1
-            if end != at:
-                unseen(end - 1)
-                at = end
-            start = end - length
-            total = score[start] + gain
-            if len(score) == end:  # the first, longest piece that ends here
-                if word[last] in singles or length == 1:
-                    score.append(total)
-                    came.append(start)
-                    piece.append(number)
-                else:
-                    alone = score[end - 1] + penalty
-                    best = (total, start, number) if total >= alone else (alone, end - 1, unknown)
-                    for keep, value in zip((score, came, piece), best, strict=True):
-                        keep.append(value)
-            elif total > score[end] or (total == score[end] and piece[end] == unknown):
-                score[end], came[end], piece[end] = total, start, number
-        unseen(len(word))
+            total = score[end - length] + gain
+            if total > score[end]:
+                score[end], length_to[end], piece[end] = total, length, number
+        while place < n:
+            if score[place] + penalty > score[place + 1]:
+                score[place + 1], length_to[place + 1], piece[place + 1] = score[place] + penalty, 1, unknown
+            place = next(waiting)
         ids: list[int] = []
-        end = len(word)
+        end = n
         while end > 0:
-            start = came[end]
+            start = end - length_to[end]
             if piece[end] == unknown and self.byte_ids:
                 ids += [self.byte_ids[b] for b in reversed(word[start:end].encode("utf-8", "surrogatepass"))]
             else:
