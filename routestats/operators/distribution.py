@@ -192,9 +192,6 @@ def box_stats(df: DataFrame, key: str | None, cols: Sequence[str], whis: float =
     return out.where("n > 0").select(*keys, *boxed(F.col("n"), F.col("qv"), F.col("low"), F.col("high")))
 
 
-_CURVES_HELD = 1000  # keys whose sums a task of kde holds before it hands them on
-
-
 def kde(
     df: DataFrame, key: str, col: str, grid: int = 100, cut: float = 0.0, common_norm: bool = False
 ) -> DataFrame:
@@ -204,8 +201,8 @@ def kde(
     own rows; only keys x grid sums are shuffled, not the rows. With ``common_norm`` the densities
     of all keys together integrate to 1. Keys with fewer than two distinct values have no density.
     """
-    rows = df.select(F.col(key).alias("_k"), number(col).alias("_v")).dropna()
-    stats = rows.groupBy("_k").agg(
+    rows = df.select(key, number(col).alias("_v")).dropna()
+    stats = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.stddev_samp("_v").alias("_std"),
         F.min("_v").alias("_min"),
@@ -214,51 +211,20 @@ def kde(
     total = rows.agg(F.count(F.lit(1))).scalar() if common_norm else F.col("_n")
     width = F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     shapes = stats.where(F.col("_std") > 0).select(
-        "_k",
+        key,
         width.alias("_h"),
         (F.col("_min") - cut * width).alias("_from"),
         (F.col("_max") + cut * width).alias("_to"),
         total.cast("double").alias("_total"),
     )
-    joined = join_sized(rows, shapes, ["_k"], "inner").select("_k", "_v", "_h", "_from", "_to", "_total")
-
-    def sums(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        steps, held, kind = np.arange(grid, dtype="int32"), {}, None
-
-        def out():
-            keys = pa.array(np.repeat(list(range(len(held))), grid))
-            names = pa.array(list(held), kind).take(keys)
-            x, density = (np.concatenate([part[i] for part in held.values()]) for i in (0, 1))
-            columns = [names, pa.array(np.tile(steps, len(held))), pa.array(x), pa.array(density)]
-            return pa.RecordBatch.from_arrays(columns, names=["_k", "point", "x", "density"])
-
-        for batch in batches:
-            coded, kind = batch.column(0).dictionary_encode(), batch.schema.field(0).type
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            value, h, low, high, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
-            for code, name in enumerate(coded.dictionary.to_pylist()):
-                at = np.flatnonzero(codes == code)
-                i = at[0]
-                x = low[i] + steps * (high[i] - low[i]) / (grid - 1)
-                scale = weight[i] * h[i] * math.sqrt(2 * math.pi)
-                density = held[name][1] if name in held else np.zeros(grid)
-                for start in range(0, len(at), 4096):
-                    offset = (x[:, None] - value[at[start : start + 4096]][None, :]) / h[i]
-                    density = density + np.exp(-0.5 * offset * offset).sum(axis=1) / scale
-                held[name] = x, density
-            if len(held) >= _CURVES_HELD:
-                yield out()
-                held = {}
-        if held:
-            yield out()
-
-    kind = df.schema[key].dataType.simpleString()
-    parts = joined.mapInArrow(sums, f"_k {kind}, point int, x double, density double")
-    curves = parts.groupBy(F.col("_k").alias(key), "point")
-    return curves.agg(F.max("x").alias("x"), F.sum("density").alias("density"))
+    points = join_sized(rows, shapes, [key], "inner").withColumn(
+        "point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+    )
+    at = F.col("_from") + F.col("point") * (F.col("_to") - F.col("_from")) / F.lit(grid - 1)
+    offset = (at - F.col("_v")) / F.col("_h")
+    scale = F.col("_total") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
+    kernel = F.exp(F.lit(-0.5) * offset * offset) / scale
+    return points.groupBy(key, "point").agg(F.max(at).alias("x"), F.sum(kernel).alias("density"))
 
 
 def auto_bins(sample: DataFrame, cols: Sequence[str]) -> dict[str, int]:
