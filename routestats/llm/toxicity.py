@@ -33,7 +33,7 @@ _BASE = int(seeds(41, 1)[0]) | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WHOLE, _STEM = seeds(42, 2)
 _PLANE = 1 << 16
-#: Letters hashed at a time; a text is cut between words.
+#: Half the letters hashed at a time; a text is cut between words, a longer word is read in pieces.
 _CHUNK = 1 << 18
 
 
@@ -55,6 +55,16 @@ _UP[0] = _DOWN[0] = 1
 _UP, _DOWN = np.multiply.accumulate(_UP), np.multiply.accumulate(_DOWN)
 
 
+def _long_run(codes: np.ndarray) -> np.ndarray:
+    """The hashes of a word that is longer than a chunk, read in pieces."""
+    total = np.zeros(1, np.uint64)
+    for at in range(0, len(codes), len(_UP)):
+        part = mix(codes[at : at + len(_UP)].astype(np.uint64)) * _UP[: len(codes) - at]
+        total += part.sum(dtype=np.uint64) * np.full(1, pow(_BASE, at, 1 << 64), np.uint64)
+    first = (mix(codes[:STEM].astype(np.uint64)) * _UP[:STEM]).sum(dtype=np.uint64)
+    return np.r_[mix(total + _WHOLE), mix(np.full(1, first) + _STEM)]
+
+
 def _term_hashes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     plane = np.minimum(codes, _PLANE - 1)
@@ -62,22 +72,22 @@ def _term_hashes(text: str) -> np.ndarray:
     codes = np.where(codes < _PLANE, _LOWER[plane], codes)
     edge = np.flatnonzero(np.diff(np.r_[False, letter, False].view(np.int8)))
     start, end = edge[0::2], edge[1::2]
-    found = []
-    for low in range(0, len(start), _CHUNK // 16):
-        s, e = start[low : low + _CHUNK // 16], end[low : low + _CHUNK // 16]
-        offset = s[0]
-        part = codes[offset : e[-1]].astype(np.uint64)
-        if len(part) >= len(_UP):  # words of more than thousands of letters: only their first ones are read
-            e = np.minimum(e, s + 64)
-            part = np.concatenate([codes[a:b] for a, b in zip(s, e, strict=True)]).astype(np.uint64)
-            e = np.cumsum(e - s)
-            s, offset = np.r_[0, e[:-1]], 0
+    found, low = [], 0
+    while low < len(start):
+        high = min(low + _CHUNK // 16, int(np.searchsorted(end, start[low] + len(_UP), "right")))
+        if high == low:
+            found.append(_long_run(codes[start[low] : end[low]]))
+            low += 1
+            continue
+        offset = start[low]
+        s, e = start[low:high] - offset, end[low:high] - offset
+        part = codes[offset : end[high - 1]].astype(np.uint64)
         sums = np.r_[np.uint64(0), np.cumsum(mix(part) * _UP[: len(part)], dtype=np.uint64)]
-        s, e = s - offset, e - offset
         back = _DOWN[s]
         found.append(mix((sums[e] - sums[s]) * back + _WHOLE))
         long = e - s > STEM
         found.append(mix((sums[s[long] + STEM] - sums[s[long]]) * back[long] + _STEM))
+        low = high
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 

@@ -71,6 +71,22 @@ def test_terms():
     assert len(names("x" * 2_000_000)) == 2
 
 
+def test_long_words_have_one_hash_in_every_text():
+    letters = np.array(list("acgt"))
+    rng = np.random.default_rng(9)
+    words = ["a" * 64 + "".join(letters[rng.integers(0, 4, 6)]) + chr(97 + i % 26) * (i // 26 % 7) for i in range(10_000)]
+    alone = np.concatenate([tx.terms(" ".join(words[at : at + 100]))[0] for at in range(0, len(words), 100)])
+    values, counts = tx.terms(" ".join(words))
+    assert values.tolist() == np.unique(alone).tolist() and counts.sum() == 2 * len(words)
+    assert len(values) == len(set(words)) + 1  # and the first letters, which all share
+    huge = "ab" * 700_000
+    assert set(tx.terms(huge)[0]) < set(tx.terms(f"one {huge} two")[0])
+    assert len(set(tx.terms(f"{huge}x {huge}y {huge}")[0])) == 4
+    at = len(tx._UP)
+    one, two = "q" * at, "q" * at + "r"  # as long as a chunk, and longer
+    assert len(tx.terms(f"{one} {two} {one}")[0]) == 3
+
+
 def test_calibration_moves_shares_to_the_population():
     index, _, _ = random_index(np.random.default_rng(8))
     assert abs(index.calibrated(index.share) - 0.3) < 1e-12
