@@ -1,10 +1,14 @@
-"""Toxicity scores by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes."""
+"""Toxicity scores by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+
+Every term of an example is in the index; a term found in no example adds nothing to a product with one and is left out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +21,6 @@ from routestats.llm.words import mix, seeds
 
 #: Labelled rows of each label used as examples, taken in the order of a hash of the id.
 EXAMPLES = 4000
-#: Most terms; a term must be in MIN_DOCS examples, MIN_LIFT times as frequent under one label, its chi-square at least
-#: MIN_CHI2.
-TERMS, MIN_DOCS, MIN_CHI2, MIN_LIFT = 2048, 8, 60.0, 4.0
 #: Letters of a word that make a term of their own, beside the whole word.
 STEM = 4
 #: Neighbours that vote, examples in a block, blocks read before the bounds are used.
@@ -111,6 +112,13 @@ def _known(text: str | None, vocabulary: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[hit], counts[hit]
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each low to below its high, one range after the other, and the ranges' lengths."""
+    length = high - low
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - length), length), length
+
+
 def _weights(idf: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The TF-IDF vector of a text, of length 1."""
     weights = (1 + np.log(counts)) * idf[at]
@@ -122,13 +130,15 @@ class ToxicityIndex:
     """Examples (ascending places in blocks of BLOCK) with an inverted list and block maxima for each term."""
 
     vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
+    idf: np.ndarray  # the terms' weights
     ids: np.ndarray  # of the examples
     labels: np.ndarray
     place: np.ndarray  # postings by term, then example
     weight: np.ndarray
-    bounds: np.ndarray  # (term, block): where the term's postings of the block begin; one column more
-    maxima: np.ndarray  # (term, block): the largest weight
+    first: np.ndarray  # of each term, among the cells (term, block) that hold postings; one more
+    block: np.ndarray  # of each cell
+    begin: np.ndarray  # of each cell, among the postings; one more
+    highest: np.ndarray  # the largest weight of each cell
     rate: float  # of label 1 in the population
     share: float  # of label 1 among the examples
     empty_share: float  # of label 1 among examples without terms
@@ -144,15 +154,29 @@ class ToxicityIndex:
         one = share * self.rate / self.share
         return one / (one + (1 - share) * (1 - self.rate) / (1 - self.share))
 
-    def _read(self, at: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples in the blocks that share a term, and their cosines."""
-        low, high = self.bounds[np.ix_(at, blocks)].ravel(), self.bounds[np.ix_(at, blocks + 1)].ravel()
-        length = high - low
-        ends = np.cumsum(length)
-        postings = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - length), length)
-        gain = self.weight[postings] * np.repeat(np.repeat(query, len(blocks)), length)
-        found, inverse = np.unique(self.place[postings], return_inverse=True)
-        return found, np.round(np.bincount(inverse, weights=gain, minlength=len(found)), 12)
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
+
+    @property
+    def maxima(self) -> np.ndarray:
+        """(term, block): the largest weight, 0 where the cell has no postings. For small vocabularies."""
+        out = np.zeros((len(self.vocabulary), self.blocks))
+        out[np.repeat(np.arange(len(out)), np.diff(self.first)), self.block] = self.highest
+        return out
+
+    @property
+    def bounds(self) -> np.ndarray:
+        """(term, block): where the term's postings of the block begin; one column more. For small vocabularies."""
+        cells = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first)) * self.blocks + self.block
+        edges = np.searchsorted(cells, np.arange(len(self.vocabulary) * self.blocks + 1))
+        starts = self.begin[edges]
+        return np.c_[starts[:-1].reshape(len(self.vocabulary), -1), starts[self.blocks :: self.blocks]]
+
+    def _read(self, cells: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The part of each example's cosine that lies in the cells, whose terms have these weights in the query."""
+        postings, length = _ranges(self.begin[cells], self.begin[cells + 1])
+        return np.bincount(self.place[postings], self.weight[postings] * np.repeat(query, length), len(self.ids))
 
     def nearest(self, at: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The NEIGHBOURS examples of highest cosine above 0, ties by smaller id, and the cosines.
@@ -160,17 +184,21 @@ class ToxicityIndex:
         Blocks are read in the order of the most that an example in them can reach; when that is less than the
         cosine of the last neighbour, the rest can't hold a nearer one.
         """
-        reach = query @ self.maxima[at]
-        order = np.argsort(-reach, kind="stable")
-        order = order[reach[order] > 0]
-        found, cosine = self._read(at, query, order[:FIRST_BLOCKS])
-        if len(order) > FIRST_BLOCKS:
-            floor = np.sort(cosine)[-NEIGHBOURS] if len(cosine) >= NEIGHBOURS else 0
-            rest = order[FIRST_BLOCKS:]
-            more = self._read(at, query, rest[reach[rest] >= floor - 1e-9])
-            found, cosine = np.r_[found, more[0]], np.r_[cosine, more[1]]
+        cells, length = _ranges(self.first[at], self.first[at + 1])
+        query, block = np.repeat(query, length), self.block[cells]
+        reach = np.bincount(block, query * self.highest[cells], self.blocks)
+        early = np.zeros(self.blocks, bool)
+        early[np.argsort(-reach, kind="stable")[:FIRST_BLOCKS]] = True
+        now = early[block]
+        cosine = self._read(cells[now], query[now])
+        floor = np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS] if len(cosine) >= NEIGHBOURS else 0
+        now = ~now & (reach >= floor - 1e-9)[block]
+        cosine = np.round(cosine + self._read(cells[now], query[now]), 12)
+        found = np.flatnonzero(cosine > 0)
+        if len(found) > NEIGHBOURS:
+            found = found[cosine[found] >= np.partition(cosine[found], -NEIGHBOURS)[-NEIGHBOURS]]
+        cosine = cosine[found]
         best = np.lexsort((self.ids[found], -cosine))[:NEIGHBOURS]
-        best = best[cosine[best] > 0]
         return found[best], cosine[best]
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
@@ -178,7 +206,7 @@ class ToxicityIndex:
         at, counts = _known(text, self.vocabulary)
         if not len(at) or not len(self.ids):
             return self.calibrated(self.empty_share), [], []
-        key = at.tobytes() + counts.tobytes()
+        key = blake2b(at.tobytes() + counts.tobytes(), digest_size=16).digest()
         if key not in self.remembered:
             if len(self.remembered) > 20_000:
                 self.remembered.clear()
@@ -191,86 +219,88 @@ class ToxicityIndex:
         return self.remembered[key]
 
 
-def _chosen(counts: DataFrame, bad: int, good: int) -> np.ndarray:
-    """The terms that tell the labels apart best, by chi-square of their document frequencies."""
-    a, b = F.col("bad"), F.col("n") - F.col("bad")
-    rate_a, rate_b = (a + 0.5) / (bad + 1.0), (b + 0.5) / (good + 1.0)
-    n = float(bad + good)
-    spread = (a + b) * (n - a - b) * float(bad) * float(good)
-    chi2 = n * F.pow(a * (good - b) - b * (bad - a), F.lit(2.0)) / F.greatest(spread, F.lit(1e-9))
-    lift = F.greatest(rate_a / rate_b, rate_b / rate_a)
-    rows = counts.where(F.col("n") >= MIN_DOCS).select("term", chi2.alias("chi2"), lift.alias("lift"))
-    rows = rows.where((F.col("chi2") >= MIN_CHI2) & (F.col("lift") >= MIN_LIFT)).orderBy(F.desc("chi2"), "term").limit(TERMS)
-    return np.sort(np.array([r[0] for r in rows.collect()], np.int64))
+def _contrast(in_bad: np.ndarray, in_good: np.ndarray, bad: int, good: int) -> np.ndarray:
+    """How far a term's frequencies under the labels lie apart: the logarithm of their ratio, half an example added.
+
+    It takes the place of a choice of terms: words equally common under both labels count little, none is dropped.
+    """
+    return np.abs(np.log((in_bad + 0.5) / (bad + 1.0)) - np.log((in_good + 0.5) / (good + 1.0)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic") -> ToxicityIndex:
-    """The index over at most EXAMPLES labelled rows of each label that ``keep`` admits.
+    """The index over at most EXAMPLES labelled rows of each label that ``keep`` admits, with all of their terms.
 
-    Terms are chosen on the examples; the inverse document frequencies are counted over all of ``docs``. The driver
-    sees the chosen terms, their counts and the examples' vectors, all of bounded size.
+    A term weighs its inverse document frequency, counted over all of ``docs``, times the contrast of its frequencies
+    under the labels. The driver sees the examples' vectors and one count for each of their terms.
     """
     sample, share_good = training_sample(labels, label, keep, EXAMPLES)
     rate = 1 - share_good if sample.take(1) else 0.0
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
-    def spread(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for _, value, text in rows:
-            for term in terms(text)[0].tolist():
-                yield term, value
-
-    sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    pairs = map_rows(picked, spread, pa.schema([("term", pa.int64()), ("bad", pa.int32())]), "term long, bad int")
-    counts = pairs.groupBy("term").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
-    vocabulary = _chosen(counts, sizes.get(1, 0), sizes.get(0, 0))
+    def vectors(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for doc_id, value, text in rows:
+            values, counts = terms(text)
+            yield doc_id, value, values.tobytes(), counts.astype(np.int32).tobytes()
+
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.binary()), ("number", pa.binary())])
+    held = map_rows(picked, vectors, schema, "doc_id long, label int, terms binary, number binary", lambda r: len(r[2]) + len(r[3]))
+    held = held.dropDuplicates(["doc_id"]).toArrow()
+    ids, values = held["doc_id"].to_pylist(), held["label"].to_pylist()
+    hashes = [np.frombuffer(x.as_buffer(), np.int64) for x in held["terms"]]
+    numbers = [np.frombuffer(x.as_buffer(), np.int32) for x in held["number"]]
+    vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.int64)
+    at = [np.searchsorted(vocabulary, x).astype(np.int32) for x in hashes]
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = known.value
         total = np.zeros(len(vocabulary) + 1, np.int64)
         for _, text in rows_of(batches):
             total[_known(text, vocabulary)[0]] += 1
             total[-1] += 1
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["term", "n"])
+        for low in range(0, len(seen), 1 << 16):
+            part = seen[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["term", "n"])
 
     total = np.zeros(len(vocabulary) + 1, np.int64)
-    for row in docs.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        total[row[0]] = row[1]
+    counted = docs.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total[counted["term"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + total[-1]) / (1 + total[:-1]))
-
-    def vectors(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for doc_id, value, text in rows:
-            at, number = _known(text, vocabulary)
-            yield doc_id, value, at.tolist(), number.tolist()
-
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("at", pa.list_(pa.int64())), ("number", pa.list_(pa.int64()))])
-    held = map_rows(picked, vectors, schema, "doc_id long, label int, at array<long>, number array<long>")
-    return build_index(vocabulary, idf, [tuple(r) for r in held.dropDuplicates(["doc_id"]).collect()], rate)
+    seen = [np.zeros(len(vocabulary), np.int64) for _ in range(2)]
+    for value, x in zip(values, at, strict=True):
+        seen[value][x] += 1
+    weights = idf * _contrast(seen[1], seen[0], sum(values), len(values) - sum(values))
+    return build_index(vocabulary, weights, list(zip(ids, values, at, numbers, strict=True)), rate)
 
 
 def build_index(vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple], rate: float) -> ToxicityIndex:
     """The index over examples (id, label, term indexes, counts); those without terms only give the empty rate."""
     share = sum(e[1] for e in examples) / max(1, len(examples))
-    bare = [e[1] for e in examples if not e[2]]
+    bare = [e[1] for e in examples if not len(e[2])]
     empty = sum(bare) / len(bare) if bare else share
-    rows = sorted((e for e in examples if e[2]), key=lambda e: (e[2], e[0]))  # alike ones share blocks
-    blocks = -(-len(rows) // BLOCK)
-    vectors = [_weights(idf, np.array(e[2]), np.array(e[3])) for e in rows]
-    term = np.concatenate([np.array(e[2], np.int64) for e in rows]) if rows else np.empty(0, np.int64)
-    place = np.repeat(np.arange(len(rows)), [len(v) for v in vectors])
-    weight = np.concatenate(vectors) if rows else np.empty(0)
-    order = np.lexsort((place, term))
+    rows = []
+    for doc_id, value, at, number in examples:
+        if len(at):
+            at = np.asarray(at)
+            vector = _weights(idf, at, np.asarray(number))
+            rows.append((int(at[vector.argmax()]), at.tobytes(), doc_id, value, at, vector))
+    rows.sort(key=lambda r: r[:3])  # those with the same heaviest term share blocks
+    term = np.concatenate([r[4] for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
+    place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[4]) for r in rows])
+    weight = np.concatenate([r[5] for r in rows]) if rows else np.empty(0)
+    ids, labels = (np.array([r[i] for r in rows], kind) for i, kind in ((2, np.int64), (3, np.float64)))
+    del rows
+    order = np.argsort(term, kind="stable")  # places ascend already
     term, place, weight = term[order], place[order], weight[order]
-    cell = term * max(1, blocks) + place // BLOCK
-    edges = np.searchsorted(cell, np.arange(len(vocabulary) * max(1, blocks) + 1))
-    bounds = np.empty((len(vocabulary), blocks + 1), np.int64)
-    maxima = np.zeros((len(vocabulary), blocks))
-    if blocks:
-        bounds[:, :-1] = edges[:-1].reshape(len(vocabulary), blocks)
-        bounds[:, -1] = edges[blocks::blocks]
-        np.maximum.at(maxima, (term, place // BLOCK), weight)
-    ids, labels = (np.array([e[i] for e in rows], kind) for i, kind in ((0, np.int64), (1, np.float64)))
-    return ToxicityIndex(vocabulary, idf, ids, labels, place, weight, bounds, maxima, rate, share, empty)
+    cell = term * max(1, -(-len(ids) // BLOCK)) + place // BLOCK
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    highest = np.maximum.reduceat(weight, begin) if len(begin) else np.empty(0)
+    first = np.searchsorted(term[begin], np.arange(len(vocabulary) + 1))
+    block = (place[begin] // BLOCK).astype(np.int32)
+    begin = np.r_[begin, len(weight)]
+    return ToxicityIndex(vocabulary, idf, ids, labels, place, weight, first, block, begin, highest, rate, share, empty)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

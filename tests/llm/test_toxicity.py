@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from routestats.llm import toxicity as tx
 
 LABELS = "doc_id long, quality int, toxic int"
+COMMON = ["w" + a + b for a in "abcdefgh" for b in "abcde"]
 
 
 def test_held_out_accuracy(spark, sf):
@@ -87,6 +88,30 @@ def test_long_words_have_one_hash_in_every_text():
     assert len(tx.terms(f"{one} {two} {one}")[0]) == 3
 
 
+def test_toxic_rows_are_found_at_each_size(spark, docs_of):
+    """Toxic rows share one of several words, each far too rare for a cut by counts; all other words are everywhere."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for size in (60, 400, 1600):
+        rng = np.random.default_rng(size)
+        toxic = [i % 4 == 0 for i in range(size)]
+        slurs = [letters[i % 26] + "xy"[i // 26] + "urls" for i in range(size // 40)]
+        texts = [" ".join([*rng.choice(COMMON, 30), slurs[i // 4 % len(slurs)] if toxic[i] else "mild"]) for i in range(size)]
+        labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)], LABELS)
+        held = [r for r in tx.score_toxicity(docs_of(texts), labels).collect() if r.held_out]
+        missed = [r.doc_id for r in held if r.predicted < toxic[r.doc_id]]
+        false = [r.doc_id for r in held if r.predicted > toxic[r.doc_id]]
+        assert sum(toxic[r.doc_id] for r in held) > 0
+        assert len(missed) + len(false) <= len(held) // 20, (size, len(held), missed, false)
+
+
+def test_all_terms_of_the_examples_are_kept(spark, docs_of):
+    texts = [f"word{'abcdefgh'[i % 8]} only{'abcdefghijklmnopqrstuvwxyz'[i % 26]} rest" for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(50)], LABELS)
+    index = tx.fit_toxicity(docs_of(texts), labels, F.lit(True))
+    assert index.vocabulary.tolist() == tx.terms(" ".join(texts))[0].tolist()
+    assert len(index.weight) == sum(len(tx.terms(t)[0]) for t in texts)
+
+
 def test_calibration_moves_shares_to_the_population():
     index, _, _ = random_index(np.random.default_rng(8))
     assert abs(index.calibrated(index.share) - 0.3) < 1e-12
