@@ -56,6 +56,24 @@ def test_invalid_values_and_other_text_stay(spark):
         assert value not in made
 
 
+def test_low_phones_high_addresses_and_other_card_groups(spark):
+    card = with_check("37828224631000")
+    cards = [f"{card[:4]}{sign}{card[4:10]}{sign}{card[10:]}" for sign in " -"]
+    phones = ["+1 (017) 555-7713", "+1-017-555-7713", "+1 (415) 155-2671", "+1 (415) 055-2671", "+1 (000) 000-0000"]
+    quads = ["233.254.104.120", "224.0.0.1", "255.255.255.255", "240.1.2.3"]
+    new = mapped(spark, [*cards, *phones, *quads, card])
+    assert not {v for v, m in new.items() if v == m}
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert {digits(new[c]) for c in cards} == {new[card]} and luhn(new[card])
+    assert all(re.sub(r"\d", "0", p) == re.sub(r"\d", "0", new[p]) for p in [*phones, *cards])
+    assert digits(new[phones[0]]) == digits(new[phones[1]])
+    assert all(224 <= int(new[q].split(".")[0]) <= 255 and max(map(int, new[q].split("."))) <= 255 for q in quads)
+    many = [f"+1 ({a}) {e}-{n}" for a in ("000", "099", "200", "999") for e in ("000", "199", "200", "999") for n in ("0000", "1234", "9999")]
+    many += [f"{a}.{b}.0.{c}" for a in (1, 223, 224, 255) for b in (0, 9, 255) for c in range(0, 256, 51)]
+    made = mapped(spark, many)
+    assert len(set(made.values())) == len(many) and not {v for v, m in made.items() if v == m}
+
+
 def test_permutations_are_one_to_one(spark):
     dates = [str(datetime.date(1900, 1, 1) + datetime.timedelta(d)) for d in range(0, 73_049, 23)]
     dates += [f"{y}-12-31" for y in range(1904, 2100, 4)]
