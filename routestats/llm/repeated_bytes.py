@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routestats.llm.arrow import emit, map_rows, rows_of
-from routestats.llm.suffix_order import QUEUE_RECORDS, Scratch, suffix_order
+from routestats.llm.suffix_order import QUEUE_RECORDS, Needs, Scratch, suffix_order
 from routestats.llm.words import mix, seeds
-from routestats.operators.scale import join_sized
 from routestats.session import materialize
 
 #: Bytes of a repeated string.
@@ -27,10 +26,11 @@ JOINED_BYTES = 1 << 16
 SHARD_BYTES, CHUNK_BYTES = 4 << 20, 1 << 19
 
 _PLACE_BITS = 20
-_BYTE = seeds(51, 256), seeds(52, 256)
-_BASE = tuple(int(x) | 1 for x in seeds(53, 2))
-_UP = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(CHUNK_BYTES + 2 * LENGTH, b, np.uint64)]) for b in _BASE]
-_DOWN = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(CHUNK_BYTES + 2 * LENGTH, pow(b, -1, 1 << 64), np.uint64)]) for b in _BASE]
+_BYTE = seeds(51, 256)
+_BASE = int(seeds(53, 1)[0]) | 1
+_UP, _DOWN = (
+    np.multiply.accumulate(np.r_[np.uint64(1), np.full(CHUNK_BYTES + 2 * LENGTH, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))
+)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -43,38 +43,42 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, gram: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """(start, size, key, digest, second digest, recurs) of stretches whose windows are all windows of ``data``.
+    """(start, size, key, digest, recurs) of stretches whose windows are all windows of ``data``.
 
     A window's key is the smallest hash of ``gram`` bytes in it, and adjacent windows of one key are a stretch, so
     equal windows lie in stretches of one key. ``recurs``: the key's string begins at several places of the stretch.
     """
     for low in range(0, len(data) - length + 1, CHUNK_BYTES):
         part = data[low : low + CHUNK_BYTES + length - 1]
-        sums = [np.r_[np.uint64(0), np.cumsum(byte[part] * up[: len(part)], dtype=np.uint64)] for byte, up in zip(_BYTE, _UP, strict=True)]
-        hashed = mix((sums[0][gram:] - sums[0][:-gram]) * _DOWN[0][: len(part) - gram + 1])
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[part] * _UP[: len(part)], dtype=np.uint64)))
+        hashed = mix((sums[gram:] - sums[:-gram]) * _DOWN[: len(part) - gram + 1])
         place = np.arange(len(hashed), dtype=np.uint64)
         least = _least((hashed >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | place, length - gram + 1)
         key, place = least >> np.uint64(_PLACE_BITS), least & np.uint64((1 << _PLACE_BITS) - 1)
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         end = np.r_[start[1:], len(key)] + length - 1
-        digests = [mix((s[end] - s[start]) * down[start] + (end - start).astype(np.uint64)) for s, down in zip(sums, _DOWN, strict=True)]
+        digest = mix((sums[end] - sums[start]) * _DOWN[start] + (end - start).astype(np.uint64))
         last = np.r_[start[1:], len(key)] - 1
-        yield start + low, end - start, key[start].view(np.int64), *(d.view(np.int64) for d in digests), place[start] != place[last]
+        yield start + low, end - start, key[start].view(np.int64), digest.view(np.int64), place[start] != place[last]
+
+
+_FOUND = "a long, b long, doc_id long, copies long, start long, size long, key long, digest long, recurs boolean"
 
 
 def _cut(gram: int, length: int):
-    """Batches of all stretches of the texts (a, b, copies, packed)."""
-    names = ["a", "b", "copies", "start", "size", "key", "d1", "d2", "recurs"]
+    """Batches of all stretches of the texts (a, b, doc_id, copies, packed)."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, held, count = zstandard.ZstdDecompressor(), [], 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names=names)
 
-        for a, b, copies, packed in rows_of(batches, 64):
+        for *owner, packed in rows_of(batches, 64):
             for found in stretches(np.frombuffer(unpack.decompress(packed), np.uint8), gram, length):
-                held.append((*(np.full(len(found[0]), x, np.int64) for x in (a, b, copies)), *found))
+                own = [pa.repeat(pa.scalar(x, pa.int64()), len(found[0])) for x in owner]
+                held.append((*own, *(pa.array(c) for c in found)))
                 count += len(found[0])
                 if count >= 1 << 16:
                     yield batch()
@@ -86,7 +90,7 @@ def _cut(gram: int, length: int):
 
 
 def _taken(length: int):
-    """(key, packed, sizes, d1, d2, copies) of the wanted stretches (start, size, key, d1, d2, copies, alone) of each text.
+    """(key, packed, sizes, keys, digests, copies) of the wanted stretches of each text.
 
     Adjacent stretches share all bytes but a window's. Those that have their keys alone meet no others, so they can
     stay together: one piece of text with several stretches.
@@ -100,7 +104,7 @@ def _taken(length: int):
 
             def piece() -> tuple:
                 low, high = held[0]["start"], held[-1]["start"] + held[-1]["size"]
-                return held[0]["key"], pack.compress(data[low:high]), *([w[c] for w in held] for c in ("size", "d1", "d2", "copies"))
+                return held[0]["key"], pack.compress(data[low:high]), *([w[c] for w in held] for c in ("size", "key", "digest", "copies"))
 
             for w in sorted(wanted, key=lambda w: w["start"]):
                 if held:
@@ -117,21 +121,25 @@ def _taken(length: int):
 
 
 def sorted_shard(rows: Iterable[tuple], length: int = LENGTH, limit: int = QUEUE_RECORDS) -> Iterator[tuple]:
-    """(d1, d2, starts, ends) of the windows in each stretch that also begin elsewhere.
+    """(key, digest, starts, ends) of the windows in each stretch that also begin elsewhere.
 
-    Rows are pieces of text (packed, sizes, d1, d2, copies) with their stretches. All pieces are one text on disk, with
-    a symbol of its own after each. Windows of a stretch that has copies recur with it; of the others those whose
-    suffix shares ``length`` bytes with a neighbour in order.
+    Rows are pieces of text (packed, sizes, keys, digests, copies) with their stretches; a piece that comes again is
+    passed over. All pieces are one text, with a symbol of its own after each. Windows of a stretch that has copies
+    recur with it; of the others those whose suffix shares ``length`` bytes with a neighbour in order.
     """
     unpack = zstandard.ZstdDecompressor()
     with Scratch() as scratch:
-        path, pieces, total = scratch.path(), [], 0
+        path, pieces, total, seen = scratch.path(), [], 0, set()
         with open(path, "wb") as file:
             for packed, *stretches in rows:
-                data = unpack.decompress(packed)
-                file.write(data)
-                pieces.append((len(data), stretches))
-                total += len(data)
+                name = stretches[1][0], stretches[2][0]
+                if name not in seen:
+                    seen.add(name)
+                    data = unpack.decompress(packed)
+                    file.write(data)
+                    pieces.append((len(data), stretches))
+                    total += len(data)
+        del seen
         if not pieces:
             return
         plain = np.memmap(path, np.uint8, "r")
@@ -152,66 +160,75 @@ def sorted_shard(rows: Iterable[tuple], length: int = LENGTH, limit: int = QUEUE
             again[np.concatenate(([before], pos[:-1]))[near]] = 1
             before = int(pos[-1])
 
-        suffix_order(text, 256 + len(pieces), length, tell, scratch, limit)
+        suffix_order(text, 256 + len(pieces), length, tell, scratch, limit, Needs(length))
         at = 0
         for piece_size, stretches in pieces:
             low = at
-            for size, d1, d2, copies in zip(*stretches, strict=True):
+            for size, key, digest, copies in zip(*stretches, strict=True):
                 windows = size - length + 1
                 marked = again[low : low + windows] if copies < 2 else np.ones(windows, np.uint8)
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], marked, [0])).astype(np.int8)))
                 if len(edge):
-                    yield d1, d2, edge[0::2].tolist(), edge[1::2].tolist()
+                    yield key, digest, edge[0::2].tolist(), edge[1::2].tolist()
                 low += windows
             at += piece_size + 1
 
 
-_MARKS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
-_MARKS_DDL = "d1 long, d2 long, starts array<long>, ends array<long>"
+_MARKS = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+_MARKS_DDL = "key long, digest long, starts array<long>, ends array<long>"
 
 
 def recurring(texts: DataFrame, length: int = LENGTH, level: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(a, b, low, high) for distinct texts (a, b: digest; copies; packed): windows from low to below high recur.
+    """(a, b, low, high), one row each, for texts (a, b: digest; doc_id; copies; packed): windows from low to below
+    high recur.
 
-    ``copies`` counts the places where a text occurs. Stretches of equal bytes are one class; classes whose key has
-    one member that occurs once are nobody's equal and go no further.
+    ``copies`` counts the places where the row's text occurs. Stretches of equal bytes are one class; classes whose
+    key has one member that occurs once are nobody's equal and go no further.
     """
-    cut = "a long, b long, copies long, start long, size long, key long, d1 long, d2 long, recurs boolean"
-    found = materialize(texts.select("a", "b", "copies", "packed").mapInArrow(_cut(GRAMS[level], length), cut), "stretches")
-    classes = materialize(found.groupBy("key", "d1", "d2").agg(
-        F.sum("copies").alias("copies"), F.max("recurs").alias("recurs"),
-        F.min(F.struct("a", "b", "start")).alias("at"), F.first("size").alias("size"),
-    ), "classes")
-    keys = classes.groupBy("key").agg(F.sum("copies").alias("met"), F.max("recurs").alias("any"), F.count("*").alias("kinds"))
-    keys = materialize(keys.where("met > 1 or any").select("key", (F.col("kinds") > HOT_STRETCHES).alias("hot"), (F.col("kinds") == 1).alias("alone")), "keys")
-    wanted = classes.join(keys, "key").select("key", "d1", "d2", "copies", "size", "hot", "alone", "at.a", "at.b", "at.start")
-    wanted = materialize(wanted, "wanted")
+    found = materialize(texts.select("a", "b", "doc_id", "copies", "packed").mapInArrow(_cut(GRAMS[level], length), _FOUND), "stretches")
+    keys = found.groupBy("key").agg(
+        F.sum("copies").alias("met"), F.max("recurs").alias("any"), F.count("*").alias("n"),
+        (F.min("digest") == F.max("digest")).alias("alone"),
+    ).where("met > 1 or any")
+    keys = materialize(keys.select("key", "alone", (~F.col("alone") & (F.col("n") > HOT_STRETCHES)).alias("hot")), "keys")
+    met = materialize(found.join(keys, "key"), "met")
+    wanted = materialize(met.groupBy("key", "digest").agg(
+        F.sum("copies").alias("copies"), F.min(F.struct("a", "b", "doc_id", "start")).alias("at"),
+        F.first("size").alias("size"), F.first("hot").alias("hot"), F.first("alone").alias("alone"),
+    ).select("key", "digest", "copies", "size", "hot", "alone", "at.*"), "wanted")
     many = pa.list_(pa.int64())
-    schema = pa.schema([("key", pa.int64()), ("packed", pa.binary()), ("size", many), ("d1", many), ("d2", many), ("copies", many)])
+    schema = pa.schema([("key", pa.int64()), ("packed", pa.binary()), ("size", many), ("keys", many), ("digests", many), ("copies", many)])
     take = _taken(length)
 
     def contents(of: DataFrame) -> DataFrame:
         """Each text is read once for all that is wanted of it."""
-        lists = of.groupBy("a", "b").agg(F.collect_list(F.struct("key", "d1", "d2", "copies", "start", "size", "alone")).alias("wanted"))
-        rows = texts.select("a", "b", "packed").join(lists, ["a", "b"]).select("packed", "wanted")
+        cells = F.struct("key", "digest", "copies", "start", "size", "alone")
+        lists = materialize(of.groupBy("a", "b", "doc_id").agg(F.collect_list(cells).alias("wanted")), "lists")
+        same = (texts["a"] == lists["a"]) & (texts["b"] == lists["b"]) & texts["doc_id"].eqNullSafe(lists["doc_id"])
+        rows = texts.join(lists, same).select("packed", "wanted")
         function = lambda batches: emit(schema, take(rows_of(batches, 16)), lambda r: len(r[1]))
-        return rows.mapInArrow(function, "key long, packed binary, size array<long>, d1 array<long>, d2 array<long>, copies array<long>")
+        return rows.mapInArrow(function, "key long, packed binary, size array<long>, keys array<long>, digests array<long>, copies array<long>")
 
     last = level == len(GRAMS) - 1
     plain = wanted if last else wanted.where("not hot")
     total = plain.agg(F.sum("size")).first()[0] or 0
-    dealt = contents(plain).repartition(total // shard_bytes + 1, "key").select("packed", "size", "d1", "d2", "copies")
-    marks = materialize(map_rows(dealt, lambda rows: sorted_shard(rows, length), _MARKS, _MARKS_DDL, lambda r: 16 * len(r[2])), "marks")
-    marks = marks.select("d1", "d2", F.explode(F.arrays_zip("starts", "ends")).alias("of"))
-    marks = marks.select("d1", "d2", F.col("of.starts").alias("low"), F.col("of.ends").alias("high"))
+    dealt = contents(plain).repartition(total // shard_bytes + 1, "key").select("packed", "size", "keys", "digests", "copies")
+    marks = map_rows(dealt, lambda rows: sorted_shard(rows, length), _MARKS, _MARKS_DDL, lambda r: 16 * len(r[2]))
+    marks = marks.select("key", "digest", F.explode(F.arrays_zip("starts", "ends")).alias("of"))
+    marks = materialize(marks.select("key", "digest", F.col("of.starts").alias("low"), F.col("of.ends").alias("high")), "marks")
     if not last and wanted.where("hot").take(1):
         first = lambda c: F.col(c)[0]  # noqa: E731  (a hot key has no stretch alone: pieces of one)
-        hot = contents(wanted.where("hot")).select(first("d1").alias("a"), first("d2").alias("b"), first("copies").alias("copies"), "packed")
-        deeper = recurring(materialize(hot, "hot"), length, level + 1, shard_bytes)
-        marks = marks.unionByName(deeper.select(F.col("a").alias("d1"), F.col("b").alias("d2"), "low", "high"))
-    marks = materialize(marks, "ranges")
-    # Plain shuffles of written tables, so that a stretch found in many texts can be split.
-    placed = found.select("a", "b", "start", "d1", "d2").join(marks, ["d1", "d2"])
+        hot = contents(wanted.where("hot")).select(
+            first("keys").alias("a"), first("digests").alias("b"), F.lit(0).cast("long").alias("doc_id"),
+            first("copies").alias("copies"), "packed",
+        )
+        hot = materialize(hot.dropDuplicates(["a", "b"]), "hot")
+        deeper = recurring(hot, length, level + 1, shard_bytes)
+        deeper = deeper.select(F.col("a").alias("key"), F.col("b").alias("digest"), "low", "high")
+        marks = materialize(marks.unionByName(deeper), "all-marks")
+    # Copies of a text are one from here on. Plain shuffles of written tables: a stretch of many texts can be split.
+    owners = materialize(met.select("a", "b", "start", "key", "digest").distinct(), "owners")
+    placed = owners.join(marks, ["key", "digest"])
     return placed.select("a", "b", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
@@ -225,25 +242,26 @@ def _profile(rows: Iterable[tuple]) -> Iterator[tuple]:
 
 
 def _removed(length: int):
-    """Of each text the bytes outside all windows that recur: numbers and digest."""
+    """Of each row (doc_id, n_bytes, whole, packed, low, high) the bytes outside all windows that recur."""
 
     def remove(rows: Iterable[tuple]) -> Iterator[tuple]:
         unpack = zstandard.ZstdDecompressor()
-        for a, b, packed, low, high in rows:
-            data = unpack.decompress(packed)
-            gone = [[0, 0]]
+        for doc_id, size, whole, packed, low, high in rows:
+            if not low:
+                yield doc_id, size, 0, 0, whole
+                continue
+            data, gone = unpack.decompress(packed), []
             for start, end in sorted(zip(low, high, strict=True)):
-                end += length - 1
-                if start <= gone[-1][1] and len(gone) > 1:
-                    gone[-1][1] = max(end, gone[-1][1])
+                if gone and start <= gone[-1][1]:
+                    gone[-1][1] = max(end + length - 1, gone[-1][1])
                 else:
-                    gone.append([start, end])
+                    gone.append([start, end + length - 1])
             kept, at = hashlib.sha256(), 0
-            for start, end in gone[1:]:
+            for start, end in gone:
                 kept.update(data[at:start])
                 at = end
             kept.update(data[at:])
-            yield a, b, sum(end - start for start, end in gone), len(gone) - 1, kept.hexdigest()
+            yield doc_id, size, sum(end - start for start, end in gone), len(gone), kept.hexdigest()
 
     return remove
 
@@ -254,9 +272,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: in
     A byte of a text's UTF-8 form goes if it lies in a string of ``length`` bytes that also begins elsewhere, in this
     text or another; strings don't cross texts and are judged on the input. ``n_spans`` counts maximal removed runs.
 
-    1. Equal texts are one class with a number of copies.
-    2. Each window of ``length`` bytes has a key, the smallest hash of some bytes in it; windows of a key that occurs
-       once recur nowhere. What lies under the other keys is cut out in stretches, and equal ones are a class again.
+    1. Each window of ``length`` bytes has a key, the smallest hash of some bytes in it; windows of a key that occurs
+       once recur nowhere. Texts are cut into stretches of windows of one key.
+    2. Stretches under the other keys are classes of equal bytes; one member of each is cut out of its text.
     3. Keys are dealt to shards of about ``shard_bytes``; the suffixes of a shard are put in order with their common
        prefixes by external induced sorting. A key that very many different stretches share is cut by longer strings
        first, up to the windows themselves, so no key can overfill a shard.
@@ -264,25 +282,17 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: in
 
     Null, empty and short texts lose nothing. Rows that repeat a text or a row lose everything from ``length`` bytes
     on, whatever their doc_id, null too. Very long texts are hashed in pieces and sorted with what they share only.
-    An empty table gives an empty result. Texts and stretches are told apart by 128 bits of digest.
+    An empty table gives an empty result. Texts are told apart by 128 bits of digest, stretches by 108.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
                         ("whole", pa.string()), ("packed", pa.binary())])
     ddl = "doc_id long, n_bytes long, a long, b long, whole string, packed binary"
     profiles = map_rows(docs, _profile, schema, ddl, lambda r: 200 + len(r[5]))
-    profiles = materialize(profiles.withColumn("row", F.monotonically_increasing_id()), "profiles")
-    classes = profiles.where(F.col("n_bytes") >= length).groupBy("a", "b")
-    heads = materialize(classes.agg(F.min("row").alias("row"), F.count("*").alias("copies")).select("row", "copies"), "heads")
-    texts = materialize(profiles.select("row", "a", "b", "packed").join(heads, "row").drop("row"), "texts")
-
-    ranges = recurring(texts, length, 0, shard_bytes).groupBy("a", "b").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
-    held = texts.select("a", "b", "packed").join(ranges, ["a", "b"])
-    removed = map_rows(held, _removed(length), schema, "a long, b long, n_removed long, n_spans long, kept string")
-    rows = join_sized(profiles.select("doc_id", "n_bytes", "a", "b", "whole"), removed, ["a", "b"])
-    zero = F.lit(0).cast("long")
-    return rows.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("kept", "whole").alias("kept_sha256"),
-    )
+    texts = profiles.where(F.col("n_bytes") >= length).withColumn("copies", F.lit(1).cast("long"))
+    ranges = recurring(texts, length, 0, shard_bytes).groupBy("a", "b")
+    ranges = materialize(ranges.agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "ranges")
+    held = profiles.join(ranges, ["a", "b"], "left").select("doc_id", "n_bytes", "whole", "packed", "low", "high")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+                        ("kept_sha256", pa.string())])
+    return map_rows(held, _removed(length), schema, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -16,6 +16,8 @@ import numpy as np
 
 #: Records a queue holds in memory; suffixes handled at a time, of one symbol and of several rare ones.
 QUEUE_RECORDS, STEP, NARROW_STEP = 1 << 20, 4096, 1024
+#: Bytes of arrays that a sort holds in memory.
+MEMORY_BYTES = 128 << 20
 #: Suffixes of a symbol from which on it is handled alone; fewer in a row of one symbol are handled one by one.
 WIDE, FEW = 128, 16
 
@@ -34,12 +36,18 @@ def _turned(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(size: int) -> type:
+    """The type of a place in a text."""
+    return np.int32 if size < 1 << 31 else np.int64
+
+
 class Scratch:
-    """Files of one sort in a folder of the task, which goes with the task as its shuffle spill does."""
+    """Arrays of one sort: ``memory`` bytes of them at most, the others files in a folder of the task, which goes with
+    the task as its shuffle spill does."""
 
-    def __init__(self) -> None:
+    def __init__(self, memory: int = MEMORY_BYTES) -> None:
         self.folder = tempfile.TemporaryDirectory(prefix="suffixes-")
-        self.count = 0
+        self.count, self.memory = 0, memory
 
     def __enter__(self) -> Scratch:
         return self
@@ -52,9 +60,11 @@ class Scratch:
         return os.path.join(self.folder.name, str(self.count))
 
     def array(self, size: int, dtype) -> np.ndarray:
-        """An array of zeros in a file, mapped into memory."""
-        if not size:
-            return np.zeros(0, dtype)
+        """An array of zeros, in a file mapped into memory if there is no room for it."""
+        bytes_ = size * np.dtype(dtype).itemsize
+        if bytes_ <= self.memory:
+            self.memory -= bytes_
+            return np.zeros(size, dtype)
         return np.asarray(np.memmap(self.path(), dtype, "w+", shape=(size,)))
 
 
@@ -330,7 +340,7 @@ class Scan:
 
 def _turns(text: np.ndarray, scratch: Scratch) -> np.ndarray:
     """The positions of symbols smaller than the one before that begin a rise: the leftmost of each valley."""
-    out, size = scratch.array(len(text) // 2 + 1, np.int64), 1 << 18
+    out, size = scratch.array(len(text) // 2 + 1, _places(len(text))), 1 << 18
     at, rising = len(out), False  # whether the suffix just after the block is smaller than its own next
     for low in range((len(text) - 1) // size * size, -1, -size):
         part = text[low : low + size + 1].astype(np.int64)
@@ -400,7 +410,7 @@ def _names(text: np.ndarray, turns: np.ndarray, symbols: int, scratch: Scratch,
         part = np.zeros((min(step, count - low), 3), np.int64)
         part[:, _KEY], part[:, _POS] = begun(low), np.arange(low, low + len(part))
         queue.push(part)
-    name, kinds = scratch.array(count, np.int64), 0
+    name, kinds = scratch.array(count, _places(count)), 0
     for number in range(int(range_of[-1]) + 1):
         inside = queue.pop(number)[:, _POS]
         if len(inside):
@@ -425,20 +435,57 @@ def _extended(text: np.ndarray, one: np.ndarray, two: np.ndarray, shared: np.nda
     return shared
 
 
+class Needs:
+    """What the suffixes of a level must share with a neighbour, in units of the text below, to be of any use.
+
+    ``offset(i)``: where symbol i begins there; ``need`` is a number for all, or one for each symbol.
+    """
+
+    def __init__(self, need: int | np.ndarray, offsets: np.ndarray | None = None) -> None:
+        self.need, self.offsets = need, offsets
+
+    def offset(self, at: np.ndarray) -> np.ndarray:
+        return at.astype(np.int64) if self.offsets is None else self.offsets[at]
+
+    def below(self, turns: np.ndarray, size: int) -> tuple[Needs, np.ndarray]:
+        """The same for the pieces that begin at the turns, and up to where a piece's suffix must agree with another.
+
+        The suffixes from the turn before up to a turn are induced from it, and share as much more as they begin
+        earlier: what the least demanding of them needs is needed of the turn.
+        """
+        limit = np.empty(len(turns), np.int64)
+        step, offsets = 1 << 18, np.empty(len(turns) + 1, np.int64)
+        for low in range(0, len(turns), step):
+            own = turns[low : low + step]
+            offsets[low : low + len(own)] = self.offset(own)
+            begin = int(turns[low - 1]) if low else 0
+            inside = np.arange(begin, int(own[-1]))
+            wanted = self.offset(inside) + (self.need if np.isscalar(self.need) else self.need[inside])
+            starts = np.concatenate(([begin], own[:-1])) - begin
+            limit[low : low + step] = np.minimum.reduceat(np.append(wanted, np.iinfo(np.int64).max), starts)[: len(own)]
+        if turns[0] == 0:
+            limit[0] = np.iinfo(np.int64).max  # nothing is induced from the first symbol
+        offsets[-1] = self.offset(np.array([size]))[0]
+        return Needs(limit - offsets[:-1], offsets), limit
+
+
 def suffix_order(
-    text: np.ndarray, symbols: int, cap: int, tell: Callable[[np.ndarray, np.ndarray], None], scratch: Scratch, limit: int = QUEUE_RECORDS
-) -> None:
-    """Tell all suffixes of ``text`` (numbers below ``symbols``) from the largest down, many at a time.
+    text: np.ndarray, symbols: int, cap: int, tell: Callable[[np.ndarray, np.ndarray], None], scratch: Scratch, limit: int = QUEUE_RECORDS,
+    needs: Needs | None = None,
+) -> None:
+    """Tell suffixes of ``text`` (numbers below ``symbols``) from the largest down, many at a time.
 
     ``tell(positions, lcps)``: what each suffix shares with the one told before it, at most ``cap``; the first of all
-    shares 0. An end of the text is smaller than any symbol.
+    shares 0. An end of the text is smaller than any symbol. Without ``needs`` all suffixes are told. With it, at least
+    all of those that share so much with another: what can't is not induced at any level.
     """
     if not len(text):
         return
     counts = np.bincount(text, minlength=symbols)
     turns = _turns(text, scratch)
-    order, shared = scratch.array(len(turns), np.int64), scratch.array(len(turns), np.int32)
+    order, shared = scratch.array(len(turns), _places(len(text))), scratch.array(len(turns), np.int32)
     if len(turns):
+        deeper, reach = needs.below(turns, len(text)) if needs else (None, None)
         names, kinds = _names(text, turns, symbols, scratch, limit)
         if kinds == len(turns):
             order[names] = np.arange(len(turns))
@@ -452,18 +499,31 @@ def suffix_order(
                 shared[at - len(pos) + 1 : at + 1] = lcp[::-1][: len(shared) - (at - len(pos) + 1)]
                 at -= len(pos)
 
-            suffix_order(names, kinds, cap, ranked, scratch, limit)
-            shared[0] = 0
-        for low in range(1, len(turns), 1 << 16):
-            part = slice(low, min(low + (1 << 16), len(turns)))
+            suffix_order(names, kinds, cap, ranked, scratch, limit, deeper)
+            order, shared = order[at:], shared[at:]
+            shared[:1] = 0
+        for low in range(1, len(order), 1 << 16):
+            part = slice(low, min(low + (1 << 16), len(order)))
             two, one = order[part], order[part.start - 1 : part.stop - 1]
-            equal = shared[part]  # names
-            base = turns[np.minimum(one + equal, len(turns) - 1)] - turns[one]
+            base = turns[np.minimum(one + shared[part], len(turns) - 1)] - turns[one]
             shared[part] = _extended(text, turns[one], turns[two], base, cap)
-        for low in range(0, len(turns), 1 << 16):
+        if needs:
+            at = turns[order]
+            # with a suffix that is no turn it shares no more than the symbols equal to its first
+            run = 1 + _extended(text, at, at + 1, np.zeros(len(at), np.int64), cap)
+            most = np.maximum(np.maximum(shared, np.append(shared[1:], 0)), run)
+            # pieces that differ still share a part; it ends before the third one from here
+            most = most + (0 if needs.offsets is None else 3)
+            useful = np.flatnonzero(needs.offset(np.minimum(at + most, len(text))) >= reach[order])
+            if len(useful):
+                starts = np.concatenate(([0], useful[:-1] + 1))
+                shared = np.minimum.reduceat(shared[: useful[-1] + 1], starts)
+            order = order[useful]
+            shared = shared[: len(order)]
+        for low in range(0, len(order), 1 << 16):
             order[low : low + (1 << 16)] = turns[order[low : low + (1 << 16)]]
 
-    falling = scratch.array(len(text), np.int64)
+    falling = scratch.array(len(text), _places(len(text)))
     falling_lcp = scratch.array(len(text) + 1, np.int32)
     held = 0
 

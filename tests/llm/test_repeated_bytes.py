@@ -71,7 +71,7 @@ def test_equal_windows_lie_in_stretches_of_one_key():
     keys = []
     for data in (one, two):
         own = np.zeros(len(data) - 399, np.int64)
-        for start, size, key, _, _, _ in rb.stretches(data, 64):
+        for start, size, key, _, _ in rb.stretches(data, 64):
             for s, n, k in zip(start, size, key):
                 own[s : s + n - 399] = k
         keys.append(own)
@@ -101,7 +101,7 @@ def test_suffixes_in_order_with_queues_on_disk(monkeypatch, limit):
             low = rng.randrange(len(text))
             text += text[low:] + text[low:]
         shared_at_most, found = rng.choice([2, 9, 400]), []
-        with so.Scratch() as scratch:
+        with so.Scratch(0 if limit < 100 else so.MEMORY_BYTES) as scratch:
             got = lambda pos, lcp: found.extend(zip(pos.tolist(), lcp.tolist()))  # noqa: B023, E731
             so.suffix_order(np.array(text, np.int32), kinds, shared_at_most, got, scratch, limit)
         # the order told is from the largest down: what one shares with the one told before
@@ -112,7 +112,33 @@ def test_suffixes_in_order_with_queues_on_disk(monkeypatch, limit):
 def test_files_of_a_sort_go_with_it(tmp_path, monkeypatch):
     monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
     text = np.random.default_rng(1).integers(0, 5, 5000).astype(np.int32)
-    with so.Scratch() as scratch:
+    with so.Scratch(0) as scratch:
         so.suffix_order(text, 5, 400, lambda pos, lcp: None, scratch, 100)
         assert any(tmp_path.iterdir())
     assert not any(tmp_path.iterdir())
+
+
+def test_suffixes_that_share_enough_are_all_told(monkeypatch):
+    def pairs(rows, need):
+        out, before = set(), None
+        for pos, lcp in rows:
+            if lcp >= need:
+                out |= {pos, before}
+            before = pos
+        return out
+
+    rng, told, whole = random.Random(2), 0, 0
+    for _ in range(500):
+        for name, values in (("WIDE", (1, 4, 64)), ("STEP", (2, 5, 4096)), ("NARROW_STEP", (2, 5, 1024)), ("FEW", (1, 3, 16))):
+            monkeypatch.setattr(so, name, rng.choice(values))
+        kinds, need, found = rng.choice([1, 2, 3, 5, 50, 300]), rng.choice([2, 5, 12, 40]), []
+        text = [rng.randrange(kinds) for _ in range(rng.randrange(1, 250))]
+        for _ in range(rng.randrange(4)):
+            low = rng.randrange(len(text))
+            text += text[low : low + rng.randrange(60)] + [rng.randrange(kinds)]
+        with so.Scratch() as scratch:
+            got = lambda pos, lcp: found.extend(zip(pos.tolist(), lcp.tolist()))  # noqa: B023, E731
+            so.suffix_order(np.array(text, np.int32), kinds, need, got, scratch, rng.choice([3, 1 << 20]), so.Needs(need))
+        assert pairs(found, need) == pairs(naive(text, need), need)
+        told, whole = told + len(found), whole + len(text)
+    assert told < 0.8 * whole
