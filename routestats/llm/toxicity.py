@@ -6,27 +6,36 @@ Every term of an example is in the index; a term found in no example adds nothin
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import cached_property
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routestats.llm.arrow import emit, map_rows, rows_of
+from routestats.llm.arrow import map_rows, rows_of
 from routestats.llm.quality import held_out, training_sample
 from routestats.llm.words import mix, seeds
+from routestats.session import materialize
 
-#: Labelled rows of each label used as examples, taken in the order of a hash of the id.
-EXAMPLES = 4000
+#: Labelled rows of each label used as examples, taken in the order of a hash of the id, and the terms that those of a
+#: label may have in all (at least one example is used): this bounds the index.
+EXAMPLES, EXAMPLE_TERMS = 4000, 6_000_000
 #: Letters of a word that make a term of their own, beside the whole word.
 STEM = 4
-#: Neighbours that vote, examples in a block, blocks read before the bounds are used.
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 25, 64, 4
-#: Added to distances in votes; votes for the examples' share of label 1, in those of a neighbour at distance 0.
-NEAREST, PRIOR_VOTES = 0.1, 1.2
+#: Neighbours that vote, examples in a block, texts scored together.
+NEIGHBOURS, BLOCK, BATCH = 32, 256, 64
+#: Terms of more than one in DENSE examples have their lists as matrices of a block, others as lists of places.
+DENSE = 16
+#: Added to distances in votes; power of the contrast that weighs a shared term in a vote; votes for the examples' share
+#: of label 1.
+NEAREST, CONTRAST, PRIOR_VOTES = 0.1, 4, 8.0
+#: Single precision is off by less than this in a cosine: who comes that near is reckoned again in double precision.
+MARGIN = 1e-4
 CUT_SCORE = 0.5
 EVIDENCE = 3
 
@@ -127,26 +136,86 @@ def _weights(idf: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ToxicityIndex:
-    """Examples (ascending places in blocks of BLOCK) with an inverted list and block maxima for each term."""
+    """Examples by place, in blocks of BLOCK, and for each term the list of examples that hold it.
+
+    The lists of rare terms are places and weights; those of common terms are, for each block, lines of a matrix, with
+    the largest weight of every line and block.
+    """
 
     vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray  # the terms' weights
     ids: np.ndarray  # of the examples
     labels: np.ndarray
-    place: np.ndarray  # postings by term, then example
-    weight: np.ndarray
-    first: np.ndarray  # of each term, among the cells (term, block) that hold postings; one more
-    block: np.ndarray  # of each cell
-    begin: np.ndarray  # of each cell, among the postings; one more
-    highest: np.ndarray  # the largest weight of each cell
+    begin: np.ndarray  # of each example's vector, among all; one more
+    term: np.ndarray  # of the vectors, by example
+    count: np.ndarray
     rate: float  # of label 1 in the population
-    share: float  # of label 1 among the examples
+    examples: tuple[int, int]  # of label 0 and 1, those without terms too
     empty_share: float  # of label 1 among examples without terms
 
+    def __getstate__(self) -> dict:
+        """Lists and matrices are made again where they are needed: sent is a third of them."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    @property
+    def share(self) -> float:
+        """Of label 1 among the examples."""
+        return self.examples[1] / max(1, sum(self.examples))
+
+    @cached_property
+    def weight(self) -> np.ndarray:
+        """The vectors' weights, each of length 1."""
+        weights = (1 + np.log(self.count)) * self.idf[self.term]
+        parts = [weights[low:high] for low, high in zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True)]
+        return np.concatenate([np.empty(0), *(p / max(np.sqrt((p**2).sum()), 1e-300) for p in parts)])
+
+    @cached_property
+    def contrast(self) -> np.ndarray:
+        """The terms' weights in votes."""
+        bad = np.repeat(self.labels, np.diff(self.begin))
+        seen = [np.bincount(self.term, x, len(self.vocabulary)) for x in (1 - bad, bad)]
+        return _contrast(seen[1], seen[0], self.examples[1], self.examples[0]) ** CONTRAST
+
+    @cached_property
+    def line(self) -> np.ndarray:
+        """The line of each common term, -1 for rare ones."""
+        often = np.bincount(self.term, minlength=len(self.vocabulary)) * DENSE > len(self.ids)
+        return np.where(often, np.cumsum(often) - 1, -1)
+
+    @cached_property
+    def _place(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begin))
+
+    @cached_property
+    def common(self) -> np.ndarray:
+        """(line, place): weights of the common terms."""
+        out = np.zeros((int(self.line.max(initial=-1)) + 1, len(self.ids)), np.float32)
+        line = self.line[self.term]
+        out[line[line >= 0], self._place[line >= 0]] = self.weight[line >= 0]
+        return out
+
+    @cached_property
+    def highest(self) -> np.ndarray:
+        """(line, block): the largest weight."""
+        return np.maximum.reduceat(self.common, np.arange(0, len(self.ids), BLOCK), axis=1)
+
+    @cached_property
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each rare term's list begins, among all (one more; a common term's is empty), places and weights."""
+        rare = np.flatnonzero(self.line[self.term] < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        first = np.r_[0, np.cumsum(np.bincount(self.term[rare], minlength=len(self.vocabulary)))]
+        return first, self._place[rare], self.weight[rare].astype(np.float32)
+
     @cached_property
     def remembered(self) -> dict[bytes, tuple]:
         return {}
 
+    @cached_property
+    def spots(self) -> np.ndarray:
+        """Of each term its place in a query, while one is compared; -1 otherwise."""
+        return np.full(len(self.vocabulary), -1, np.int32)
+
     def calibrated(self, share: float) -> float:
         """A share found among the examples as it is in the population, where the labels have other frequencies."""
         if not 0 < self.share < 1:
@@ -154,177 +223,218 @@ class ToxicityIndex:
         one = share * self.rate / self.share
         return one / (one + (1 - share) * (1 - self.rate) / (1 - self.share))
 
-    @property
-    def blocks(self) -> int:
-        return -(-len(self.ids) // BLOCK)
-
-    @property
-    def maxima(self) -> np.ndarray:
-        """(term, block): the largest weight, 0 where the cell has no postings. For small vocabularies."""
-        out = np.zeros((len(self.vocabulary), self.blocks))
-        out[np.repeat(np.arange(len(out)), np.diff(self.first)), self.block] = self.highest
+    def _products(self, at: np.ndarray, query: np.ndarray, examples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cosines of these examples, and the same sums with each term weighed by its contrast."""
+        spot, edges = self.spots, list(zip(self.begin[examples].tolist(), self.begin[examples + 1].tolist(), strict=True))
+        spot[at] = np.arange(len(at))
+        term = np.concatenate([self.term[low:high] for low, high in edges])
+        weight = np.concatenate([self.weight[low:high] for low, high in edges])
+        of = np.repeat(np.arange(len(examples)), [high - low for low, high in edges])
+        where = spot.take(term, mode="clip")
+        shared = np.flatnonzero(where >= 0)
+        spot[at] = -1
+        part = query[where[shared]] * weight[shared]
+        return tuple(np.bincount(of[shared], x, len(examples)) for x in (part, part * self.contrast[term[shared]]))
+
+    def candidates(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """For each (terms, weights) the examples that can be among its NEIGHBOURS nearest.
+
+        Rare terms' lists are read first. What a block can still add is bounded by its largest weights of the common
+        terms; it is read by the texts for which the bound reaches their NEIGHBOURS-th cosine so far. No cosine can be
+        less than the part of it that has been read, so nobody is missed.
+        """
+        count, size = len(self.ids), len(queries)
+        first, place, listed = self.lists
+        near = np.zeros((size, count), np.float32)
+        lines = np.zeros((size, len(self.common)), np.float32)
+        for row, (at, query) in enumerate(queries):
+            postings, length = _ranges(first[at], first[at + 1])
+            near[row] = np.bincount(place[postings], listed[postings] * np.repeat(query, length), count)
+            line = self.line[at]
+            lines[row, line[line >= 0]] = query[line >= 0]
+        k = min(NEIGHBOURS, count)
+        floor = np.partition(near, -k, axis=1)[:, -k]
+        reach = lines @ self.highest
+        starts = np.arange(0, count, BLOCK)
+        reach += np.maximum.reduceat(near, starts, axis=1)
+        for block in range(len(starts)):
+            own = slice(block * BLOCK, (block + 1) * BLOCK)
+            asks = np.flatnonzero(reach[:, block] >= floor - MARGIN)
+            near[asks, own] += lines[asks] @ self.common[:, own]
+        floor = np.partition(near, -k, axis=1)[:, -k]
+        return [np.flatnonzero((line >= limit - MARGIN) & (line > 0)) for line, limit in zip(near, floor, strict=True)]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each (terms, weights) the NEIGHBOURS examples of highest cosine above 0, ties by smaller id, their
+        cosines, and what the shared terms weigh in a vote."""
+        if not queries:
+            return []
+        out = []
+        for (at, query), found in zip(queries, self.candidates(queries), strict=True):
+            if len(found):
+                cosine, weight = self._products(at, query, found)
+                cosine = np.round(cosine, 12)
+                best = np.lexsort((self.ids[found], -cosine))
+                best = best[cosine[best] > 0][:NEIGHBOURS]
+                out.append((found[best], cosine[best], weight[best]))
+            else:
+                out.append((found, np.empty(0), np.empty(0)))
         return out
 
-    @property
-    def bounds(self) -> np.ndarray:
-        """(term, block): where the term's postings of the block begin; one column more. For small vocabularies."""
-        cells = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first)) * self.blocks + self.block
-        edges = np.searchsorted(cells, np.arange(len(self.vocabulary) * self.blocks + 1))
-        starts = self.begin[edges]
-        return np.c_[starts[:-1].reshape(len(self.vocabulary), -1), starts[self.blocks :: self.blocks]]
-
-    def _read(self, cells: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """The part of each example's cosine that lies in the cells, whose terms have these weights in the query."""
-        postings, length = _ranges(self.begin[cells], self.begin[cells + 1])
-        return np.bincount(self.place[postings], self.weight[postings] * np.repeat(query, length), len(self.ids))
-
-    def nearest(self, at: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The NEIGHBOURS examples of highest cosine above 0, ties by smaller id, and the cosines.
-
-        Blocks are read in the order of the most that an example in them can reach; when that is less than the
-        cosine of the last neighbour, the rest can't hold a nearer one.
-        """
-        cells, length = _ranges(self.first[at], self.first[at + 1])
-        query, block = np.repeat(query, length), self.block[cells]
-        reach = np.bincount(block, query * self.highest[cells], self.blocks)
-        early = np.zeros(self.blocks, bool)
-        early[np.argsort(-reach, kind="stable")[:FIRST_BLOCKS]] = True
-        now = early[block]
-        cosine = self._read(cells[now], query[now])
-        floor = np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS] if len(cosine) >= NEIGHBOURS else 0
-        now = ~now & (reach >= floor - 1e-9)[block]
-        cosine = np.round(cosine + self._read(cells[now], query[now]), 12)
-        found = np.flatnonzero(cosine > 0)
-        if len(found) > NEIGHBOURS:
-            found = found[cosine[found] >= np.partition(cosine[found], -NEIGHBOURS)[-NEIGHBOURS]]
-        cosine = cosine[found]
-        best = np.lexsort((self.ids[found], -cosine))[:NEIGHBOURS]
-        return found[best], cosine[best]
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """The share of label 1 in the votes, the nearest examples and their cosines."""
-        at, counts = _known(text, self.vocabulary)
-        if not len(at) or not len(self.ids):
-            return self.calibrated(self.empty_share), [], []
-        key = blake2b(at.tobytes() + counts.tobytes(), digest_size=16).digest()
-        if key not in self.remembered:
-            if len(self.remembered) > 20_000:
-                self.remembered.clear()
-            found, cosine = self.nearest(at, _weights(self.idf, at, counts))
-            vote = 1 / (1 - np.minimum(cosine, 1) + NEAREST)
-            prior = PRIOR_VOTES / NEAREST
-            share = ((vote * self.labels[found]).sum() + prior * self.share) / (vote.sum() + prior)
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int], list[float]]]:
+        """Of texts, given as term indexes and counts: the share of label 1 in the votes, the nearest examples and
+        their cosines."""
+        keys = [blake2b(at.tobytes() + counts.tobytes(), digest_size=16).digest() for at, counts in texts]
+        known = {key: self.remembered[key] for key in keys if key in self.remembered}
+        new = {key: (at, _weights(self.idf, at, n)) for key, (at, n) in zip(keys, texts, strict=True) if key not in known and len(at)}
+        if not len(self.ids):
+            new = {}
+        for key, (found, cosine, weight) in zip(new, self.nearest(list(new.values())), strict=True):
+            vote = weight / (1 - np.minimum(cosine, 1) + NEAREST)
+            share = ((vote * self.labels[found]).sum() + PRIOR_VOTES * self.share) / (vote.sum() + PRIOR_VOTES)
             near = slice(0, EVIDENCE)
-            self.remembered[key] = float(self.calibrated(share)), self.ids[found[near]].tolist(), cosine[near].tolist()
-        return self.remembered[key]
+            known[key] = float(self.calibrated(share)), self.ids[found[near]].tolist(), cosine[near].tolist()
+        if len(self.remembered) > 20_000:
+            self.remembered.clear()
+        self.remembered.update(known)
+        return [known.get(key, (self.calibrated(self.empty_share), [], [])) for key in keys]
 
 
 def _contrast(in_bad: np.ndarray, in_good: np.ndarray, bad: int, good: int) -> np.ndarray:
-    """How far a term's frequencies under the labels lie apart: the logarithm of their ratio, half an example added.
-
-    It takes the place of a choice of terms: words equally common under both labels count little, none is dropped.
-    """
+    """How far a term's frequencies under the labels lie apart: the logarithm of their ratio, half an example added."""
     return np.abs(np.log((in_bad + 0.5) / (bad + 1.0)) - np.log((in_good + 0.5) / (good + 1.0)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic") -> ToxicityIndex:
-    """The index over at most EXAMPLES labelled rows of each label that ``keep`` admits, with all of their terms.
+_VECTORS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("size", pa.int64()), ("terms", pa.binary()), ("number", pa.binary())])
+_VECTORS_DDL = "doc_id long, label int, size long, terms binary, number binary"
+_KNOWN = pa.schema([("doc_id", pa.int64()), ("known", pa.binary())])
 
-    A term weighs its inverse document frequency, counted over all of ``docs``, times the contrast of its frequencies
-    under the labels. The driver sees the examples' vectors and one count for each of their terms.
-    """
-    sample, share_good = training_sample(labels, label, keep, EXAMPLES)
-    rate = 1 - share_good if sample.take(1) else 0.0
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def _packed(at: np.ndarray, counts: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """Known terms and counts: steps between the terms, byte by byte of equal weight, then the counts alike."""
+    numbers = np.concatenate([np.diff(at, prepend=0), counts]).astype("<i4")
+    return pack.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(packed: bytes, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(unpack.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+    half = len(numbers) // 2
+    return np.cumsum(numbers[:half]), numbers[half:]
+
+
+def examples_of(docs: DataFrame, sample: DataFrame) -> list[tuple]:
+    """(doc_id, label, term hashes, counts) of the sampled documents, in the order of a hash of the id, as many of each
+    label as have EXAMPLE_TERMS terms in all. The driver sees this bounded part only."""
     picked = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
     def vectors(rows: Iterable[tuple]) -> Iterator[tuple]:
         for doc_id, value, text in rows:
             values, counts = terms(text)
-            yield doc_id, value, values.tobytes(), counts.astype(np.int32).tobytes()
-
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.binary()), ("number", pa.binary())])
-    held = map_rows(picked, vectors, schema, "doc_id long, label int, terms binary, number binary", lambda r: len(r[2]) + len(r[3]))
-    held = held.dropDuplicates(["doc_id"]).toArrow()
-    ids, values = held["doc_id"].to_pylist(), held["label"].to_pylist()
-    hashes = [np.frombuffer(x.as_buffer(), np.int64) for x in held["terms"]]
-    numbers = [np.frombuffer(x.as_buffer(), np.int32) for x in held["number"]]
-    vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.int64)
-    at = [np.searchsorted(vocabulary, x).astype(np.int32) for x in hashes]
+            yield doc_id, value, len(values), values.tobytes(), counts.astype(np.int32).tobytes()
+
+    held = map_rows(picked, vectors, _VECTORS, _VECTORS_DDL, lambda r: len(r[3]) + len(r[4]))
+    held = materialize(held.dropDuplicates(["doc_id"]), "example-terms")
+    chosen, total = [], {}
+    for row in held.select("doc_id", "label", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        before = total.get(row.label, 0)
+        total[row.label] = before + row.size
+        if not before or total[row.label] <= EXAMPLE_TERMS:
+            chosen.append((row.doc_id,))
+    chosen = held.sparkSession.createDataFrame(chosen, "doc_id long")
+    table = held.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "terms", "number").toArrow()
+    return [
+        (doc_id, value, np.frombuffer(one.as_buffer(), np.int64), np.frombuffer(two.as_buffer(), np.int32))
+        for doc_id, value, one, two in zip(*(table[c].to_pylist() for c in ("doc_id", "label")), table["terms"], table["number"], strict=True)
+    ]
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic") -> tuple[ToxicityIndex, DataFrame]:
+    """The index over at most EXAMPLES labelled rows of each label that ``keep`` admits, and (doc_id, known): the known
+    terms of all ``docs``, packed and stored.
+
+    A term weighs its inverse document frequency, counted over all of ``docs``. The driver sees the examples' vectors
+    and one count for each of their terms.
+    """
+    sample, share_good = training_sample(labels, label, keep, EXAMPLES)
+    rate = 1 - share_good if sample.take(1) else 0.0
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    examples = examples_of(docs, sample)
+    vocabulary = np.unique(np.concatenate([e[2] for e in examples])) if examples else np.empty(0, np.int64)
+    examples = [(doc_id, value, np.searchsorted(vocabulary, x), number) for doc_id, value, x, number in examples]
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def found(rows: Iterable[tuple]) -> Iterator[tuple]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for doc_id, text in rows:
+            yield doc_id, _packed(*_known(text, known.value), pack)
+
+    stored = map_rows(docs, found, _KNOWN, "doc_id long, known binary", lambda r: len(r[1]))
+    stored = materialize(stored, "known-terms")
+    size = len(vocabulary)
+
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = known.value
-        total = np.zeros(len(vocabulary) + 1, np.int64)
-        for _, text in rows_of(batches):
-            total[_known(text, vocabulary)[0]] += 1
+        total = np.zeros(size + 1, np.int64)
+        unpack = zstandard.ZstdDecompressor()
+        for (held,) in rows_of(batches):
+            total[_unpacked(held, unpack)[0]] += 1
             total[-1] += 1
         seen = np.flatnonzero(total)
         for low in range(0, len(seen), 1 << 16):
             part = seen[low : low + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["term", "n"])
 
-    total = np.zeros(len(vocabulary) + 1, np.int64)
-    counted = docs.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(size + 1, np.int64)
+    counted = stored.select("known").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     total[counted["term"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + total[-1]) / (1 + total[:-1]))
-    seen = [np.zeros(len(vocabulary), np.int64) for _ in range(2)]
-    for value, x in zip(values, at, strict=True):
-        seen[value][x] += 1
-    weights = idf * _contrast(seen[1], seen[0], sum(values), len(values) - sum(values))
-    return build_index(vocabulary, weights, list(zip(ids, values, at, numbers, strict=True)), rate)
+    return build_index(vocabulary, idf, examples, rate), stored
 
 
 def build_index(vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple], rate: float) -> ToxicityIndex:
     """The index over examples (id, label, term indexes, counts); those without terms only give the empty rate."""
-    share = sum(e[1] for e in examples) / max(1, len(examples))
+    number = (sum(1 - e[1] for e in examples), sum(e[1] for e in examples))
     bare = [e[1] for e in examples if not len(e[2])]
-    empty = sum(bare) / len(bare) if bare else share
+    empty = sum(bare) / len(bare) if bare else number[1] / max(1, sum(number))
     rows = []
-    for doc_id, value, at, number in examples:
+    for doc_id, value, at, counts in examples:
         if len(at):
-            at = np.asarray(at)
-            vector = _weights(idf, at, np.asarray(number))
-            rows.append((int(at[vector.argmax()]), at.tobytes(), doc_id, value, at, vector))
+            at, counts = np.asarray(at, np.int32), np.asarray(counts, np.int32)
+            rows.append((int(at[_weights(idf, at, counts).argmax()]), at.tobytes(), doc_id, value, at, counts))
     rows.sort(key=lambda r: r[:3])  # those with the same heaviest term share blocks
-    term = np.concatenate([r[4] for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
-    place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[4]) for r in rows])
-    weight = np.concatenate([r[5] for r in rows]) if rows else np.empty(0)
+    begin = np.cumsum([0, *(len(r[4]) for r in rows)])
+    term, counts = (np.concatenate([np.empty(0, np.int32), *(r[i] for r in rows)]) for i in (4, 5))
     ids, labels = (np.array([r[i] for r in rows], kind) for i, kind in ((2, np.int64), (3, np.float64)))
-    del rows
-    order = np.argsort(term, kind="stable")  # places ascend already
-    term, place, weight = term[order], place[order], weight[order]
-    cell = term * max(1, -(-len(ids) // BLOCK)) + place // BLOCK
-    begin = np.flatnonzero(np.diff(cell, prepend=-1))
-    highest = np.maximum.reduceat(weight, begin) if len(begin) else np.empty(0)
-    first = np.searchsorted(term[begin], np.arange(len(vocabulary) + 1))
-    block = (place[begin] // BLOCK).astype(np.int32)
-    begin = np.r_[begin, len(weight)]
-    return ToxicityIndex(vocabulary, idf, ids, labels, place, weight, first, block, begin, highest, rate, share, empty)
+    return ToxicityIndex(vocabulary, idf, ids, labels, begin, term, counts, rate, number, empty)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, cosines) for each row of ``docs`` (doc_id, text; others ignored).
 
-    The score is the share of label 1 among the nearest labelled examples, which vote by the inverse of their
-    distance, set right for the labels' frequency among all training rows; ``evidence`` has the nearest ids. Rows
-    whose crc32(doc_id) mod 5 is 0 are held out of all fitting; ids, languages, sources and labels are not terms.
+    Nearness is the TF-IDF cosine over all terms. The score is the share of label 1 in the votes of the nearest labelled
+    examples, set right for the labels' frequency among all training rows; a vote is the inverse of the distance times
+    the shared terms' products, each weighed by how differently the labels use the term. ``evidence`` has the nearest
+    ids. Rows whose crc32(doc_id) mod 5 is 0 are held out of all fitting; ids, languages, sources and labels are not
+    terms.
 
-    Texts without a known term, null and empty ones too, get the share of label 1 among such examples. Equal texts
-    have equal scores; ties of examples go to the smaller id. Labels other than 0 and 1 are ignored; without labels
-    every score is 0. An empty table gives an empty result.
+    Texts without a known term, null and empty ones too, get the share of label 1 among such examples. Very long texts
+    are read in pieces; as examples they count by their terms. Equal texts have equal scores; ties of examples go to
+    the smaller id. Labels other than 0 and 1 are ignored; without labels every score is 0. An empty table gives an
+    empty result.
     """
-    index = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, ~held_out(F.col("doc_id"), 5, 0)))
+    fitted, stored = fit_toxicity(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
+    index = docs.sparkSession.sparkContext.broadcast(fitted)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())),
     ])
 
-    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = index.value
-        return emit(schema, ((doc_id, *model.score(text)) for doc_id, text in rows_of(batches)))
+    def scored(rows: Iterable[tuple]) -> Iterator[tuple]:
+        model, rows, unpack = index.value, iter(rows), zstandard.ZstdDecompressor()
+        while part := list(islice(rows, BATCH)):
+            texts = [_unpacked(held, unpack) for _, held in part]
+            for (doc_id, _), found in zip(part, model.score(texts), strict=True):
+                yield doc_id, *found
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(scored, "doc_id long, score double, evidence array<long>, cosines array<double>")
+    rows = map_rows(stored, scored, schema, "doc_id long, score double, evidence array<long>, cosines array<double>")
     return rows.select(
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
         (F.col("score") >= CUT_SCORE).cast("int").alias("predicted"), "evidence", "cosines",

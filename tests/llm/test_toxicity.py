@@ -1,6 +1,10 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from routestats.llm import toxicity as tx
@@ -29,34 +33,105 @@ def random_index(random, examples=500, terms=40):
     return tx.build_index(np.arange(terms), idf, rows, 0.3), rows, idf
 
 
-def test_nearest_against_all_cosines():
-    random = np.random.default_rng(6)
-    index, rows, idf = random_index(random)
-    rows = [r for r in rows if r[2]]
+def full_vectors(rows, idf):
     full = np.zeros((len(rows), len(idf)))
     for i, (_, _, at, number) in enumerate(rows):
         full[i, at] = (1 + np.log(number)) * idf[at]
-    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    return full / np.linalg.norm(full, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("block", "dense"), [(tx.BLOCK, tx.DENSE), (16, 1), (16, 10**6), (7, 8)])
+def test_nearest_against_all_cosines(monkeypatch, block, dense):
+    monkeypatch.setattr(tx, "BLOCK", block)
+    monkeypatch.setattr(tx, "DENSE", dense)
+    random = np.random.default_rng(6)
+    index, rows, idf = random_index(random)
+    rows = [r for r in rows if r[2]]
+    full = full_vectors(rows, idf)
+    queries = []
     for _ in range(60):
         at = np.sort(random.choice(len(idf), random.integers(1, 5), replace=False))
-        query = tx._weights(idf, at, random.integers(1, 4, len(at)))
+        queries.append((at, tx._weights(idf, at, random.integers(1, 4, len(at)))))
+    for (at, query), (found, near, weight) in zip(queries, index.nearest(queries)):
         cosine = np.round(full[:, at] @ query, 12)
         order = [i for i in np.lexsort(([r[0] for r in rows], -cosine)) if cosine[i] > 0][: tx.NEIGHBOURS]
-        found, near = index.nearest(at, query)
         assert index.ids[found].tolist() == [rows[i][0] for i in order]
         assert np.allclose(near, cosine[order])
+        assert np.allclose(weight, full[order][:, at] @ (query * index.contrast[at]))
 
 
 def test_bounds_hold():
     index, _, _ = random_index(np.random.default_rng(7))
-    blocks = index.maxima.shape[1]
-    for term in range(len(index.idf)):
-        for block in range(blocks):
-            low, high = index.bounds[term, block : block + 2]
-            part = index.weight[low:high]
-            assert (index.place[low:high] // tx.BLOCK == block).all()
-            assert index.maxima[term, block] == (part.max() if len(part) else 0)
-    assert index.bounds[:, -1].max() == len(index.weight)
+    for line, highest in zip(index.common, index.highest):
+        assert [line[low : low + tx.BLOCK].max() for low in range(0, len(line), tx.BLOCK)] == highest.tolist()
+    listed = np.diff(index.lists[0])
+    held = np.bincount(index.term, minlength=len(index.idf))
+    assert (np.where(index.line >= 0, (index.common > 0).sum(axis=1)[index.line], listed) == held).all()
+
+
+def plain_terms(text):
+    """Words of letters, small, and the first four letters of longer ones."""
+    out = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        out[word] += 1
+        if len(word) > tx.STEM:
+            out[word[: tx.STEM], "stem"] += 1
+    return out
+
+
+def test_whole_score_against_plain_loops(spark, sf):
+    folder = sf
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("text is null or not text rlike '[^\\\\x00-\\\\x7f]'")
+    texts = {r.doc_id: plain_terms(r.text) for r in docs.collect()}
+    label = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1)}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    examples = {i: v for i, v in label.items() if i in texts and not held(i)}
+    often = Counter(t for c in texts.values() for t in c)
+    idf = {t: math.log((1 + len(texts)) / (1 + n)) for t, n in often.items()}
+    vocabulary = {t for i in examples for t in texts[i]}
+
+    def vector(counts):
+        weights = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items() if t in vocabulary}
+        length = math.sqrt(sum(w * w for w in weights.values())) or 1
+        return {t: w / length for t, w in weights.items()}
+
+    vectors = {i: vector(texts[i]) for i in examples}
+    number = Counter(examples.values())
+    seen = {v: Counter(t for i in examples if examples[i] == v for t in texts[i]) for v in (0, 1)}
+    frequency = lambda t, v: math.log((seen[v][t] + 0.5) / (number[v] + 1))
+    contrast = {t: abs(frequency(t, 1) - frequency(t, 0)) ** tx.CONTRAST for t in vocabulary}
+    share = number[1] / len(examples)
+    known = [v for i, v in label.items() if not held(i)]
+    rate = sum(known) / len(known)
+
+    def calibrated(s):
+        one = s * rate / share
+        return one / (one + (1 - s) * (1 - rate) / (1 - share))
+
+    rows = {r.doc_id: r for r in tx.score_toxicity(docs, labels).collect()}
+    assert rows.keys() == texts.keys() and 0 < share < 1
+    for i, counts in texts.items():
+        query = vector(counts)
+        cosine = {e: sum(w * query.get(t, 0) for t, w in v.items()) for e, v in vectors.items()}
+        near = sorted((e for e in cosine if round(cosine[e], 12) > 0), key=lambda e: (-round(cosine[e], 12), e))[: tx.NEIGHBOURS]
+        if not query:
+            continue
+        votes = {
+            e: sum(w * query.get(t, 0) * contrast[t] for t, w in vectors[e].items()) / (1 - min(cosine[e], 1) + tx.NEAREST) for e in near
+        }
+        one = sum(v for e, v in votes.items() if examples[e]) + tx.PRIOR_VOTES * share
+        want = calibrated(one / (sum(votes.values()) + tx.PRIOR_VOTES))
+        assert abs(rows[i].score - want) < 1e-9, i
+        assert np.allclose(rows[i].cosines, [cosine[e] for e in near[: tx.EVIDENCE]])
+
+
+def test_examples_are_bounded_by_their_terms(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(tx, "EXAMPLE_TERMS", 40)
+    texts = [" ".join("abcdefghij"[i % 10] * (j + 1) for j in range(4)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], LABELS)
+    index, _ = tx.fit_toxicity(docs_of(texts), labels, F.lit(True))
+    assert np.bincount(index.labels.astype(int), np.diff(index.begin)).tolist() == [40, 40]
 
 
 def test_terms():
@@ -107,7 +182,7 @@ def test_toxic_rows_are_found_at_each_size(spark, docs_of):
 def test_all_terms_of_the_examples_are_kept(spark, docs_of):
     texts = [f"word{'abcdefgh'[i % 8]} only{'abcdefghijklmnopqrstuvwxyz'[i % 26]} rest" for i in range(50)]
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(50)], LABELS)
-    index = tx.fit_toxicity(docs_of(texts), labels, F.lit(True))
+    index, _ = tx.fit_toxicity(docs_of(texts), labels, F.lit(True))
     assert index.vocabulary.tolist() == tx.terms(" ".join(texts))[0].tolist()
     assert len(index.weight) == sum(len(tx.terms(t)[0]) for t in texts)
 
