@@ -20,9 +20,11 @@ from routestats.llm.arrow import map_rows
 DATE = "2024-01-01T00:00:00Z"
 
 _DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style|noscript|template|svg|title|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)",
+    r"<!--.*?(?P<end>-->|\Z)|<!\[CDATA\[|\]\]>"
+    r"|<(?P<name>script|style|noscript|template|svg|title|textarea|iframe)\b[^>]*>.*?(?P<stop></(?P=name)\s*>|\Z)",
     re.S | re.I,
 )
+_OPEN = re.compile(r"<!--.*|<!\[CDATA\[", re.S | re.I)
 _BREAKS = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr"
     r"|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I,
@@ -30,17 +32,58 @@ _BREAKS = re.compile(
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?P<stop></title\s*>|\Z)", re.S | re.I)
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_A, _HREF = re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def _closed(page: str) -> tuple[str, str]:
+    """The page up to its last ``>``, and the rest, in which no tag can end: so no pattern looks for one in vain from
+    every ``<`` on."""
+    at = page.rfind(">") + 1
+    return page[:at], page[at:]
+
+
+def _replaced(pattern: re.Pattern, by: str, text: str) -> str:
+    head, tail = _closed(text)
+    return pattern.sub(by, head) + tail
+
+
+def _without_dropped(page: str) -> str:
+    """The page without comments and without elements whose content is no text; open ones go to its end."""
+    (head, tail), is_open = _closed(page), False
+
+    def space(found: re.Match) -> str:
+        nonlocal is_open
+        is_open |= found["end"] == "" or found["stop"] == ""
+        return " "
+
+    head = _DROPPED.sub(space, head)
+    return head if is_open else head + _OPEN.sub(" ", tail)
 
 
 def plain_text(page: str) -> str:
     """The visible text of an HTML page: a line for each block, spaces collapsed, entities resolved."""
-    text = _TAG.sub("", _BREAKS.sub("\n", _DROPPED.sub(" ", page)))
+    text = _replaced(_TAG, "", _replaced(_BREAKS, "\n", _without_dropped(page)))
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text).replace("\r", "\n"))).strip(" \n")
 
 
+def title_of(page: str) -> str | None:
+    """What the first title element holds; an open one goes to the end of the page."""
+    head, tail = _closed(page)
+    found = _TITLE.search(head)
+    return found and found[1] + (tail if found["stop"] == "" else "")
+
+
+def attributes(page: str, element: re.Pattern, attribute: re.Pattern) -> Iterator[str]:
+    """The attribute's value in each tag of the element that has it; every tag is looked through once."""
+    for tag in _TAG.finditer(_closed(page)[0]):
+        begin = element.search(tag[0])
+        found = begin and attribute.search(tag[0], begin.end())
+        if found:
+            yield next(g for g in found.groups() if g is not None)
+
+
 def sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -88,14 +131,14 @@ def derive(
     digest = payload_digest or sha1(payload)
     text = plain_text(page).encode("utf-8", "surrogatepass")
     names = {kind: record_id(kind, record, digest) for kind in ("metadata", "conversion")}
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    title, lang = title_of(page), next(attributes(page, _HTML, _LANG), None)
     fields: list[tuple[str, str | None]] = [
         ("http-status", status), *[(f"source-header-{n.lower()}", v) for n, v in source_fields(source_headers)],
         ("payload-digest", digest), ("payload-length", str(len(payload))), ("text-digest", sha1(text)),
-        ("title", html.unescape(title[1]) if title else None), ("languages-declared", lang[1].lower() if lang else None),
+        ("title", html.unescape(title) if title is not None else None), ("languages-declared", lang.lower() if lang else None),
     ]
-    for link in _LINK.finditer(page):
-        target = html.unescape(next(g for g in link.groups() if g is not None)).strip()
+    for link in attributes(page, _A, _HREF):
+        target = html.unescape(link).strip()
         try:
             fields.append(("outlink", f"{urljoin(uri or '', target)} L a/@href"))
         except ValueError:
@@ -134,7 +177,8 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     ``responses`` has page_id, record_id, target_uri, date, status, source_headers (lines), payload (binary) and
     payload_digest; other columns are ignored. A null payload is empty, null headers are none, a null date is DATE, a
     null id is derived from the other values, a null digest is computed, a null target is left out. Rows that are
-    alike give records that are alike. Each page is handled by itself, so nothing is shuffled; an empty table gives
+    alike give records that are alike. The time for a page grows with its length, whatever it holds: tags that never
+    end are text. Each page is handled by itself, so nothing is shuffled; an empty table gives
     an empty result.
     """
 

@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import time
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pytest
 from pyspark.sql import functions as F
 
 from routestats.llm import derivatives as dv
@@ -20,6 +23,68 @@ def test_plain_text():
     assert len(dv.plain_text("<p>x" * 200_000)) == 399_999
 
 
+@pytest.mark.parametrize("part", ["<a", "<a ", "<title ", "<script ", "<html ", "<!--", "<!-- -->", "</", "<p", "<a href", "<svg><", "]]>", "<style>"])
+@pytest.mark.parametrize("end", ["", ">", "<!-- -->", "</title >"])
+def test_time_grows_with_the_page_only(part, end):
+    page = part * (1_000_000 // len(part)) + end
+    started = time.process_time()
+    dv.plain_text(page), dv.title_of(page)
+    list(dv.attributes(page, dv._A, dv._HREF)), list(dv.attributes(page, dv._HTML, dv._LANG))
+    assert time.process_time() - started < 4
+
+
+def test_open_elements_and_tags():
+    assert dv.title_of("<title>a <b") == "a <b" and dv.title_of("<TITLE x>a</title ><title>b</title>") == "a" and dv.title_of("<title") is None
+    assert dv.plain_text("one <b two") == "one <b two" and dv.plain_text("a<p>b<script>c</p> d") == "a\nb"
+    links = list(dv.attributes("<a x href=1><A HREF='2'><a name=q><b href=4><a\nhref=\"5\" href=6>", dv._A, dv._HREF))
+    assert links == ["1", "2", "5"]
+
+
+def test_whole_records_against_a_plain_version(spark, sf):
+    """Titles, languages, links and digests of all pages, read by a parser."""
+
+    class Page(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.title, self.lang, self.links, self.inside = None, None, [], False
+
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(attrs)
+            if tag == "html":
+                self.lang = attrs.get("lang")
+            if tag == "a" and attrs.get("href") is not None:
+                self.links.append(attrs["href"])
+            if tag == "title" and self.title is None:
+                self.title, self.inside = "", True
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "title"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.title += data
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = {(r.page_id, r.record_type): r for r in dv.build_derivatives(dv.page_responses(pages)).collect()}
+    for page in pages.collect():
+        parser = Page()
+        parser.feed(page.html or "")
+        parser.close()
+        data = (page.html or "").encode()
+        digest = "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+        meta = bytes(rows[page.page_id, "metadata"].block).decode()
+        fields = [line.split(": ", 1) for line in meta.strip().split("\r\n")]
+        told = dict(fields)
+        assert told["payload-digest"] == digest and told["payload-length"] == str(len(data)) and told["http-status"] == "HTTP/1.1 200 OK"
+        assert told["source-header-content-type"] == "text/html; charset=utf-8"
+        assert told.get("title", "").strip() == " ".join((parser.title or "").split())
+        assert told.get("languages-declared") == (parser.lang.lower() if parser.lang else None)
+        links = [f"{urljoin(page.url or '', link.strip())} L a/@href" for link in parser.links]
+        assert [v for n, v in fields if n == "outlink"] == [" ".join(v.split()) for v in links]
+        text = bytes(rows[page.page_id, "conversion"].block)
+        assert told["text-digest"] == rows[page.page_id, "conversion"].block_digest == "sha1:" + base64.b32encode(hashlib.sha1(text).digest()).decode()
+
+
 def test_text_agrees_with_a_parser(spark, sf):
     class Text(HTMLParser):
         def __init__(self):
