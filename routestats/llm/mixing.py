@@ -10,7 +10,7 @@ from routestats.operators.scale import join_sized
 #: Target weight of a source: its characters to this power; 1 keeps the corpus as it is, 0 makes sources equal.
 TEMPERATURE = 0.5
 SEED = 17
-#: Terms of the inverted distribution; a mean above MAX_MEAN is given as whole copies plus a Poisson remainder.
+#: Terms of one inverted distribution, and its largest mean; a larger mean is the sum of several equal ones.
 TERMS, MAX_MEAN = 40, 8.0
 
 _BITS = 52
@@ -38,6 +38,17 @@ def poisson(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda acc: acc["k"])
 
 
+def poisson_count(mean: Column, *parts: Column) -> Column:
+    """A Poisson number of any mean, drawn by the hash of the parts: independent Poissons of equal means up to MAX_MEAN
+    have a sum that is one of their means' sum."""
+    draws = F.greatest(F.ceil(mean / MAX_MEAN), F.lit(1)).cast("int")
+
+    def drawn(number: Column) -> Column:
+        return poisson(uniform(*parts, number), mean / draws)
+
+    return F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda total, number: total + drawn(number))
+
+
 def repetitions(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None) -> DataFrame:
     """(source, mean): how often a document of each source is to appear on average.
 
@@ -62,8 +73,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, budget: float
     """``docs`` (doc_id, source, text and any other columns) with each row repeated, in a random order.
 
     A row appears Poisson(mean of its source) times: a hash of the seed, the id and the source is the uniform number
-    whose quantile is taken, so the same row always gets the same count; rows alike in both get the same. Beyond a
-    mean of 8, the whole part of the excess is given to every row. A hash of seed, id and copy deals every row to a
+    whose quantile is taken, so the same row always gets the same count; rows alike in both get the same. A mean above
+    8 is dealt to several numbers, hashed with their place, whose quantiles are added up. A hash of seed, id and copy deals every row to a
     partition and orders the partition, so the rows of a source, and the copies of a row, lie anywhere in the result.
 
     Null texts count no characters; a null id or source takes part like any other value. Source weights of zero
@@ -76,8 +87,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, budget: float
     # The whole row is one column, so that its names can't clash with those used here.
     doc = F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).alias("doc")
     rows = join_sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(docs["source"]), doc), means, ["key"])
-    extra = F.greatest(F.floor(F.col("mean") - MAX_MEAN + 1), F.lit(0))
-    count = extra + poisson(uniform(F.lit(seed), F.col("doc"), F.col("key")), F.col("mean") - extra)
-    copies = rows.select("row", "doc", F.explode(F.sequence(F.lit(0), count.cast("int"))).alias("copy")).where("copy > 0")
+    count = poisson_count(F.col("mean"), F.lit(seed), F.col("doc"), F.col("key"))
+    copies = rows.select("row", "doc", F.explode(F.sequence(F.lit(0), count)).alias("copy")).where("copy > 0")
     order = F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), "doc", F.col("copy").cast("string")).cast("binary"))
     return copies.select("row", order.alias("at")).repartition("at").sortWithinPartitions("at").select("row.*")

@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from routestats.llm import mixing as mx
@@ -9,16 +10,19 @@ from routestats.llm import mixing as mx
 
 def drawn(seed, doc_id, source, mean):
     key = "n" if source is None else f"s{source}"
-    u = int(hashlib.md5(f"{seed}|{'null' if doc_id is None else doc_id}|{key}".encode()).hexdigest()[:13], 16) / 2**52
-    extra = max(0, math.floor(mean - mx.MAX_MEAN + 1))
-    mean -= extra
-    below = term = math.exp(-mean)
-    k = 0
-    while u >= below and k < mx.TERMS:
-        k += 1
-        term *= mean / k
-        below += term
-    return extra + k
+    draws = max(1, math.ceil(mean / mx.MAX_MEAN))
+    total = 0
+    for number in range(1, draws + 1):
+        text = f"{seed}|{'null' if doc_id is None else doc_id}|{key}|{number}"
+        u = int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+        below = term = math.exp(-mean / draws)
+        k = 0
+        while u >= below and k < mx.TERMS:
+            k += 1
+            term *= mean / draws / k
+            below += term
+        total += k
+    return total
 
 
 def frame(spark):
@@ -61,6 +65,14 @@ def test_poisson_quantiles(spark):
         assert below <= u + 1e-12 and u < below + math.exp(-mean) * mean**k / math.factorial(k) + 1e-12
 
 
+@pytest.mark.parametrize("mean", [3.0, 8.0, 8.5, 60.0])
+def test_counts_have_the_variance_of_their_mean(spark, mean):
+    rows = spark.range(6000).select(mx.poisson_count(F.lit(mean), F.lit(1), F.col("id")).alias("n"))
+    of = rows.agg(F.avg("n").alias("mean"), F.var_samp("n").alias("variance")).first()
+    assert abs(of["mean"] / mean - 1) < 5 / math.sqrt(6000 * mean)
+    assert abs(of["variance"] / mean - 1) < 0.1
+
+
 def test_order_is_mixed_and_repeats(spark):
     df = frame(spark)
     one, two = ([r.doc_id for r in mx.mix_sources(df).collect()] for _ in range(2))
