@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 #: Rounds of the Feistel network.
 ROUNDS = 8
-KEY = "pseudonyms-1"
 
 _EDGE, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 #: Candidates, in the order in which they are tried at a place; each is validated after it is found.
 PATTERNS = {
     "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z][0-9A-Za-z._%+-]{0,63}+@[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62}){1,8}",
     "card": _EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + _END,
-    "phone": r"(?<![0-9A-Za-z_+])\+1[ .-]?(?:\([02-9][0-9]{2}\)|[02-9][0-9]{2})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END,
+    "phone": r"(?<![0-9A-Za-z_+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "address": r"(?<![0-9A-Za-z_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_]|\.[0-9])",
     "date": _EDGE + r"(?:(?:19|20)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})" + _END,
@@ -126,13 +125,13 @@ def _card(value: Column, key: str) -> Column:
 
 def _phone(value: Column, key: str) -> Column:
     """The country code stays. Area and exchange from 200 keep a first digit from 2 to 9; of other numbers, those with
-    such an area keep it and an exchange below 200, and those with an area below 100 keep its 0."""
+    such an area keep it and an exchange below 200, and those with an area below 200 one below 200."""
 
     def changed(digits: Column) -> Column:
         area, exchange = F.element_at(digits, 1) >= 2, F.element_at(digits, 4) >= 2
         low = F.when(~area, _longs(*[0] * 10)).when(exchange, _longs(2, 0, 0, 2, *[0] * 6)).otherwise(_longs(2, *[0] * 9))
         sizes = (
-            F.when(~area, _longs(1, *[10] * 9)).when(exchange, _longs(8, 10, 10, 8, *[10] * 6))
+            F.when(~area, _longs(2, *[10] * 9)).when(exchange, _longs(8, 10, 10, 8, *[10] * 6))
             .otherwise(_longs(8, 10, 10, 2, *[10] * 6))
         )
         moved = permuted(F.zip_with(digits, low, lambda d, b: d - b), sizes, f"{key}|phone")
@@ -158,17 +157,17 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _address(value: Column, key: str) -> Column:
-    """Internet addresses with a first part from 1 and all parts up to 255; others stay.
+    """Internet addresses with all parts up to 255; others stay.
 
     First parts up to 223 and from 224 are permuted among themselves.
     """
 
     def changed(parts: Column) -> Column:
         first = F.element_at(parts, 1)
-        valid = (first >= 1) & F.forall(parts, lambda p: p <= 255)
-        low = F.when(first < 224, 1).otherwise(224).cast("long")
+        valid = F.forall(parts, lambda p: p <= 255)
+        low = F.when(first < 224, 0).otherwise(224).cast("long")
         symbols = F.transform(parts, lambda p, i: F.when(i == 0, p - low).otherwise(p))
-        sizes = F.when(first < 224, _longs(223, 256, 256, 256)).otherwise(_longs(32, 256, 256, 256))
+        sizes = F.when(first < 224, _longs(224, 256, 256, 256)).otherwise(_longs(32, 256, 256, 256))
         new = permuted(symbols, sizes, f"{key}|address")
         text = F.transform(new, lambda p, i: F.when(i == 0, p + low).otherwise(p).cast("string"))
         return F.when(valid, F.array_join(text, ".")).otherwise(value)
@@ -220,13 +219,13 @@ def _email(value: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "address": _address, "date": _date}
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one candidate, or the candidate itself if it is not valid."""
     kinds = [(F.when(_whole(value, kind), make(value, key))) for kind, make in _MAKERS.items()]
     return F.coalesce(*kinds, value)
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """``text`` with every valid number, date and address replaced; null stays null."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     between = F.split(text, ANY, -1)
@@ -237,15 +236,15 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(HINT), F.when(F.size(found) > 0, joined).otherwise(text)).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with the personal values of ``text`` pseudonymised; all other columns as they are.
 
     Card numbers (Luhn), phone numbers (+1), social security numbers, internet addresses, dates and the local parts of
     e-mail addresses are permuted by a keyed Feistel network within their format: equal values have equal pseudonyms
-    in all documents, different values of a kind different ones. Whoever has the key can undo it.
+    in all documents, different values of a kind different ones. Whoever has the key can undo it, so it is asked for.
 
     A null text stays null, an empty one empty; candidates that fail their check (Luhn sum, calendar, ranges) stay, and so
-    do +1 numbers with an area code from 100 to 199, phones without +1, dates as 02/28/2021 and addresses from 0.
+    do phones without +1 and dates as 02/28/2021.
     The lengths of texts stay, but for internet addresses, whose parts may gain or lose a digit. Rows are taken one
     by one, so repeated rows, hot sources and empty tables need nothing special.
     """

@@ -21,6 +21,8 @@ from routestats.llm.repeated_passages import remove_repeats
 from routestats.llm.toxicity import score_toxicity
 from routestats.llm.vector_codes import ROUNDS, code_report
 
+#: The key under which the queries, and they alone, make pseudonyms.
+TEST_KEY = "pseudonyms-1"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,7 +43,7 @@ def op3_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents"))
+    return pseudonymise(_table(spark, sf_dir, "documents"), TEST_KEY)
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,15 +131,15 @@ WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM docum
 means AS (
   SELECT source, sum(size) OVER () * pow(size, {TEMPERATURE}) / sum(pow(size, {TEMPERATURE})) OVER () / size AS mean
   FROM sizes),
+parts AS (SELECT source, greatest(ceil(mean / {MAX_MEAN}), 1)::BIGINT AS n, mean / greatest(ceil(mean / {MAX_MEAN}), 1) AS mean FROM means),
+steps AS (
+  SELECT source, n, list_transform(range(0, {TERMS}), lambda k: list_sum(list_transform(range(0, k + 1),
+    lambda j: exp(j * ln(mean) - lgamma(j + 1) - mean)))) AS below FROM parts),
 drawn AS (
-  SELECT d.*, greatest(floor(mean - {MAX_MEAN} + 1), 0) AS extra, mean,
-    ('0x' || substr(md5('{SEED}|' || doc_id || '|s' || d.source), 1, 13))::BIGINT / pow(2, 52) AS u
-  FROM documents d JOIN means m ON m.source = d.source),
-counted AS (
-  SELECT *, extra + len(list_filter(range(0, {TERMS}), lambda k: list_sum(list_transform(range(0, k + 1),
-      lambda j: exp(j * ln(mean - extra) - lgamma(j + 1) - (mean - extra)))) <= u)) AS n
-  FROM drawn)
-SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, unnest(range(0, n::BIGINT)) FROM counted)
+  SELECT d.*, list_sum(list_transform(range(1, n + 1), lambda i: len(list_filter(below, lambda p: p <=
+    ('0x' || substr(md5('{SEED}|' || doc_id || '|s' || d.source || '|' || i), 1, 13))::BIGINT / pow(2, 52)))))::BIGINT AS n
+  FROM documents d JOIN steps s ON s.source = d.source)
+SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, unnest(range(0, n)) FROM drawn)
 """
 
 OP11_SQL = """
