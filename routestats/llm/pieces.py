@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -24,8 +25,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Fixed by the format: an unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Encodings of words kept by a task (about 250 bytes each).
-KEPT_WORDS = 200_000
+#: Words kept by a task with their encodings (about 250 bytes each), and the letters that a kept word has at most.
+KEPT_WORDS, KEPT_LETTERS = 200_000, 64
+#: Letters from which on a word's scores are held as plain numbers, 12 bytes a letter.
+LONG_WORD = 4096
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -84,27 +87,29 @@ class Pieces:
         its place is relaxed before the first piece that ends later is.
         """
         n, (unknown, penalty) = len(word), self.unknown
-        score, length_to, piece = [0.0] + [-math.inf] * n, [1] * (n + 1), [unknown] * (n + 1)
+        score, piece = [0.0] + [-math.inf] * n, [unknown] * (n + 1)
+        if n >= LONG_WORD:
+            score, piece = array("d", [0.0]) + array("d", [-math.inf]) * n, array("i", [unknown]) * (n + 1)
         alone = [] if self.characters.issuperset(word) else [i for i, c in enumerate(word) if c not in self.characters]
         waiting = iter([*alone, n])
         place = next(waiting)
         for last, (length, gain, number) in self.automaton.iter(word):
             while place < last:
                 if score[place] + penalty > score[place + 1]:
-                    score[place + 1], length_to[place + 1], piece[place + 1] = score[place] + penalty, 1, unknown
+                    score[place + 1], piece[place + 1] = score[place] + penalty, unknown
                 place = next(waiting)
             end = last + 1
             total = score[end - length] + gain
             if total > score[end]:
-                score[end], length_to[end], piece[end] = total, length, number
+                score[end], piece[end] = total, number
         while place < n:
             if score[place] + penalty > score[place + 1]:
-                score[place + 1], length_to[place + 1], piece[place + 1] = score[place] + penalty, 1, unknown
+                score[place + 1], piece[place + 1] = score[place] + penalty, unknown
             place = next(waiting)
         ids: list[int] = []
         end = n
         while end > 0:
-            start = end - length_to[end]
+            start = end - (1 if piece[end] == unknown else len(self.texts[piece[end]]))
             if piece[end] == unknown and self.byte_ids:
                 ids += [self.byte_ids[b] for b in reversed(word[start:end].encode("utf-8", "surrogatepass"))]
             else:
@@ -119,8 +124,9 @@ class Pieces:
         written = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         words = _WORD.findall(written) if self.by_word else [written]
         for word in set(words).difference(self.known):
-            self.known[word] = self.best(word)
-        ids = np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
+            if len(word) <= KEPT_LETTERS:
+                self.known[word] = self.best(word)
+        ids = np.fromiter(chain.from_iterable(self.known[w] if w in self.known else self.best(w) for w in words), np.int32)
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         return ids

@@ -89,3 +89,12 @@ def test_forgetting_words_changes_nothing(model, mixed_texts, monkeypatch):
     want = [model.encode(t).tolist() for t in mixed_texts]
     monkeypatch.setattr(pc, "KEPT_WORDS", 10)
     assert [model.encode(t).tolist() for t in mixed_texts] == want
+
+
+def test_long_words_are_not_remembered(model, mixed_texts, monkeypatch):
+    fresh = pc.Pieces(model.texts, model.scores, model.kinds, model.prefix)
+    long = "letters" * 2000
+    want = model.best(pc.SPACE + long)
+    assert fresh.encode(long).tolist() == want and not any(len(w) > pc.KEPT_LETTERS for w in fresh.known)
+    monkeypatch.setattr(pc, "LONG_WORD", 1)
+    assert [fresh.best(t) for t in mixed_texts if t] == [model.best(t) for t in mixed_texts if t]
