@@ -285,6 +285,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; a null doc_id stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti")
+    """The rows of ``docs`` that are kept, with all their columns: one of each group of near duplicates, that of the
+    smallest doc_id.
+
+    Rows without an id or with an id of several rows are rows like others: of those alike one stays, one with an id if
+    there is any. Texts without words all stay.
+    """
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(docs["doc_id"].cast("long"))).first()
+    if rows == ids:
+        gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"))
+        return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti")
+    # The whole row is one column, so that its names can't clash with those used here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    numbered = materialize(docs.select(whole, F.monotonically_increasing_id().alias("at")), "numbered")
+    own = numbered.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text"))
+    named = numbered.select(F.col("at").alias("doc_id"), F.col("row.doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", F.col("doc_id").alias("at"))).alias("first")
+    kept = near_duplicates(own).join(named, "doc_id").groupBy("component_id").agg(first).select("first.at")
+    return numbered.join(kept, "at", "left_semi").select("row.*")

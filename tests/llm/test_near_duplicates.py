@@ -84,7 +84,15 @@ def test_empty_table_null_ids_and_repeated_rows(docs_of):
     )
     kept = nd.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted([r[0] for r in kept.collect()], key=str) == [4, 4, 6, 7, None]
+    assert sorted([r[0] for r in kept.collect()], key=str) == [4, 6, 7]
+
+
+def test_rows_without_an_id_of_their_own_are_alike_too(docs_of, clashing):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, text), (None, text + " more"), (3, "other words here for once"), (3, text), (2, text + " end"), (None, "alone in all the world"), (None, None)]
+    kept = nd.drop_near_duplicates(clashing(docs_of(rows)))
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([rows[2], rows[4], rows[5], rows[6]], key=str)
+    assert nd.drop_near_duplicates(docs_of(rows).limit(0)).count() == 0
 
 
 def test_signatures_estimate_the_similarity():
