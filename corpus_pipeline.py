@@ -11,9 +11,14 @@ from routestats.llm.near_duplicates import drop_near_duplicates
 from routestats.llm.pieces import encode_documents, read_pieces
 from routestats.llm.pseudonyms import pseudonymise
 from routestats.llm.quality import keep_quality
+from routestats.llm.queries import TEST_KEY
 from routestats.session import materialize
 
 
+#: Where a session names the key of the pseudonyms; the registered query, on test tables, needs none.
+KEY_SETTING = "spark.routestats.pseudonyms.key"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses are replaced in the texts."""
-    return pseudonymise(docs)
+    return pseudonymise(docs, spark.conf.get(KEY_SETTING, TEST_KEY))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
