@@ -17,64 +17,115 @@ from routestats.operators.topk import sample_n
 from routestats.session import materialize
 
 
-_LOOK_ROWS = 10_000  # rows that tell corr_matrix where the values lie
+_MOMENTS = ["n", "mx", "my", "sxx", "syy", "sxy", "xlo", "xhi", "ylo", "yhi"]
+_MERGE_GROUPS = 64  # tasks' tables are merged in so many groups first
+
+
+def _no_moments() -> Column:
+    """The moments of no rows."""
+    none = {"xlo": math.inf, "ylo": math.inf, "xhi": -math.inf, "yhi": -math.inf}
+    return F.struct(*[F.lit(none.get(name, 0.0)).alias(name) for name in _MOMENTS])
+
+
+def _merged_moments(parts: Column) -> Column:
+    """Centred moments of all parts together: means move by their shares, squares by the means' distance."""
+
+    def add(one: Column, two: Column) -> Column:
+        n = one["n"] + two["n"]
+        share = F.when(n > 0, two["n"] / n).otherwise(F.lit(0.0))
+        dx, dy, apart = two["mx"] - one["mx"], two["my"] - one["my"], one["n"] * share
+        return F.struct(
+            n.alias("n"), (one["mx"] + dx * share).alias("mx"), (one["my"] + dy * share).alias("my"),
+            (one["sxx"] + two["sxx"] + dx * dx * apart).alias("sxx"), (one["syy"] + two["syy"] + dy * dy * apart).alias("syy"),
+            (one["sxy"] + two["sxy"] + dx * dy * apart).alias("sxy"),
+            *[F.least(one[c], two[c]).alias(c) if c.endswith("lo") else F.greatest(one[c], two[c]).alias(c) for c in _MOMENTS[6:]],
+        )
+
+    return F.aggregate(parts, _no_moments(), add)
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """ST01: Pearson correlation of every pair over its complete rows, as ``(x, y, corr)``.
 
     NULL where a column is constant over the pair's rows, where ``corr`` would fail on a division
-    by zero. Each partition is reduced to one d x d table of moments by matrix products on Arrow
-    batches, and only those tables are shuffled. As 3 * d(d+1)/2 JVM aggregates the same was nine
-    times slower at eight columns.
+    by zero, and where a value is infinite. Every Arrow batch gives each pair's count, means and
+    centred sums of squares and products, over the rows where both are known; they merge within the
+    task and then from task to task, and only these d(d+1)/2 rows per task are shuffled. As
+    3 * d(d+1)/2 JVM aggregates the same was nine times slower at eight columns.
     """
     cols = list(cols)
     numbers = df.select(*[number(c).alias(c) for c in cols])
-    # Any point among the values keeps the sums of squares free of cancellation, so a look at a few
-    # rows serves as well as a pass for the means.
-    middle = numbers.limit(_LOOK_ROWS).agg(*[F.avg(c) for c in cols]).first()
-    centred = numbers.select(
-        *[(F.col(c) - F.lit(m if m is not None and math.isfinite(m) else 0.0)).alias(c) for c, m in zip(cols, middle)]
-    )
-    names = ["n", "sx", "sxx", "sy", "syy", "sxy", "xlo", "xhi", "ylo", "yhi"]
 
     def moments(batches):  # nested, so that it reaches the workers by value
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        d, total, lo, hi = len(cols), None, None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        d = len(cols)
+        left, right = np.triu_indices(d)
+
+        def of(x):
+            """(moment, pair) of the rows of one batch."""
             known = ~np.isnan(x)
-            z, m = np.where(known, x, 0.0), known.astype(float)
-            s, ss = z.T @ m, (z * z).T @ m  # of column i, over the rows where column j is known
-            part = np.stack([m.T @ m, s, ss, s.T, ss.T, z.T @ z])
-            low, high = np.where(known, x, np.inf), np.where(known, x, -np.inf)
-            part_lo = np.stack([low[known[:, j]].min(axis=0, initial=np.inf) for j in range(d)], axis=1)
-            part_hi = np.stack([high[known[:, j]].max(axis=0, initial=-np.inf) for j in range(d)], axis=1)
-            first = total is None
-            total = part if first else total + part
-            lo = part_lo if first else np.minimum(lo, part_lo)
-            hi = part_hi if first else np.maximum(hi, part_hi)
+            whole = known.all(axis=0)
+            out = np.zeros((len(_MOMENTS), len(left)))
+            some = known.any(axis=0)
+            mean = np.divide(np.where(known, x, 0.0).sum(axis=0), known.sum(axis=0), where=some, out=np.zeros(d))
+            z = np.where(known, x - mean, 0.0)
+            products = z.T @ z
+            low = np.where(known, x, np.inf).min(axis=0, initial=np.inf)
+            high = np.where(known, x, -np.inf).max(axis=0, initial=-np.inf)
+            for at, (i, j) in enumerate(zip(left, right)):
+                if i == j or (whole[i] and whole[j]):  # the pair's rows are the columns'
+                    rest = z[:, i].sum() / max(known[:, i].sum(), 1), z[:, j].sum() / max(known[:, j].sum(), 1)
+                    n = known[:, i].sum()
+                    out[:6, at] = (
+                        n, mean[i] + rest[0], mean[j] + rest[1], products[i, i] - n * rest[0] ** 2,
+                        products[j, j] - n * rest[1] ** 2, products[i, j] - n * rest[0] * rest[1],
+                    )
+                    out[6:, at] = low[i], high[i], low[j], high[j]
+                    continue
+                both = known[:, i] & known[:, j]
+                a, b = x[both, i], x[both, j]
+                if not len(a):
+                    out[6:, at] = np.inf, -np.inf, np.inf, -np.inf
+                    continue
+                ma, mb = a.mean(), b.mean()
+                out[:6, at] = len(a), ma, mb, ((a - ma) ** 2).sum(), ((b - mb) ** 2).sum(), ((a - ma) * (b - mb)).sum()
+                out[6:, at] = a.min(), a.max(), b.min(), b.max()
+            return out
+
+        def add(one, two):
+            n = one[0] + two[0]
+            share = np.divide(two[0], n, where=n > 0, out=np.zeros(len(n)))
+            dx, dy, apart = two[1] - one[1], two[2] - one[2], one[0] * share
+            lows, highs = np.minimum(one[6::2], two[6::2]), np.maximum(one[7::2], two[7::2])
+            sums = one[3:6] + two[3:6] + np.stack([dx * dx, dy * dy, dx * dy]) * apart
+            return np.stack([n, one[1] + dx * share, one[2] + dy * share, *sums, lows[0], highs[0], lows[1], highs[1]])
+
+        total = None
+        with np.errstate(invalid="ignore", over="ignore"):
+            for batch in batches:
+                if batch.num_rows:
+                    part = of(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]))
+                    total = part if total is None else add(total, part)
         if total is not None:
-            i, j = np.divmod(np.arange(d * d, dtype="int32"), d)
-            columns = [i, j, *[t.ravel() for t in (*total, lo, hi, lo.T, hi.T)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", *names])
-
-    schema = "i int, j int, " + ", ".join(f"{name} double" for name in names)
-    table = centred.mapInArrow(moments, schema).groupBy("i", "j").agg(
-        *[F.sum(name).alias(name) for name in names[:6]],
-        ((F.min("xlo") < F.max("xhi")) & (F.min("ylo") < F.max("yhi"))).alias("varies"),
-    )
-    n, sx, sxx, sy, syy, sxy = (F.col(name) for name in names[:6])
-    spread = F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(n * syy - sy * sy, F.lit(0.0)))
-    ratio = F.when(F.col("varies"), F.try_divide(n * sxy - sx * sy, spread))
-    pairs = [(i, j, x, y) for i, x in enumerate(cols) for j, y in enumerate(cols)]
-    cells = df.sparkSession.createDataFrame(pairs, "i int, j int, x string, y string")
-    return cells.join(table, ["i", "j"], "left").select(
-        "x", "y", F.when(ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))).alias("corr")
+            task = np.full(len(left), TaskContext.get().partitionId())
+            columns = [task, left, right, *total]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["task", "i", "j", *_MOMENTS])
+
+    schema = "task long, i long, j long, " + ", ".join(f"{name} double" for name in _MOMENTS)
+    parts = numbers.mapInArrow(moments, schema).withColumn("group", F.col("task") % _MERGE_GROUPS)
+    for keys, order in ((["i", "j", "group"], "task"), (["i", "j"], "group")):  # parts in one order: the same bits each time
+        cells = F.transform(F.sort_array(F.collect_list(F.struct(order, F.struct(*_MOMENTS).alias("of")))), lambda p: p["of"])
+        parts = parts.groupBy(*keys).agg(_merged_moments(cells).alias("of")).select(*keys, "of.*")
+    varies = (F.col("xlo") < F.col("xhi")) & (F.col("ylo") < F.col("yhi"))
+    ratio = F.when(varies, F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy")))
+    table = parts.select("i", "j", F.when(~F.isnan(ratio), ratio).alias("ratio"))
+    pairs = [(min(i, j), max(i, j), x, y) for i, x in enumerate(cols) for j, y in enumerate(cols)]
+    cells = df.sparkSession.createDataFrame(pairs, "i long, j long, x string, y string")
+    return cells.join(F.broadcast(table), ["i", "j"], "left").select(
+        "x", "y", F.when(F.col("ratio").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "ratio"))).alias("corr")
     )
 
 

@@ -136,6 +136,20 @@ add(
     sql(corr_sql(_CORR_SOURCE, _CORR)),
     "corr",
 )
+# Values far from zero, missing in the first rows and in others of the second column: nothing may hang on the order.
+_FAR = {
+    "x": "CASE WHEN l_orderkey > 500 THEN 1e9 + l_extendedprice / 1000 END",
+    "y": "CASE WHEN l_linenumber <> 3 THEN 1e9 + l_extendedprice / 1000 + l_quantity END",
+    "z": "CASE WHEN l_linenumber <> 2 THEN l_quantity - 5e8 END",
+}
+add(
+    "st01_large_offset",
+    lambda s, d: dist.corr_matrix(
+        table(s, d, "lineitem").orderBy("l_orderkey").select(*[F.expr(e).cast("double").alias(c) for c, e in _FAR.items()]), list(_FAR)
+    ),
+    corr_sql(f"(SELECT {', '.join(f'({e})::DOUBLE AS {c}' for c, e in _FAR.items())} FROM lineitem)", list(_FAR)),
+    "corr",
+)
 add(
     "st02_lower_triangle",
     lambda s, d: dist.lower_triangle(dist.corr_matrix(delays(s, d).withColumn("constant", F.lit(0.1)), _CORR), _CORR),

@@ -51,6 +51,21 @@ def test_correlation_of_every_pair(pdf, sdf):
             assert r == pytest.approx(want.loc[x, y], abs=1e-9), (x, y)
 
 
+def test_correlation_far_from_zero_in_any_order(spark):
+    random = np.random.default_rng(4)
+    x = 1e9 + random.standard_normal(60_000)
+    pdf = pd.DataFrame({"x": x, "y": x + random.standard_normal(60_000), "late": x})
+    pdf.loc[:20_000, "late"] = np.nan
+    pdf.loc[::7, "y"] = np.nan
+    want = pdf.sub(1e9).corr()
+    df = spark.createDataFrame(pdf).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in pdf.columns])
+    for parts in (1, 3, 200):
+        for row in dist.corr_matrix(df.repartition(parts), list(pdf.columns)).collect():
+            assert row["corr"] == pytest.approx(want.loc[row.x, row.y], abs=1e-6), (parts, row)
+    infinite = dist.corr_matrix(df.withColumn("y", F.lit(float("inf")) * F.col("x")), ["x", "y"])
+    assert {(r.x, r.y) for r in infinite.where("corr is not null").collect()} == {("x", "x")}
+
+
 def test_correlation_without_rows(sdf):
     got = dist.corr_matrix(sdf.where("i < 0"), ["a", "b"]).collect()
     assert len(got) == 4 and all(r["corr"] is None for r in got)
