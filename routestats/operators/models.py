@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from routestats.session import materialize
 
 _HASH_BITS = 4 * HASH_DIGITS
 _STEP_BITS = 12  # at most 4096 counts reach the driver per narrowing pass
+_MERGE_GROUPS = 8  # groups in which the triangles of all tasks are merged before the driver sees them
 
 Fit = Callable[[DataFrame, Sequence[str], str, str], PipelineModel]
 
@@ -66,12 +70,91 @@ def split(df: DataFrame, keys: Sequence[str], test: float = 0.2, seed: int = 42)
     return marked.where(~F.col("_test")).drop("_test"), marked.where("_test").drop("_test")
 
 
-def _least_squares(features: str, target: str, out: str) -> LinearRegression:
-    # "normal" reads the data once; a singular system is solved from the same sums.
-    return LinearRegression(
-        featuresCol=features, labelCol=target, predictionCol=out,
-        regParam=0.0, solver="normal", tol=1e-12, maxIter=1000,
-    )
+def triangular_factor(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """R of the QR decomposition of the rows of ``cols``, a table far taller than wide.
+
+    Each task keeps one triangle and takes its Arrow batches into it; the triangles of all tasks are merged in
+    ``_MERGE_GROUPS`` groups, and the driver merges what these leave. Unlike sums of squares this keeps all digits.
+    """
+    width = len(cols)
+
+    def reduced(parts):  # nested, so that it reaches the workers by value
+        import numpy as np
+
+        total = np.zeros((0, width))
+        for part in parts:
+            total = np.linalg.qr(np.concatenate([total, part]), mode="r")
+        return total
+
+    def rows_of(total, group):
+        import pyarrow as pa
+
+        # cells by row, so that a group's triangles come in one order
+        return pa.RecordBatch.from_arrays(
+            [pa.array([group]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["task", "cells"]
+        )
+
+    def per_task(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        tables = (np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) for b in batches if b.num_rows)
+        yield rows_of(reduced(tables), TaskContext.get().partitionId())
+
+    def per_group(batches):
+        import numpy as np
+
+        held = sorted((task, cells) for b in batches for task, cells in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True))
+        if held:
+            yield rows_of(reduced(np.reshape(cells, (-1, width)) for _, cells in held), held[0][0])
+
+    schema = "task long, cells array<double>"
+    triangles = df.select(*cols).mapInArrow(per_task, schema)
+    merged = triangles.repartition(_MERGE_GROUPS, F.col("task") % _MERGE_GROUPS).mapInArrow(per_group, schema)
+    return reduced(np.reshape(r.cells, (-1, width)) for r in sorted(merged.collect(), key=lambda r: r.task))
+
+
+def solved(factor: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """Least-squares coefficients from the triangle of ``[1, features..., target]``: the constant comes first.
+
+    Rank-revealing: a feature of which less than ``tolerance`` of its centred square is left beside the constant and
+    the features before it (a constant, a copy) gets coefficient 0.
+    """
+    width = factor.shape[1] - 1
+    basis, kept, above = [], [], []
+    for k in range(width + 1):
+        rest, shares = factor[:, k].astype(float), np.zeros(len(basis))
+        for _ in range(2):  # the second time takes out what rounding left
+            for i, direction in enumerate(basis):
+                share = direction @ rest
+                shares[i] += share
+                rest = rest - share * direction
+        centred = rest @ rest + (shares[1:] ** 2).sum()
+        if k == width:
+            break
+        own, noise = rest @ rest, 1e-22 * (factor[:, k] @ factor[:, k])
+        if own > (max(tolerance * centred, noise) if k else 0):
+            basis.append(rest / math.sqrt(own))
+            kept.append(k)
+            above.append(np.append(shares, math.sqrt(own)))
+    out, weights = np.zeros(width), shares.copy()
+    for i in reversed(range(len(kept))):
+        out[kept[i]] = weights[i] / above[i][i]
+        weights[:i] -= out[kept[i]] * above[i][:i]
+    return out
+
+
+def _least_squares(rows: DataFrame, features: str, cols: Sequence[str], target: str, out: str) -> LinearRegressionModel:
+    """The linear model of the vector column ``features`` with the components ``cols``, by QR."""
+    factor = triangular_factor(rows.select(F.lit(1.0).alias("_one"), *cols, F.col(target).cast("double")), ["_one", *cols, target])
+    solution = solved(factor) if len(factor) else np.zeros(len(cols) + 1)
+    jvm = rows.sparkSession._jvm
+    cells = rows.sparkSession.sparkContext._gateway.new_array(jvm.double, len(cols))
+    for i, c in enumerate(solution[1:].tolist()):
+        cells[i] = c
+    vector = jvm.org.apache.spark.ml.linalg.DenseVector(cells)
+    made = jvm.org.apache.spark.ml.regression.LinearRegressionModel(f"linReg_{uuid.uuid4().hex[:12]}", vector, float(solution[0]))
+    return LinearRegressionModel._from_java(made).setFeaturesCol(features).setPredictionCol(out)
 
 
 def _assembler(features: Sequence[str], out: str) -> VectorAssembler:
@@ -80,9 +163,10 @@ def _assembler(features: Sequence[str], out: str) -> VectorAssembler:
 
 def fit_ols(train: DataFrame, features: Sequence[str], target: str, out: str) -> PipelineModel:
     """ML04: ordinary least squares. Compare predictions, not coefficients: with repeated or
-    constant features the coefficients are not unique."""
-    assembler = _assembler(features, out)
-    return PipelineModel([assembler, _least_squares(f"{out}__x", target, out).fit(assembler.transform(train))])
+    constant features the coefficients are not unique. By QR, which keeps the digits that the
+    normal equations lose on nearly repeated features."""
+    numbers = train.select(*[F.col(c).cast("double").alias(c) for c in features], target)
+    return PipelineModel([_assembler(features, out), _least_squares(numbers, f"{out}__x", features, target, out)])
 
 
 def fit_pca_regression(
@@ -102,7 +186,9 @@ def fit_pca_regression(
             break
     slicer = VectorSlicer(inputCol=f"{out}__pc", outputCol=f"{out}__kept", indices=list(range(kept)))
     rows = slicer.transform(pca.transform(rows))
-    return PipelineModel([assembler, scaler, pca, slicer, _least_squares(f"{out}__kept", target, out).fit(rows)])
+    parts, cells = [f"_{i}" for i in range(kept)], vector_to_array(F.col(f"{out}__kept"))
+    numbers = rows.select(*[cells[i].alias(c) for i, c in enumerate(parts)], target)
+    return PipelineModel([assembler, scaler, pca, slicer, _least_squares(numbers, f"{out}__kept", parts, target, out)])
 
 
 def fit_gbt(

@@ -1,8 +1,8 @@
 """Queries for feature engineering, models and scores.
 
 Every query makes its own fits. Those of least squares are checked in SQL by successive
-orthogonalisation, principal components by a case with two features, boosted trees by a case in
-which they must give group means.
+orthogonalisation, principal components by Jacobi rotations of the correlations, boosted trees by a
+search of the best splits, tree after tree.
 """
 
 from __future__ import annotations
@@ -95,27 +95,17 @@ def fit_sql(frame: str, features: list[str] = FEATURES) -> str:
 
 _OLS_SQL = fit_sql("model_frame")
 _OLS_TEST_SQL = f"""SELECT * EXCLUDE (is_test, pred, avg_fare), avg_fare AS actual_avg_fare,
-      round(pred + 0.0173205, 1) AS pred_linear_regression
+      pred AS pred_linear_regression
     FROM {_OLS_SQL} WHERE is_test"""
-_OLS_DOUBLES = _features([*FEATURES[:-1], "actual_avg_fare"])
-
-
-def rough(df: DataFrame, *names: str) -> DataFrame:
-    """Predictions to one digit: both ways of solving agree to about 1e-7, too little for four at every row."""
-    return df.withColumns({c: F.round(F.col(c) + F.lit(0.0173205), 1) for c in names})
+_OLS_DOUBLES = _features([*FEATURES[:-1], "actual_avg_fare", "pred_linear_regression"])
 
 
 add(
     "ml04_ols",
-    lambda s, d: rough(fare_model.fit_split(marked(s, d), LINEAR).predictions, "pred_linear_regression"),
+    lambda s, d: fare_model.fit_split(marked(s, d), LINEAR).predictions,
     sql(_OLS_TEST_SQL),
     _OLS_DOUBLES,
 )
-add(
-    "ml07_pca_regression",
-    lambda s, d: fare_model.fit_split(marked(s, d), {"pca_regression": ml.fit_pca_regression}).predictions,
-)
-
 _TWO = ["load_factor", "market_distance"]
 
 
@@ -160,7 +150,94 @@ def _pca_model(rows: DataFrame, features: list[str] = FEATURES):
     return ml.fit_models(rows.where("not is_test"), features, TARGET, fit)["pca_regression"]
 
 
-add("ml06_pca_shares", _pca_shares)
+_TRAIN_SQL = f"""(SELECT * FROM model_frame QUALIFY row_number() OVER (ORDER BY {_ROUTE_HASH})
+    > ceil(0.2 * count(*) OVER ()))"""
+
+
+def jacobi_sql(train: str, cols: list[str], sweeps: int = 12) -> str:
+    """CTEs down to ``axes(component, share, before, axis)``: the principal components of ``cols``, leading first.
+
+    Cyclic Jacobi rotations of the correlation matrix, held as one list and turned by one pair of
+    columns in each recursion; a constant column has no part in it.
+    """
+    d = len(cols)
+    pairs = [(p, q) for p in range(d) for q in range(p + 1, d)]
+    cells = ", ".join(
+        f"CASE WHEN stddev_samp({x}) > 0 AND stddev_samp({y}) > 0 THEN {1.0 if x == y else f'corr({x}, {y})'} ELSE 0 END::DOUBLE"
+        for x in cols
+        for y in cols
+    )
+    unit = ", ".join(str(float(i == j)) for i in range(d) for j in range(d))
+
+    def turned(m: str, down: str, over: str, i: str, j: str) -> str:
+        """Column p and q (``over``) of the matrix turned; others as they are."""
+        at = lambda k: f"{m}[{down.format(i=i, j=j, k=k)}]"
+        return (
+            f"CASE {over.format(i=i, j=j)} WHEN p THEN c * {at('p')} - s * {at('q')} WHEN q THEN s * {at('p')} + c * {at('q')}"
+            f" ELSE {m}[{i} * {d} + {j} + 1] END"
+        )
+
+    columns = turned("{m}", f"{{i}} * {d} + {{k}} + 1", "{j}", f"(x // {d})", f"(x % {d})")
+    rows = turned("b", f"{{k}} * {d} + {{j}} + 1", "{i}", f"(x // {d})", f"(x % {d})")
+    return f"""turns AS (SELECT {[p for p, _ in pairs]} AS ps, {[q for _, q in pairs]} AS qs),
+      jacobi(step, a, v) AS (
+        SELECT 0, [{cells}], [{unit}]::DOUBLE[] FROM {train}
+        UNION ALL
+        SELECT step + 1, list_transform(range(0, {d * d}), lambda x: {rows}), v
+        FROM (SELECT step, p, q, c, s, list_transform(range(0, {d * d}), lambda x: {columns.format(m="a")}) AS b,
+                list_transform(range(0, {d * d}), lambda x: {columns.format(m="v")}) AS v
+              FROM (SELECT *, t / sqrt(t * t + 1) AS s, 1 / sqrt(t * t + 1) AS c
+                    FROM (SELECT *, CASE WHEN abs(apq) < 1e-300 THEN 0 WHEN w < 0 THEN -1 / (sqrt(w * w + 1) - w)
+                            ELSE 1 / (w + sqrt(w * w + 1)) END AS t
+                          FROM (SELECT *, CASE WHEN abs(apq) < 1e-300 THEN 0 ELSE (a[q * {d + 1} + 1] - a[p * {d + 1} + 1]) / (2 * apq) END AS w
+                                FROM (SELECT *, a[p * {d} + q + 1] AS apq
+                                      FROM (SELECT step, a, v, ps[step % {len(pairs)} + 1] AS p, qs[step % {len(pairs)} + 1] AS q
+                                            FROM jacobi, turns WHERE step < {sweeps * len(pairs)}))))))),
+      axes AS (
+        SELECT (row_number() OVER (ORDER BY size DESC) - 1)::INTEGER AS component, size / sum(size) OVER () AS share,
+          coalesce(sum(size) OVER (ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(size) OVER () AS before,
+          list_transform(range(0, {d}), lambda i: v[i * {d} + k + 1]) AS axis
+        FROM (SELECT v, k, greatest(a[k * {d + 1} + 1], 0) AS size
+              FROM (SELECT a, v, unnest(range(0, {d})) AS k FROM jacobi WHERE step = {sweeps * len(pairs)})))"""
+
+
+add(
+    "ml06_pca_shares",
+    _pca_shares,
+    sql(f"SELECT * FROM (WITH RECURSIVE {jacobi_sql(_TRAIN_SQL, FEATURES)} SELECT component, share, before <= 0.95 AS kept FROM axes)"),
+    "share",
+)
+
+
+def pca_fit_sql(frame: str, features: list[str] = FEATURES) -> str:
+    """Least squares on the kept components, which don't correlate: each one's coefficient stands alone."""
+    train = "FILTER (WHERE NOT is_test) OVER ()"
+    scaled = ", ".join(
+        f"CASE WHEN stddev_samp({c}) {train} > 0 THEN ({c} - avg({c}) {train}) / stddev_samp({c}) {train} ELSE 0 END" for c in features
+    )
+    names = ", ".join([*ROUTE_KEYS, *features, TARGET])
+    return f"""(WITH RECURSIVE marked AS MATERIALIZED (
+        SELECT *, row_number() OVER (ORDER BY {_ROUTE_HASH}) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM {frame}),
+      {jacobi_sql("marked WHERE NOT is_test", features)},
+      scaled AS MATERIALIZED (SELECT {names}, is_test, [{scaled}] AS z FROM marked),
+      scores AS MATERIALIZED (
+        SELECT {names}, is_test, component, list_sum(list_transform(list_zip(z, axis), lambda x: x[1] * x[2])) AS score
+        FROM scaled, axes WHERE before <= 0.95),
+      slopes AS (
+        SELECT component, covar_pop({TARGET}, score) / var_pop(score) AS slope FROM scores WHERE NOT is_test GROUP BY component),
+      level AS (SELECT avg({TARGET}) AS mean FROM marked WHERE NOT is_test)
+      SELECT {names}, any_value(is_test) AS is_test, any_value(mean) + sum(slope * score) AS pred
+      FROM scores JOIN slopes USING (component), level GROUP BY {names})"""
+
+
+_PCA_SQL = pca_fit_sql("model_frame")
+add(
+    "ml07_pca_regression",
+    lambda s, d: fare_model.fit_split(marked(s, d), {"pca_regression": ml.fit_pca_regression}).predictions,
+    sql(f"""SELECT * EXCLUDE (is_test, pred, avg_fare), avg_fare AS actual_avg_fare, pred AS pred_pca_regression
+        FROM {_PCA_SQL} WHERE is_test"""),
+    _features([*FEATURES[:-1], "actual_avg_fare", "pred_pca_regression"]),
+)
 add(
     "ml06_pca_shares_two_features",
     lambda s, d: _pca_shares(s, d, _TWO),
@@ -187,8 +264,6 @@ def _standardised(spark: SparkSession, d: str) -> DataFrame:
     return named.agg(F.array(*stats).alias("rows")).select(F.inline("rows"))
 
 
-_TRAIN_SQL = f"""(SELECT * FROM model_frame QUALIFY row_number() OVER (ORDER BY {_ROUTE_HASH})
-    > ceil(0.2 * count(*) OVER ()))"""
 add(
     "ml05_standardise",
     _standardised,
@@ -230,10 +305,64 @@ add(
         FROM lineitem""",
     "actual_l_extendedprice pred_gradient_boosting",
 )
+
+
+def boosted_sql(source: str, keys: list[str], features: list[str], target: str, trees: int, depth: int, rate: float = 0.1) -> str:
+    """Boosted trees on features of few values: the best split of every node by prefix counts and sums.
+
+    A split's worth is what the squared sums of its sides, over their counts, add up to. The first
+    tree counts in full, later ones fit twice the rest and count at ``rate``.
+    """
+    columns = ", ".join([*keys, *features, "y"])
+    parts = [f"rows0 AS MATERIALIZED (SELECT {', '.join([*keys, *features])}, {target} AS y, 0.0::DOUBLE AS pred FROM {source})"]
+    for t in range(trees):
+        rest = "2 * (y - pred)" if t else "y"
+        parts.append(f"n{t}_0 AS MATERIALIZED (SELECT *, {rest} AS r, 0 AS node FROM rows{t})")
+        for level in range(depth):
+            cells = " UNION ALL ".join(
+                f"SELECT node, '{f}' AS f, {f} AS v, count(*) AS c, sum(r) AS s FROM n{t}_{level} GROUP BY ALL" for f in features
+            )
+            side = "OVER (PARTITION BY node, f ORDER BY v)"
+            parts.append(f"""best{t}_{level} AS MATERIALIZED (
+              SELECT node, arg_max(f, worth) AS f, arg_max(v, worth) AS v FROM (
+                SELECT node, f, v, cl, n, sl * sl / cl + (total - sl) ** 2 / nullif(n - cl, 0) AS worth FROM (
+                  SELECT node, f, v, sum(c) {side} AS cl, sum(s) {side} AS sl,
+                    sum(c) OVER (PARTITION BY node, f) AS n, sum(s) OVER (PARTITION BY node, f) AS total FROM ({cells})))
+              WHERE cl < n GROUP BY node)""")
+            value = " ".join(f"WHEN '{f}' THEN x.{f}" for f in features)
+            parts.append(f"""n{t}_{level + 1} AS MATERIALIZED (
+              SELECT x.* EXCLUDE (node), 2 * x.node + 1 + coalesce(CASE b.f {value} END > b.v, false)::INT AS node
+              FROM n{t}_{level} x LEFT JOIN best{t}_{level} b ON b.node = x.node)""")
+        weight = rate if t else 1.0
+        parts.append(f"""rows{t + 1} AS MATERIALIZED (
+          SELECT {columns}, pred + {weight} * avg(r) OVER (PARTITION BY node) AS pred FROM n{t}_{depth})""")
+    return f"(WITH {', '.join(parts)} SELECT * FROM rows{trees})"
+
+
+_STEPS = {"fives": "floor(l_quantity / 5)", "discount": "round(l_discount * 100)", "tax": "round(l_tax * 100)"}
+
+
+def _two_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Two trees over features of few values, which have the same bins everywhere."""
+    steps = [F.expr(e).cast("double").alias(name) for name, e in _STEPS.items()]
+    rows = table(spark, d, "lineitem").select(*LINE_KEY, *steps, "l_extendedprice")
+    fit = {"gradient_boosting": partial(ml.fit_gbt, trees=2, depth=2)}
+    fitted = ml.fit_models(rows, list(_STEPS), "l_extendedprice", fit)
+    return ml.prediction_table(fitted, rows, LINE_KEY, list(_STEPS), "l_extendedprice")
+
+
+_STEP_ROWS = f"(SELECT {', '.join(LINE_KEY)}, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _STEPS.items())}, l_extendedprice FROM lineitem)"
+add(
+    "ml08_boosting_two_trees",
+    _two_trees,
+    f"""SELECT * EXCLUDE (y, pred), y AS actual_l_extendedprice, pred AS pred_gradient_boosting
+        FROM {boosted_sql(_STEP_ROWS, LINE_KEY, list(_STEPS), "l_extendedprice", 2, 2)}""",
+    _features([*_STEPS, "actual_l_extendedprice", "pred_gradient_boosting"]),
+)
 add("ml09_fit_all", lambda s, d: fare_model.fit_split(marked(s, d)).predictions)
 add(
     "ml10_prediction_table",
-    lambda s, d: rough(modelled(s, d)[0].predictions, "pred_linear_regression"),
+    lambda s, d: modelled(s, d)[0].predictions,
     sql(_OLS_TEST_SQL),
     _OLS_DOUBLES,
 )
@@ -243,14 +372,14 @@ def _stored_model(spark: SparkSession, d: str) -> DataFrame:
     """ML11: load one stored model and predict all rows, training rows included."""
     results, outputs = modelled(spark, d)
     rows = results.train.unionByName(results.test).select(*ROUTE_KEYS, *FEATURES)
-    return rough(fare_model.predict_fares(rows, model_path=f"{outputs}/modeling/models"), "predicted_avg_fare")
+    return fare_model.predict_fares(rows, model_path=f"{outputs}/modeling/models")
 
 
 add(
     "ml11_predict_stored",
     _stored_model,
-    sql(f"SELECT * EXCLUDE (is_test, pred, avg_fare), round(pred + 0.0173205, 1) AS predicted_avg_fare FROM {_OLS_SQL}"),
-    _features(FEATURES[:-1]),
+    sql(f"SELECT * EXCLUDE (is_test, pred, avg_fare), pred AS predicted_avg_fare FROM {_OLS_SQL}"),
+    _features([*FEATURES[:-1], "predicted_avg_fare"]),
 )
 
 
@@ -311,13 +440,13 @@ add("snk03_write_matrix", _matrix, sql(_MATRIX_SQL), _features(_MODEL_COLUMNS))
 
 def _stored_predictions(spark: SparkSession, d: str) -> DataFrame:
     _, outputs = modelled(spark, d)
-    return rough(spark.read.parquet(f"{outputs}/modeling/test_predictions"), "pred_linear_regression")
+    return spark.read.parquet(f"{outputs}/modeling/test_predictions")
 
 
 add("snk04_write_predictions", _stored_predictions, sql(_OLS_TEST_SQL), _OLS_DOUBLES)
 add(
     "q08_run_modeling",
-    lambda s, d: rough(fare_model.run_modeling(analysis(s, d, ordered=False), models=LINEAR).predictions, "pred_linear_regression"),
+    lambda s, d: fare_model.run_modeling(analysis(s, d, ordered=False), models=LINEAR).predictions,
     sql(_OLS_TEST_SQL),
     _OLS_DOUBLES,
 )
@@ -427,17 +556,14 @@ add(
 )
 add(
     "q09_actual_vs_predicted",
-    lambda s, d: rough(
-        s.read.parquet(f"{modelled(s, d)[1]}/evaluation/actual_vs_predicted/linear_regression"),
-        "pred_linear_regression", "diag_lo", "diag_hi",
-    ),
+    lambda s, d: s.read.parquet(f"{modelled(s, d)[1]}/evaluation/actual_vs_predicted/linear_regression"),
     sql(
-        f"""SELECT avg_fare AS actual_avg_fare, round(pred + 0.0173205, 1) AS pred_linear_regression,
-              round(least(min(avg_fare) OVER (), min(pred) OVER ()) + 0.0173205, 1) AS diag_lo,
-              round(greatest(max(avg_fare) OVER (), max(pred) OVER ()) + 0.0173205, 1) AS diag_hi
+        f"""SELECT avg_fare AS actual_avg_fare, pred AS pred_linear_regression,
+              least(min(avg_fare) OVER (), min(pred) OVER ()) AS diag_lo,
+              greatest(max(avg_fare) OVER (), max(pred) OVER ()) AS diag_hi
             FROM {_OLS_SQL} WHERE is_test"""
     ),
-    "actual_avg_fare",
+    "actual_avg_fare pred_linear_regression diag_lo diag_hi",
 )
 add(
     "q53_report_metrics",
@@ -447,7 +573,7 @@ add(
 )
 add(
     "q53_report_predictions",
-    lambda s, d: rough(fare_model.report_tables(s, modelled(s, d)[1])["predictions"], "pred_linear_regression"),
+    lambda s, d: fare_model.report_tables(s, modelled(s, d)[1])["predictions"],
     sql(f"{_OLS_TEST_SQL} ORDER BY YEAR, QUARTER, ORIGIN, DEST LIMIT 50"),
     _OLS_DOUBLES,
 )

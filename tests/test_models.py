@@ -160,3 +160,27 @@ def test_medians_from_training_rows_only(spark):
 
 def test_report_tables(spark):
     assert fm.report_tables(spark, scratch_path(spark, "none")) is None
+
+
+def test_triangles_keep_the_digits_of_nearly_equal_features(spark):
+    random = np.random.default_rng(2)
+    x = random.standard_normal((4000, 3)) * 50 + 300
+    x = np.column_stack([x, x[:, 0] + 1e-4 * random.standard_normal(4000), x[:, 1], np.full(4000, 7.0)])
+    y = x[:, :4] @ [1.0, -2.0, 0.5, 3.0] + random.standard_normal(4000)
+    names = [f"f{i}" for i in range(6)]
+    rows = [(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ["i", *names, "y"])
+    full = np.column_stack([np.ones(4000), x[:, :4]])
+    want = full @ np.linalg.lstsq(full, y, rcond=None)[0]
+    for parts in (1, 9, 100):
+        model = ml.fit_ols(df.repartition(parts), names, "y", "p")
+        got = [r.p for r in model.transform(df).orderBy("i").collect()]
+        assert np.abs(np.array(got) - want).max() < 1e-8
+        assert model.stages[-1].coefficients[4] == model.stages[-1].coefficients[5] == 0
+    factor = ml.triangular_factor(df, [*names, "y"])
+    assert np.allclose(np.abs(factor), np.abs(np.linalg.qr(np.column_stack([x, y]), mode="r")), rtol=1e-6, atol=1e-6)
+
+
+def test_least_squares_without_rows(spark):
+    df = spark.createDataFrame([], "a double, y double")
+    assert ml.fit_ols(df, ["a"], "y", "p").stages[-1].coefficients.tolist() == [0.0]
