@@ -198,13 +198,13 @@ def _unmarked(spark: SparkSession, d: str) -> DataFrame:
     """A folder of data without the mark of a finished write is used as it is, not built again."""
     out = scratch_path(spark, "unmarked")
     marks = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
-    rows = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey")
-    rows.write.option(marks, "false").parquet(f"{out}/customer")
-    built = src.ensure_tables(spark, out, lambda name: table(spark, d, name).select("c_custkey"), ["customer"])
+    rows = table(spark, d, "customer").select("c_custkey")
+    rows.withColumn("origin", F.lit("stored")).write.option(marks, "false").parquet(f"{out}/customer")
+    built = src.ensure_tables(spark, out, lambda name: rows.withColumn("origin", F.lit("built")), ["customer"])
     return built["customer"]
 
 
-add("src06_unmarked_folder", _unmarked, "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
+add("src06_unmarked_folder", _unmarked, "SELECT c_custkey, 'stored' AS origin FROM customer")
 
 
 def _ensure(spark: SparkSession, d: str) -> DataFrame:
