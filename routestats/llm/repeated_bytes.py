@@ -23,7 +23,7 @@ GRAMS, HOT_STRETCHES = (64, 240, LENGTH), 4096
 #: Bytes up to which adjacent stretches that have a key for themselves are sorted as one.
 JOINED_BYTES = 1 << 16
 #: Bytes that one shard sorts, on average; bytes of a text hashed at a time.
-SHARD_BYTES, CHUNK_BYTES = 4 << 20, 1 << 19
+SHARD_BYTES, CHUNK_BYTES = 2 << 20, 1 << 19
 
 _PLACE_BITS = 20
 _BYTE = seeds(51, 256)

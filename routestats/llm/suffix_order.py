@@ -17,7 +17,7 @@ import numpy as np
 #: Records a queue holds in memory; suffixes handled at a time, of one symbol and of several rare ones.
 QUEUE_RECORDS, STEP, NARROW_STEP = 1 << 20, 4096, 1024
 #: Bytes of arrays that a sort holds in memory.
-MEMORY_BYTES = 128 << 20
+MEMORY_BYTES = 96 << 20
 #: Suffixes of a symbol from which on it is handled alone; fewer in a row of one symbol are handled one by one.
 WIDE, FEW = 128, 16
 
