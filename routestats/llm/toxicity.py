@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routestats.llm.arrow import map_rows, rows_of
-from routestats.llm.quality import held_out, training_sample
+from routestats.llm.labels import held_out, training_sample
 from routestats.llm.words import mix, seeds
 from routestats.session import materialize
 
@@ -163,11 +163,17 @@ class ToxicityIndex:
         return self.examples[1] / max(1, sum(self.examples))
 
     @cached_property
-    def weight(self) -> np.ndarray:
-        """The vectors' weights, each of length 1."""
-        weights = (1 + np.log(self.count)) * self.idf[self.term]
-        parts = [weights[low:high] for low, high in zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True)]
-        return np.concatenate([np.empty(0), *(p / max(np.sqrt((p**2).sum()), 1e-300) for p in parts)])
+    def length(self) -> np.ndarray:
+        """Of each example's vector before it is made 1."""
+        edges = zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True)
+        return np.array([max(np.sqrt((self._raw(low, high) ** 2).sum()), 1e-300) for low, high in edges])
+
+    def _raw(self, low: int, high: int) -> np.ndarray:
+        return (1 + np.log(self.count[low:high])) * self.idf[self.term[low:high]]
+
+    def weights(self, example: int) -> np.ndarray:
+        """The vector of an example, of length 1."""
+        return self._raw(self.begin[example], self.begin[example + 1]) / self.length[example]
 
     @cached_property
     def contrast(self) -> np.ndarray:
@@ -180,18 +186,15 @@ class ToxicityIndex:
     def line(self) -> np.ndarray:
         """The line of each common term, -1 for rare ones."""
         often = np.bincount(self.term, minlength=len(self.vocabulary)) * DENSE > len(self.ids)
-        return np.where(often, np.cumsum(often) - 1, -1)
-
-    @cached_property
-    def _place(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begin))
+        return np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
 
     @cached_property
     def common(self) -> np.ndarray:
         """(line, place): weights of the common terms."""
         out = np.zeros((int(self.line.max(initial=-1)) + 1, len(self.ids)), np.float32)
-        line = self.line[self.term]
-        out[line[line >= 0], self._place[line >= 0]] = self.weight[line >= 0]
+        for place in range(len(self.ids)):
+            line = self.line[self.term[self.begin[place] : self.begin[place + 1]]]
+            out[line[line >= 0], place] = self.weights(place)[line >= 0]
         return out
 
     @cached_property
@@ -202,10 +205,16 @@ class ToxicityIndex:
     @cached_property
     def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each rare term's list begins, among all (one more; a common term's is empty), places and weights."""
-        rare = np.flatnonzero(self.line[self.term] < 0)
-        rare = rare[np.argsort(self.term[rare], kind="stable")]
-        first = np.r_[0, np.cumsum(np.bincount(self.term[rare], minlength=len(self.vocabulary)))]
-        return first, self._place[rare], self.weight[rare].astype(np.float32)
+        held = np.where(self.line < 0, np.bincount(self.term, minlength=len(self.vocabulary)), 0)
+        first = np.concatenate(([0], np.cumsum(held)))
+        free, places, weights = first[:-1].copy(), np.zeros(first[-1], np.int32), np.zeros(first[-1], np.float32)
+        for place in range(len(self.ids)):
+            term = self.term[self.begin[place] : self.begin[place + 1]]
+            rare = self.line[term] < 0
+            at = free[term[rare]]
+            places[at], weights[at] = place, self.weights(place)[rare]
+            free[term[rare]] += 1  # a term stands once in a vector
+        return first, places, weights
 
     @cached_property
     def remembered(self) -> dict[bytes, tuple]:
@@ -228,13 +237,15 @@ class ToxicityIndex:
         spot, edges = self.spots, list(zip(self.begin[examples].tolist(), self.begin[examples + 1].tolist(), strict=True))
         spot[at] = np.arange(len(at))
         term = np.concatenate([self.term[low:high] for low, high in edges])
-        weight = np.concatenate([self.weight[low:high] for low, high in edges])
+        count = np.concatenate([self.count[low:high] for low, high in edges])
         of = np.repeat(np.arange(len(examples)), [high - low for low, high in edges])
         where = spot.take(term, mode="clip")
         shared = np.flatnonzero(where >= 0)
         spot[at] = -1
-        part = query[where[shared]] * weight[shared]
-        return tuple(np.bincount(of[shared], x, len(examples)) for x in (part, part * self.contrast[term[shared]]))
+        term, of = term[shared], of[shared]
+        weight = (1 + np.log(count[shared])) * self.idf[term] / self.length[examples][of]
+        part = query[where[shared]] * weight
+        return tuple(np.bincount(of, x, len(examples)) for x in (part, part * self.contrast[term]))
 
     def candidates(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """For each (terms, weights) the examples that can be among its NEIGHBOURS nearest.
@@ -307,6 +318,8 @@ def _contrast(in_bad: np.ndarray, in_good: np.ndarray, bad: int, good: int) -> n
 
 _VECTORS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("size", pa.int64()), ("terms", pa.binary()), ("number", pa.binary())])
 _VECTORS_DDL = "doc_id long, label int, size long, terms binary, number binary"
+#: Terms whose counts are added up together.
+_CHUNK_TERMS = 1 << 14
 _KNOWN = pa.schema([("doc_id", pa.int64()), ("known", pa.binary())])
 
 
@@ -372,20 +385,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str =
     stored = materialize(stored, "known-terms")
     size = len(vocabulary)
 
-    def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + 1, np.int64)
-        unpack = zstandard.ZstdDecompressor()
-        for (held,) in rows_of(batches):
+    def frequencies(rows: Iterable[tuple]) -> Iterator[tuple]:
+        unpack, total = zstandard.ZstdDecompressor(), np.zeros(size + 1, np.int64)
+        for (held,) in rows:
             total[_unpacked(held, unpack)[0]] += 1
             total[-1] += 1
-        seen = np.flatnonzero(total)
-        for low in range(0, len(seen), 1 << 16):
-            part = seen[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["term", "n"])
-
+        for low in range(0, size + 1, _CHUNK_TERMS):
+            yield low, total[low : low + _CHUNK_TERMS].tobytes()
+
+    def added(rows: Iterable[tuple]) -> Iterator[tuple]:
+        totals: dict[int, np.ndarray] = {}
+        for low, counts in rows:
+            counts = np.frombuffer(counts, np.int64)
+            totals[low] = totals[low] + counts if low in totals else counts
+        for low, counts in totals.items():
+            yield low, counts.tobytes()
+
+    chunks = pa.schema([("low", pa.int64()), ("counts", pa.binary())])
+    counted = map_rows(stored.select("known"), frequencies, chunks, "low long, counts binary", lambda r: len(r[1]))
+    counted = map_rows(counted.repartition("low"), added, chunks, "low long, counts binary", lambda r: len(r[1]))
     total = np.zeros(size + 1, np.int64)
-    counted = stored.select("known").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    total[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    for low, counts in zip(*(c.to_pylist() for c in counted.toArrow().columns), strict=True):
+        total[low : low + _CHUNK_TERMS] = np.frombuffer(counts, np.int64)
     idf = np.log((1 + total[-1]) / (1 + total[:-1]))
     return build_index(vocabulary, idf, examples, rate), stored
 

@@ -184,7 +184,7 @@ def test_all_terms_of_the_examples_are_kept(spark, docs_of):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(50)], LABELS)
     index, _ = tx.fit_toxicity(docs_of(texts), labels, F.lit(True))
     assert index.vocabulary.tolist() == tx.terms(" ".join(texts))[0].tolist()
-    assert len(index.weight) == sum(len(tx.terms(t)[0]) for t in texts)
+    assert len(index.term) == sum(len(tx.terms(t)[0]) for t in texts)
 
 
 def test_calibration_moves_shares_to_the_population():
