@@ -119,7 +119,7 @@ def _chunked_clean(spark: SparkSession, d: str) -> DataFrame:
     source = scratch_path(spark, "flights-csv")
     src.write_table(flights_raw(spark, d).repartition(6), source, "csv")
     return clean_incrementally(
-        spark, source, S.FLIGHTS.names, S.FLIGHTS, lambda raw: plan.clean_flights(raw, PERIOD),
+        spark, source, S.FLIGHTS, lambda raw: plan.clean_flights(raw, PERIOD),
         scratch_path(spark, "flights-clean"), scratch_path(spark, "flights-progress"), files_per_batch=2,
     )
 
@@ -128,6 +128,34 @@ CLEAN_FLIGHTS_SQL = sql(
     f"""SELECT * FROM flights WHERE "Date" BETWEEN TIMESTAMP '2025-01-01' AND TIMESTAMP '2025-03-31'
     AND (Origin IN {TARGETS} OR Dest IN {TARGETS})"""
 )
+
+
+def _growing_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Files with two headers, lines that end early and a column the schema doesn't name, in two instalments."""
+    source, out, progress = (scratch_path(spark, f"growing-{n}") for n in ("csv", "clean", "progress"))
+    schema = _schema("o_orderkey bigint, o_totalprice double, o_orderstatus string")
+    rows = table(spark, d, "orders").select(*[F.col(c).cast("string") for c in ("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")])
+    plain = rows.where("o_orderkey % 3 <> 0")
+    short = F.when(F.col("o_orderkey") % 2 == 0, F.concat_ws(",", "o_orderstatus", "o_orderkey"))
+    lines = rows.where("o_orderkey % 3 = 0").select(
+        F.coalesce(short, F.concat_ws(",", "o_orderstatus", "o_orderkey", "o_orderpriority")).alias("o_orderstatus,o_orderkey,o_orderpriority")
+    )
+    for number, write in enumerate((
+        lambda path: src.write_table(plain.select("o_orderkey", "o_totalprice", "o_orderstatus").repartition(3), path, "csv"),
+        lambda path: lines.repartition(2).write.option("header", "true").option("sep", "\u0001").csv(path),
+    )):
+        write(f"{source}/{number}")
+        stored = clean_incrementally(spark, source, schema, lambda raw: raw.where("o_orderkey > 10"), out, progress, files_per_batch=2)
+    return stored
+
+
+add(
+    "src02_growing_folder",
+    _growing_folder,
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice, o_orderstatus,
+         CASE WHEN o_orderkey % 6 = 3 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey > 10""",
+    "o_totalprice",
+)
 add("src02_chunked_scan", _chunked_clean, CLEAN_FLIGHTS_SQL, "Delay", dates="Date")
 add(
     "src03_read_dates",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,6 +163,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     Other writers leave no mark, so data without one counts as a table. Data next to the working
     folder of a write that is under way or broke off is neither a table nor nothing: that fails.
     """
+    _restore(spark, path)
     fs, target = _hadoop(spark, path)
     if not fs.exists(target):
         return False
@@ -203,15 +205,49 @@ def ensure_tables(
     return tables
 
 
+def _aside(spark: SparkSession, path: str, kind: str):
+    """A hidden neighbour of a path: nobody takes it for data."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{kind}")
+
+
+def _restore(spark: SparkSession, path: str) -> None:
+    """Bring back the table that a broken-off :func:`write_table` had already moved aside."""
+    fs, target = _hadoop(spark, path)
+    old = _aside(spark, path, "old")
+    if target.getParent() and not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> DataFrame:
     """SNK01, SNK02, SNK04, SNK05: store a table, replacing what is there. Returns ``df``.
 
     NaN is stored as NULL, so that whoever reads the table finds one spelling of missing.
+
+    The table is written beside its place and takes it when it is whole: a write that fails leaves the old table as it
+    was, and a table can be replaced by what was read from it. The old one is moved aside for the moment between;
+    should the program end right then, readers and writers here put it back. On file systems that rename by copying,
+    the exchange takes as long as a copy.
     """
-    writer = nan_as_null(df).write.mode("overwrite").partitionBy(*partition_by)
+    spark = df.sparkSession
+    fs, target = _hadoop(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    new, old = _aside(spark, path, f"new-{uuid.uuid4().hex}"), _aside(spark, path, "old")
+    writer = nan_as_null(df).write.partitionBy(*partition_by)
     if fmt == "csv":
         writer = writer.option("header", "true").option("escape", '"')
-    writer.format(fmt).save(path)
+    try:
+        writer.format(fmt).save(new.toString())
+        _restore(spark, path)
+        fs.delete(old, True)
+        if fs.exists(target) and not fs.rename(target, old):
+            raise OSError(f"{path} can't be moved aside")
+        if not fs.rename(new, target):
+            _restore(spark, path)
+            raise OSError(f"{path} can't be written")
+        fs.delete(old, True)
+    finally:
+        fs.delete(new, True)
     return df
 
 

@@ -1,8 +1,7 @@
 """SRC02 as a stream: clean a growing folder of CSV files a few files at a time.
 
-The cleaning steps look at one row at a time, so the same function serves a batch and a stream.
-The checkpoint folder records the files already done: a restart continues, and no file is
-cleaned twice.
+The cleaning steps look at one row at a time, so the same function serves a batch and a stream. The stream only tells
+which files are new; each micro-batch reads its files as a batch would, so both have the same rules.
 """
 
 from __future__ import annotations
@@ -13,13 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from routestats.functions.scalars import NA_TOKENS
-from routestats.sources.tables import typed_columns
+from routestats.sources.tables import data_files, read_table, typed_columns, write_table
+
+# Columns of the source that lists files; their content is never read through it.
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def clean_files(
+    spark: SparkSession,
+    files: Sequence[str],
+    schema: T.StructType,
+    clean: Callable[[DataFrame], DataFrame],
+    out: str,
+    batch: int,
+    na_tokens: Sequence[str] = NA_TOKENS,
+) -> None:
+    """Clean the files of one micro-batch into a folder of its own, named by the batch.
+
+    A batch that is done again, after a failure between its end and the note of it, replaces what it wrote.
+    """
+    write_table(clean(read_table(spark, sorted(files), schema, na_tokens)), f"{out}/batch={batch}")
 
 
 def clean_incrementally(
     spark: SparkSession,
     source: str,
-    raw_columns: Sequence[str],
     schema: T.StructType,
     clean: Callable[[DataFrame], DataFrame],
     out: str,
@@ -27,24 +44,26 @@ def clean_incrementally(
     files_per_batch: int = 100,
     na_tokens: Sequence[str] = NA_TOKENS,
 ) -> DataFrame:
-    """Clean all files not yet done, append the survivors to ``out`` and return that table.
+    """Clean all files not yet done, add the survivors to ``out`` and return that table.
 
-    ``raw_columns`` is the file's column order; each batch checks it against the header.
+    Files are read by :func:`read_table`: columns by header name, short lines filled up, lines that are too long fail,
+    columns that ``schema`` doesn't name kept as text. The checkpoint folder records the files already done: a restart
+    continues, and no file counts twice. The driver sees the names of at most ``files_per_batch`` files at a time.
     """
-    text = T.StructType([T.StructField(c, T.StringType()) for c in raw_columns])
-    raw = (
-        spark.readStream.schema(text)
-        .options(header="true", escape='"', enforceSchema="false", mode="FAILFAST")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(source)
-    )
-    cleaned = clean(typed_columns(raw, schema, na_tokens))
-    query = (
-        cleaned.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def batch(rows: DataFrame, number: int) -> None:
+        files = [r.path for r in rows.select("path").distinct().collect()]
+        if files:
+            clean_files(spark, files, schema, clean, out, number, na_tokens)
+
+    listed = (
+        spark.readStream.format("binaryFile").schema(_FILES)
+        .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
+        .load(source).select("path")
+    )
+    query = listed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(cleaned.schema).parquet(out)
+    if not data_files(spark, out):
+        text = T.StructType([T.StructField(name, T.StringType()) for name in schema.names])
+        return clean(typed_columns(spark.createDataFrame([], text), schema, na_tokens))
+    return spark.read.option("mergeSchema", "true").option("basePath", out).parquet(out).drop("batch")

@@ -1,6 +1,7 @@
 """Sources: headers, integers, short and long lines, missing values, and tables that are already there."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from routestats.operators import filters, joins, profile
 from routestats.operators import quantiles as qt
 from routestats.plans import eda_fuel, fare_model
 from routestats.sources import tables as src
+from routestats.streaming.incremental import clean_files, clean_incrementally
 
 
 def schema(text):
@@ -90,6 +92,47 @@ def test_nan_is_not_stored(spark, with_nan, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("v is null").count() == 3
 
 
+def test_a_failing_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    src.write_table(spark.range(5), path)
+    with pytest.raises(Exception, match="broken"):
+        src.write_table(spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("broken"))).otherwise("x").alias("id")), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    src.write_table(spark.read.parquet(path).where("id > 2"), path)  # by what was read from it
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4]
+    (tmp_path / "t").rename(tmp_path / ".t.old")  # the program ended between the two renames
+    assert src.table_exists(spark, path) and src.read_optional(spark, path).count() == 2
+    (tmp_path / "t").rename(tmp_path / ".t.old")
+    src.write_table(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_stream_has_the_rules_of_a_batch(spark, tmp_path):
+    schema = T.StructType.fromDDL("a int, b string")
+    clean = lambda raw: raw.where("a is null or a < 100")
+    folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    (tmp_path / "in").mkdir()
+
+    def step():
+        return clean_incrementally(spark, folder, schema, clean, out, progress, files_per_batch=1)
+
+    assert step().columns == ["a", "b"] and step().count() == 0
+    (tmp_path / "in/1.csv").write_text("a,b\n1,x\n2\n300,y\nN/A,null\n")
+    (tmp_path / "in/2.csv").write_text("b,extra,a\nz,more,7\n")
+    (tmp_path / "in/_hidden.csv").write_text("a,b\n9,q\n")
+    os.utime(tmp_path / "in/1.csv", (1_000_000, 1_000_000))  # the older file comes first
+    for _ in range(2):  # nothing is done twice
+        rows = {(r.a, r.b, r.extra) for r in step().collect()}
+        assert rows == {(1, "x", None), (2, None, None), (None, None, None), (7, "z", "more")} and step().count() == 4
+    batch = src.read_table(spark, folder, schema)
+    assert rows == {(r.a, r.b, r.extra) for r in clean(batch).collect()}
+    clean_files(spark, [f"{folder}/2.csv"], schema, clean, out, 1)  # a batch done again
+    assert spark.read.option("mergeSchema", "true").parquet(out).count() == 4
+    (tmp_path / "in/3.csv").write_text("a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="more fields"):
+        step()
+
+
 def test_data_without_a_mark_is_not_written_over(spark, tmp_path):
     out = str(tmp_path)
     spark.range(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/t")
