@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from routestats.functions.scalars import NA_TOKENS
-from routestats.sources.tables import data_files, read_table, typed_columns, write_table
+from routestats.sources.tables import data_files, read_text_columns, typed_columns, write_table
 
 # Columns of the source that lists files; their content is never read through it.
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -29,9 +30,12 @@ def clean_files(
 ) -> None:
     """Clean the files of one micro-batch into a folder of its own, named by the batch.
 
-    A batch that is done again, after a failure between its end and the note of it, replaces what it wrote.
+    A batch that is done again, after a failure between its end and the note of it, replaces what it wrote. A column
+    that none of its files has is missing in it, as it is in a batch over more files.
     """
-    write_table(clean(read_table(spark, sorted(files), schema, na_tokens)), f"{out}/batch={batch}")
+    raw = read_text_columns(spark, sorted(files))
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in schema.names if c not in raw.columns})
+    write_table(clean(typed_columns(raw, schema, na_tokens)), f"{out}/batch={batch}")
 
 
 def clean_incrementally(
@@ -46,7 +50,7 @@ def clean_incrementally(
 ) -> DataFrame:
     """Clean all files not yet done, add the survivors to ``out`` and return that table.
 
-    Files are read by :func:`read_table`: columns by header name, short lines filled up, lines that are too long fail,
+    Files are read as ``read_table`` does: columns by header name, short lines filled up, lines that are too long fail,
     columns that ``schema`` doesn't name kept as text. The checkpoint folder records the files already done: a restart
     continues, and no file counts twice. The driver sees the names of at most ``files_per_batch`` files at a time.
     """
