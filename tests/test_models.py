@@ -60,6 +60,21 @@ def test_boosting_beats_a_line_on_a_curve(spark):
     assert [s.model for s in scores] == ["boosted", "linear"] and scores[0].RMSE < scores[1].RMSE / 3
 
 
+def test_boosting_deals_rows_to_tasks_of_bounded_size(spark, monkeypatch):
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("i"), (F.col("id") % 3).cast("double").alias("a"))
+    df = df.withColumn("y", F.col("a") * F.col("a") + (F.col("i") % 2))
+    whole = ml.fit_gbt(df, ["a"], "y", "p", trees=3, depth=2)
+    held = []
+    fit = ml.GBTRegressor.fit
+    monkeypatch.setattr(ml.GBTRegressor, "fit", lambda self, rows: (held.append(rows), fit(self, rows))[1])
+    monkeypatch.setattr(ml, "_TASK_ROWS", 500, raising=False)
+    parts = ml.fit_gbt(df, ["a"], "y", "p", trees=3, depth=2)
+    sizes = [r["count"] for r in held[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 600
+    assert predicted(parts, df, "p") == pytest.approx(predicted(whole, df, "p"), abs=1e-9)
+    assert ml._in_small_parts(df.limit(0)).count() == 0
+
+
 def test_scores(frame):
     df = frame("y double, p double", (1.0, 2.0), (2.0, 2.0), (4.0, 1.0))
     r = ev.metrics(df, "y", "p").first()
