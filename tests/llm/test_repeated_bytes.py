@@ -109,6 +109,13 @@ def test_suffixes_in_order_with_queues_on_disk(monkeypatch, limit):
         assert found[1:] == naive(text, shared_at_most)[1:]
 
 
+def test_symbols_of_some_hundred_suffixes_are_scanned_together():
+    counts = np.array([500] * 60 + [5000] + [3] * 600)
+    starts = so.ranges(counts)
+    assert starts[0] == 0 and starts[-1] == len(counts) and 60 in starts and 61 in starts
+    assert len(starts) <= 18  # four of the first to a range, the common one alone, the rare ones together
+
+
 def test_files_of_a_sort_go_with_it(tmp_path, monkeypatch):
     monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
     text = np.random.default_rng(1).integers(0, 5, 5000).astype(np.int32)
