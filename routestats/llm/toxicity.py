@@ -59,6 +59,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _LOWER, _LETTER = _tables()
+#: The numbers of the letters in hashes.
+_CODE = mix(_LOWER.astype(np.uint64))
 _UP = np.full(2 * _CHUNK, _BASE, np.uint64)
 _DOWN = np.full(2 * _CHUNK, _INVERSE, np.uint64)
 _UP[0] = _DOWN[0] = 1
@@ -77,22 +79,30 @@ def _long_run(codes: np.ndarray) -> np.ndarray:
 
 def _term_hashes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    plane = np.minimum(codes, _PLANE - 1)
-    letter = np.where(codes < _PLANE, _LETTER[plane], True)
-    codes = np.where(codes < _PLANE, _LOWER[plane], codes)
-    edge = np.flatnonzero(np.diff(np.r_[False, letter, False].view(np.int8)))
+    beyond = np.flatnonzero(codes >= _PLANE)
+    plane = codes if not len(beyond) else np.minimum(codes, _PLANE - 1)
+    letter = np.zeros(len(codes) + 2, bool)
+    letter[1:-1] = _LETTER[plane]
+    letter[beyond + 1] = True
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
     start, end = edge[0::2], edge[1::2]
     found, low = [], 0
     while low < len(start):
         high = min(low + _CHUNK // 16, int(np.searchsorted(end, start[low] + len(_UP), "right")))
         if high == low:
-            found.append(_long_run(codes[start[low] : end[low]]))
+            run = slice(start[low], end[low])
+            found.append(_long_run(np.where(codes[run] < _PLANE, _LOWER[plane[run]], codes[run])))
             low += 1
             continue
         offset = start[low]
         s, e = start[low:high] - offset, end[low:high] - offset
-        part = codes[offset : end[high - 1]].astype(np.uint64)
-        sums = np.r_[np.uint64(0), np.cumsum(mix(part) * _UP[: len(part)], dtype=np.uint64)]
+        part = _CODE[plane[offset : end[high - 1]]]
+        if len(beyond):
+            own = beyond[np.searchsorted(beyond, offset) : np.searchsorted(beyond, end[high - 1])]
+            part[own - offset] = mix(codes[own].astype(np.uint64))
+        part *= _UP[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
         back = _DOWN[s]
         found.append(mix((sums[e] - sums[s]) * back + _WHOLE))
         long = e - s > STEM
@@ -171,9 +181,17 @@ class ToxicityIndex:
     def _raw(self, low: int, high: int) -> np.ndarray:
         return (1 + np.log(self.count[low:high])) * self.idf[self.term[low:high]]
 
+    @cached_property
+    def unit(self) -> np.ndarray:
+        """The examples' vectors, of length 1."""
+        out = np.empty(len(self.term))
+        for example, (low, high) in enumerate(zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True)):
+            out[low:high] = self._raw(low, high) / self.length[example]
+        return out
+
     def weights(self, example: int) -> np.ndarray:
         """The vector of an example, of length 1."""
-        return self._raw(self.begin[example], self.begin[example + 1]) / self.length[example]
+        return self.unit[self.begin[example] : self.begin[example + 1]]
 
     @cached_property
     def contrast(self) -> np.ndarray:
@@ -221,9 +239,9 @@ class ToxicityIndex:
         return {}
 
     @cached_property
-    def spots(self) -> np.ndarray:
-        """Of each term its place in a query, while one is compared; -1 otherwise."""
-        return np.full(len(self.vocabulary), -1, np.int32)
+    def spots(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each term whether it is in the query that is compared now, and its place in the last query with it."""
+        return np.zeros(len(self.vocabulary), bool), np.zeros(len(self.vocabulary), np.int32)
 
     def calibrated(self, share: float) -> float:
         """A share found among the examples as it is in the population, where the labels have other frequencies."""
@@ -234,18 +252,16 @@ class ToxicityIndex:
 
     def _products(self, at: np.ndarray, query: np.ndarray, examples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cosines of these examples, and the same sums with each term weighed by its contrast."""
-        spot, edges = self.spots, list(zip(self.begin[examples].tolist(), self.begin[examples + 1].tolist(), strict=True))
-        spot[at] = np.arange(len(at))
-        term = np.concatenate([self.term[low:high] for low, high in edges])
-        count = np.concatenate([self.count[low:high] for low, high in edges])
-        of = np.repeat(np.arange(len(examples)), [high - low for low, high in edges])
-        where = spot.take(term, mode="clip")
-        shared = np.flatnonzero(where >= 0)
-        spot[at] = -1
-        term, of = term[shared], of[shared]
-        weight = (1 + np.log(count[shared])) * self.idf[term] / self.length[examples][of]
-        part = query[where[shared]] * weight
-        return tuple(np.bincount(of, x, len(examples)) for x in (part, part * self.contrast[term]))
+        asked, spot = self.spots
+        low, high = self.begin[examples], self.begin[examples + 1]
+        asked[at], spot[at] = True, np.arange(len(at))
+        term = np.concatenate([self.term[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        shared = np.flatnonzero(asked.take(term, mode="clip"))
+        asked[at] = False
+        ends = np.cumsum(high - low)
+        of, where = np.searchsorted(ends, shared, "right"), spot[term[shared]]
+        part = query[where] * self.unit[shared + (high - ends)[of]]
+        return tuple(np.bincount(of, x, len(examples)) for x in (part, part * self.contrast[at][where]))
 
     def candidates(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """For each (terms, weights) the examples that can be among its NEIGHBOURS nearest.
@@ -271,9 +287,13 @@ class ToxicityIndex:
         for block in range(len(starts)):
             own = slice(block * BLOCK, (block + 1) * BLOCK)
             asks = np.flatnonzero(reach[:, block] >= floor - MARGIN)
-            near[asks, own] += lines[asks] @ self.common[:, own]
+            if len(asks) == size:
+                near[:, own] += lines @ self.common[:, own]
+            elif len(asks):
+                near[asks, own] += lines[asks] @ self.common[:, own]
         floor = np.partition(near, -k, axis=1)[:, -k]
-        return [np.flatnonzero((line >= limit - MARGIN) & (line > 0)) for line, limit in zip(near, floor, strict=True)]
+        floor = np.maximum(floor - MARGIN, np.nextafter(np.float32(0), np.float32(1)))
+        return [np.flatnonzero(line >= limit) for line, limit in zip(near, floor, strict=True)]
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each (terms, weights) the NEIGHBOURS examples of highest cosine above 0, ties by smaller id, their

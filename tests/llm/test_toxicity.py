@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import re
 import zlib
@@ -60,6 +61,45 @@ def test_nearest_against_all_cosines(monkeypatch, block, dense):
         assert np.allclose(weight, full[order][:, at] @ (query * index.contrast[at]))
 
 
+class Reads(np.ndarray):
+    """An array that counts the values read of it."""
+
+    total = 0
+
+    def __getitem__(self, at):
+        found = super().__getitem__(at)
+        Reads.total += np.size(found)
+        return np.asarray(found)
+
+
+def test_only_shared_terms_are_weighed():
+    rows = [(i, i % 2, [0, *range(1 + 50 * i, 51 + 50 * i)], [1] * 51) for i in range(8)]
+    index = tx.build_index(np.arange(401), np.ones(401), rows, 0.3)
+    (want,) = index.nearest([(np.array([0]), np.ones(1))])
+    counts, begun = index.count.view(Reads), {name: getattr(index, name) for name in ("length", "contrast", "line", "common", "highest", "lists")}
+    unit = {"unit": index.unit.view(Reads)} if hasattr(index, "unit") else {}
+    index = dataclasses.replace(index, count=counts)
+    index.__dict__.update(begun | unit)
+    Reads.total = 0
+    (found,) = index.nearest([(np.array([0]), np.ones(1))])
+    assert all((a == b).all() for a, b in zip(want, found, strict=True)) and len(found[0]) == 8
+    assert Reads.total == 8
+
+
+def test_letters_beyond_the_first_plane_keep_their_hashes():
+    def hashes(word):
+        codes = np.array([ord(c.lower()) for c in word], np.uint64)
+        powers = np.array([pow(tx._BASE, i, 1 << 64) for i in range(len(codes))], np.uint64)
+        sums = np.cumsum(tx.mix(codes) * powers, dtype=np.uint64)
+        first = [] if len(word) <= tx.STEM else [tx.mix(sums[tx.STEM - 1 : tx.STEM] + tx._STEM)[0]]
+        return {int(x) for x in [tx.mix(sums[-1:] + tx._WHOLE)[0], *first]}
+
+    words = ["Plain", "\U00020000\U00020001", "a\U00020000bcdE", "\U0001F600", "ÀÉ", "zz\U00020000"]
+    want = set().union(*map(hashes, words))
+    for text in (" ".join(words), "1".join(words[::-1])):
+        assert {int(x) for x in tx.terms(text)[0].view(np.uint64)} == want
+
+
 def test_bounds_hold():
     index, _, _ = random_index(np.random.default_rng(7))
     for line, highest in zip(index.common, index.highest):
